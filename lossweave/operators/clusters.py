@@ -15,6 +15,7 @@ from lossweave.functions.stopwords import STOP_WORDS
 from lossweave.functions.text import document_description, keyword_text, keyword_tokens, title_case
 from lossweave.functions.vectors import unit_vector
 from lossweave.operators.semantic import nearest_claims
+from lossweave.runtime import pin_small
 from lossweave.schema import PROFILE_FIELDS
 
 SEED = 42
@@ -74,6 +75,7 @@ def centroids(clustered: DataFrame) -> DataFrame:
 
 def representatives(clustered: DataFrame, centres: DataFrame, n: int = REPRESENTATIVES) -> DataFrame:
     """(cluster_id, claim_id, distance, rank): the claims of each cluster closest to its centroid."""
+    centres, _ = pin_small(centres)
     own = centres.select(F.col("cluster_id").cast("string").alias("query_id"), F.col("centroid").alias("embedding"))
     probes = centres.select(F.col("cluster_id").cast("string").alias("query_id"), F.col("cluster_id").alias("cell"))
     hits = nearest_claims(clustered, own, n, cell="cluster_id", probes=probes)

@@ -46,6 +46,9 @@ def nearest_claims(
     and emits n rows per query at most, so the shuffle does not grow with the claims. With
     ``cell`` and ``probes`` (query_id, cell), a query only sees the claims of its cells.
     """
+    queries, _ = pin_small(queries)
+    if probes is not None:
+        probes, _ = pin_small(probes)
     columns = ["claim_id", "embedding"] + ([cell] if cell else [])
     vectors = claims.select(*columns).where("embedding is not null")
     if cell:
@@ -123,6 +126,7 @@ def stored_claim_queries(claims: DataFrame, claim_ids: DataFrame) -> DataFrame:
 def assign_nearest(claims: DataFrame, centroids: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
     """(claim_id, cluster_id, distance) with the nearest centroid of each claim, lowest id on ties."""
     vectors = claims.select("claim_id", "embedding").where("embedding is not null")
+    centroids, _ = pin_small(centroids)
     found = []
     for ids, matrix in _vector_blocks(centroids, "cluster_id", "centroid", block):
 

@@ -254,7 +254,7 @@ def m3(spark, d):
     """Nearest claims looked for in the four nearest of the given clusters only."""
     claims = index_claims(spark, d, ())
     queries = claims.where("embedding is not null").select(C("claim_id").alias("query_id"), "embedding")
-    probes = sem.nearest_cells(queries, centroids(claims), 4).checkpoint()
+    probes = sem.nearest_cells(queries, centroids(claims), 4)
     return sem.similar_claims(claims, queries, top_n=10, cell="cluster_id", probes=probes)
 
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+_PINNED: weakref.WeakSet[DataFrame] = weakref.WeakSet()
+
 PIN_ROWS = 20_000
 PIN_BYTES = 8 * 1024 * 1024
 
@@ -59,13 +62,20 @@ def pin_small(df: DataFrame, rows: int = PIN_ROWS, size: int = PIN_BYTES) -> tup
     """Evaluate a small input (a batch of queries) once and hold its measured rows as a local
     table. A large input stays as it is. Also tells which of the two happened.
     """
-    df.persist()
+    if df in _PINNED:
+        return df, True
+    owned = not df.is_cached
+    if owned:
+        df.persist()
     try:
         if not is_small(df, rows, size):
             return df, False
-        return df.sparkSession.createDataFrame(df.toArrow(), df.schema), True
+        pinned = df.sparkSession.createDataFrame(df.toArrow(), df.schema)
     finally:
-        df.unpersist()
+        if owned:
+            df.unpersist()
+    _PINNED.add(pinned)
+    return pinned, True
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:
