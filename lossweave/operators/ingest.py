@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lossweave.functions import text as tx, values as vl
-from lossweave.runtime import broadcast_if_small
 from lossweave.schema import AMOUNT_FIELDS, METADATA_FIELDS, ColumnMap
 from lossweave.sources.claims import logical_claims
 
@@ -18,7 +17,7 @@ _LIMBS = 11
 
 def has_required(claims: DataFrame) -> DataFrame:
     """Rows with an id and a description."""
-    return claims.where((tx.clean_text(F.col("claim_id")) != "") & (tx.clean_text(F.col("description")) != ""))
+    return claims.where(tx.has_text(F.col("claim_id")) & tx.has_text(F.col("description")))
 
 
 def _metadata_value(name: str, data_type: T.DataType) -> Column:
@@ -42,11 +41,11 @@ def prepare_records(
     claims = logical_claims(source, columns)
     types = {f.name: f.dataType for f in claims.schema.fields}
     mapped = columns.mapped()
-    document = tx.labelled_document({name: F.col(name) for name in tx.DOCUMENT_LABELS if name in mapped})
+    # Texts are cleaned in a step of their own: the steps after it reuse the result.
     kept = has_required(claims).select(
         tx.clean_text(F.col("claim_id")).alias("claim_id"),
-        document.alias("document"),
         tx.clean_text(F.col("description")).alias("claim_description"),
+        *[tx.clean_text(F.col(n)).alias(f"text_{n}") for n in tx.DOCUMENT_LABELS if n in mapped and n != "description"],
         *[
             _metadata_value(name, types[name]).alias(name)
             for name in claims.columns
@@ -54,6 +53,8 @@ def prepare_records(
         ],
         vl.loss_year(F.col("loss_date"), types["loss_date"]).alias("loss_year"),
     )
+    parts = {n: F.col("claim_description" if n == "description" else f"text_{n}") for n in tx.DOCUMENT_LABELS if n in mapped}
+    kept = kept.withColumn("document", tx.labelled_document(parts, cleaned=True))
     out = kept.select(
         "*",
         F.length("claim_description").alias("description_length"),
@@ -102,14 +103,15 @@ def duplicate_ordinals(records: DataFrame, parts: int = 64) -> DataFrame:
     Groups of copies are cut into id ranges that are numbered separately and then shifted by
     the sizes of the ranges before them: no task has to hold or sort one whole group.
     """
-    base = records.select("claim_id", F.unhex(F.sha2(tx.fold(F.col("claim_description")), 256)).alias("digest"))
+    # Never null, so that the join on it below adds no null filter that would hash every text again.
+    digest = F.coalesce(F.sha2(tx.fold(F.col("claim_description")), 256), F.lit(""))
+    base = records.select("claim_id", digest.alias("digest"))
     cuts = _id_cuts(base, "claim_id", parts)
     slot = F.size(F.filter(F.lit(cuts), lambda cut: cut <= F.col("claim_id"))) if cuts else F.lit(0)
     slotted = base.withColumn("slot", slot)
-    within = slotted.withColumn(
-        "within", F.row_number().over(Window.partitionBy("digest", "slot").orderBy("claim_id"))
-    )
-    sizes = slotted.groupBy("digest", "slot").agg(F.count("*").alias("size"))
+    place = F.row_number().over(Window.partitionBy("digest", "slot").orderBy("claim_id"))
+    within = slotted.withColumn("within", place)
+    sizes = within.groupBy("digest", "slot").agg(F.max("within").alias("size"))
     before = Window.partitionBy("digest").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select("digest", "slot", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("shift"))
     ordinal = F.col("shift") + F.col("within")

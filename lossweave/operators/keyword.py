@@ -47,7 +47,9 @@ def term_frequencies(claims: DataFrame, terms: DataFrame | None = None, small: b
     # Two steps: expressions next to an explode are evaluated once per token.
     listed = claims.select("claim_id", tokens.alias("tokens"), size.alias("dl"))
     words = listed.select("claim_id", "dl", F.explode(F.array_append("tokens", F.lit(""))).alias("word"))
-    words = words.select("claim_id", "dl", (F.col("word") if folded else fold(F.col("word"))).alias("term"))
+    # Never null: a nullable join key would be computed twice, once for a null filter.
+    term = F.coalesce(F.col("word") if folded else fold(F.col("word")), F.lit(""))
+    words = words.select("claim_id", "dl", term.alias("term"))
     if terms is not None:
         marker = claims.sparkSession.range(1).select(F.lit("").alias("term"))
         wanted = terms.select("term").distinct().unionByName(marker)
