@@ -168,9 +168,10 @@ def cluster_summary(
     sizes = member.groupBy("cluster_id").agg(F.count("*").alias("size"))
     terms = cluster_terms(member, TOP_TERMS, stop_words)
     terms = terms.groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("rank", "term")))["term"].alias("frequent_terms"))
-    reps = representatives(member, centroids(member) if centres is None else centres)
-    # At most three rows per cluster, so they are sent to the documents.
-    shown = member.select("claim_id", "document").join(F.broadcast(reps), "claim_id")
+    centres, few = pin_small(centroids(member) if centres is None else centres)
+    reps = representatives(member, centres)
+    # At most three rows per cluster: with a measured number of clusters they go to the documents.
+    shown = member.select("claim_id", "document").join(F.broadcast(reps) if few else reps, "claim_id")
     one = F.struct("rank", "claim_id", document_description(F.col("document")).alias("description"))
     shown = shown.groupBy("cluster_id").agg(F.sort_array(F.collect_list(one)).alias("r"))
     shown = shown.select(

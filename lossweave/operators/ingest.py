@@ -97,12 +97,14 @@ def _id_cuts(ids: DataFrame, key: str, parts: int) -> list[str]:
     return sorted({row[0] for row in picked})
 
 
-def duplicate_ordinals(records: DataFrame, parts: int = 64) -> DataFrame:
+def duplicate_ordinals(records: DataFrame, parts: int | None = None) -> DataFrame:
     """Position of each claim among those with the same folded description, in id order.
 
-    Groups of copies are cut into id ranges that are numbered separately and then shifted by
-    the sizes of the ranges before them: no task has to hold or sort one whole group.
+    Groups of copies are cut into ``parts`` id ranges (as many as shuffle partitions, unless given)
+    that are numbered separately and then shifted by the sizes of the ranges before them: no task
+    has to hold or sort one whole group.
     """
+    parts = parts or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Never null, so that the join on it below adds no null filter that would hash every text again.
     digest = F.coalesce(F.sha2(tx.fold(F.col("claim_description")), 256), F.lit(""))
     base = records.select("claim_id", digest.alias("digest"))

@@ -23,10 +23,11 @@ _HIT_SCHEMA = "query_id string, claim_id string, distance double"
 
 def _vector_blocks(vectors: DataFrame, key: str, vector: str, block: int) -> Iterator[tuple[list, np.ndarray]]:
     """Keys and unit vectors in blocks of bounded size, fetched one after the other."""
+    vectors = vectors.select(key, vector).dropDuplicates([key])
     parts = max(1, -(-vectors.count() // block))
     slot = F.pmod(F.xxhash64(key), F.lit(parts))
     for part in range(parts):
-        rows = vectors.where(slot == part).select(key, vector).orderBy(key).collect()
+        rows = vectors.where(slot == part).orderBy(key).collect()
         if rows:
             yield [r[0] for r in rows], unit_rows(np.asarray([r[1] for r in rows], dtype=np.float64))
 

@@ -46,16 +46,17 @@ def _row_bytes(df: DataFrame):
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Measure a frame that should be small. The limit stops the count early on a large one."""
-    n, total = (
-        df.limit(rows + 1).select(_row_bytes(df).alias("b")).agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
-    )
-    return n <= rows and total <= size
+    """Measure a frame that should be small. ``take`` reads a large one only until it has too many rows."""
+    widths = df.select(_row_bytes(df)).take(rows + 1)
+    return len(widths) <= rows and sum(w[0] for w in widths) <= size
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+def broadcast_if_small(df: DataFrame) -> DataFrame:
     """Broadcast a side whose measured size allows it; else leave the join to Catalyst and AQE."""
-    return F.broadcast(df) if is_small(df, rows, size) else df
+    pinned, small = pin_small(df)
+    if small:
+        return F.broadcast(pinned)
+    return F.broadcast(df) if is_small(df) else df
 
 
 def pin_small(df: DataFrame, rows: int = PIN_ROWS, size: int = PIN_BYTES) -> tuple[DataFrame, bool]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lossweave.schema import AMOUNT_FIELDS, DEFAULT_COLUMNS, ColumnMap
 
@@ -31,11 +31,27 @@ def logical_claims(source: DataFrame, columns: ColumnMap) -> DataFrame:
     )
 
 
+# Samples up to this size are merged in one task; larger ones are cut off in place.
+SMALL_SAMPLE = 100_000
+
+
 def sample_rows(source: DataFrame, row_limit: int | None, key: str = "claim_id", seed: int = 42) -> DataFrame:
-    """A fixed number of rows chosen by a seeded hash of the key; the same input gives the same sample."""
+    """A fixed number of rows chosen by a seeded hash of the key; the same input gives the same sample.
+
+    A large sample keeps all rows below a hash prefix and only orders those that share it.
+    """
     if row_limit is None:
         return source
     if row_limit <= 0:
         raise ValueError("row_limit must be a positive integer when set")
     order = F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))), 256)
-    return source.orderBy(order, F.col(key)).limit(row_limit)
+    if row_limit <= SMALL_SAMPLE:
+        return source.orderBy(order, F.col(key)).limit(row_limit)
+    prefix = F.substring(order, 1, 4)
+    counts = source.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("prefix")))
+    cut = upto.where(F.col("upto") >= row_limit).orderBy("prefix").first()
+    if cut is None:
+        return source
+    edge = source.where(prefix == cut["prefix"]).orderBy(order, F.col(key)).limit(row_limit - cut["upto"] + cut["n"])
+    return source.where(prefix < cut["prefix"]).unionByName(edge)

@@ -155,6 +155,14 @@ def test_dataset_hash(spark):
     assert base != digest([("1", "a", 1.01), *rows[1:]]) and base != digest([("1", "b", 1.0), *rows[1:]])
 
 
+def test_large_samples_equal_small_ones(spark, monkeypatch):
+    ids = spark.range(3000).select(F.col("id").cast("string").alias("claim_id"))
+    small = sorted(r[0] for r in sample_rows(ids, 700).collect())
+    monkeypatch.setattr("lossweave.sources.claims.SMALL_SAMPLE", 10)
+    assert sorted(r[0] for r in sample_rows(ids, 700).collect()) == small
+    assert sample_rows(ids, 5000).count() == 3000
+
+
 def test_sample_rows(spark):
     ids = spark.range(100).select(F.col("id").cast("string").alias("claim_id"))
     first = [r[0] for r in sample_rows(ids, 10).collect()]
