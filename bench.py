@@ -21,7 +21,7 @@ HEADLINE = [
     "A1_quality_counters",
     "A11_dataset_hash",
     "A2_W6_duplicate_ordinals",
-    "M6_keyword_search",
+    "M6_T2_F10_keyword_search",
     "M2_J9_T1_nearest_claims",
     "M10_W4_T3_search",
     "A9_W2_cluster_keywords",

@@ -111,15 +111,17 @@ def closest_batches(
     batches: Iterable[pa.RecordBatch], target_ids: np.ndarray, targets: np.ndarray
 ) -> Iterator[pa.RecordBatch]:
     """For each row its nearest target by cosine distance; the first of equal targets wins."""
-    for batch in batches:
-        rows = unit_rows(as_matrix(batch.column(1))) if batch.num_rows else np.empty((0, targets.shape[1]))
-        distances = rounded(1.0 - rows @ targets.T)
-        pick = np.argmin(distances, axis=1)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array(target_ids[pick], pa.int32()),
-                pa.array(distances[np.arange(len(pick)), pick], pa.float64()),
-            ],
-            names=["claim_id", "cluster_id", "distance"],
-        )
+    step = max(1, _SCORES_AT_ONCE // len(targets))
+    for whole in batches:
+        for start in range(0, whole.num_rows, step):
+            batch = whole.slice(start, step)
+            distances = rounded(1.0 - unit_rows(as_matrix(batch.column(1))) @ targets.T)
+            pick = np.argmin(distances, axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(target_ids[pick], pa.int32()),
+                    pa.array(distances[np.arange(len(pick)), pick], pa.float64()),
+                ],
+                names=["claim_id", "cluster_id", "distance"],
+            )

@@ -69,10 +69,11 @@ def overview_filter(overview: DataFrame, filters: ClusterFilters) -> DataFrame:
 
 
 def vocabulary(claims: DataFrame, fields: Iterable[str]) -> DataFrame:
-    """Distinct non-blank values per field, all fields in one pass."""
+    """Sorted distinct non-blank values per field, all fields in one pass."""
     present = [f for f in fields if f in claims.columns]
     long = claims.select(*[F.col(f).cast("string").alias(f) for f in present]).unpivot([], present, "field", "value")
-    return long.select("field", clean_or_null(F.col("value")).alias("value")).where("value is not null").distinct()
+    values = long.select("field", clean_or_null(F.col("value")).alias("value")).where("value is not null")
+    return values.distinct().orderBy("field", "value")
 
 
 def range_domains(claims: DataFrame, fields: Iterable[str] = RANGE_FIELDS) -> DataFrame:

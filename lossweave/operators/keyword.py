@@ -125,8 +125,11 @@ def bm25_matches(
     saturation = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     part = F.col("weight") * F.col("tf") * (k1 + 1) / saturation
     others = F.col("exclude_claim_id").isNull() | (F.col("exclude_claim_id") != F.col("claim_id"))
+    # With all terms of a claim in one place, its scores per query are summed there: the many
+    # (query, claim) pairs are not shuffled, only the fewer (claim, term) counts are.
     scores = (
-        tf.join(weights, "term")
+        tf.repartition("claim_id")
+        .join(weights, "term")
         .where(others)
         .groupBy("query_id", "claim_id")
         .agg(F.round(F.sum(part), SCORE_DECIMALS).alias("raw_score"))

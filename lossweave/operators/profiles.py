@@ -175,7 +175,8 @@ def unusual_claims(claims: DataFrame, overview: DataFrame, limit: int = OUTLIERS
 
 def status_distribution(claims: DataFrame) -> DataFrame:
     status = F.coalesce("claim_status", F.lit(vl.UNKNOWN))
-    return claims.groupBy(status.alias("claim_status")).agg(F.count("*").alias("count"))
+    counts = claims.groupBy(status.alias("claim_status")).agg(F.count("*").alias("count"))
+    return counts.orderBy(F.col("count").desc(), "claim_status")
 
 
 def claims_over_time(claims: DataFrame) -> DataFrame:

@@ -157,7 +157,7 @@ def m5(spark, d):
 
 
 @register(
-    "M6_keyword_search",
+    "M6_T2_F10_keyword_search",
     index_sql(
         "SELECT query_id, claim_id, round(bm25_score, 6) AS bm25_score, "
         "CAST(row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, claim_id) AS INTEGER) AS rank FROM kc",
