@@ -470,3 +470,38 @@ def s18(spark, d):
     summary = cl.cluster_summary(claims)
     rows = pr.cluster_overview(claims, summary, current_reviews(review_log(spark, d)), MODEL, CLUSTER_VERSION)
     return cluster_reports(rows, summary, pr.cluster_financials(claims, ["cluster_id"]))
+
+
+@register("M11_kmeans_invariants", index_sql(
+    "SELECT claim_id, true AS in_range, true AS unit_centre, CAST(1 AS BIGINT) AS labels FROM idx WHERE embedding IS NOT NULL"))
+def m11_invariants(spark, d):
+    """Every claim with a vector has one label below k, and every centre has unit length."""
+    labelled, centres = cl.cluster_claims(index_claims(spark, d, ()), 12)
+    length = F.sqrt(F.aggregate("centroid", F.lit(0.0), lambda a, x: a + x * x))
+    ends = centres.select("cluster_id", (F.abs(length - 1) < 1e-9).alias("unit_centre"))
+    rows = labelled.where("embedding is not null").join(F.broadcast(ends), "cluster_id", "left")
+    return rows.groupBy("claim_id").agg(
+        F.every(C("cluster_id").between(0, 11)).alias("in_range"),
+        F.every("unit_centre").alias("unit_centre"),
+        F.count("*").alias("labels"),
+    )
+
+
+@register("M3_cell_search", index_sql(
+    "SELECT query_id, claim_id, round(distance, 6) AS distance, round(greatest(0.0, 1 - distance), 6) AS similarity FROM ("
+    "SELECT pr.query_id, idx.claim_id, round(list_cosine_distance(CAST(idx.embedding AS DOUBLE[]), pr.e), 12) + 0.0 AS distance "
+    "FROM pr JOIN idx ON idx.cluster_id = pr.cell) "
+    "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, claim_id) <= 10",
+    *CENTROID_SQL,
+    "pr AS (SELECT claim_id AS query_id, e, ce.cluster_id AS cell FROM (SELECT claim_id, CAST(embedding AS DOUBLE[]) AS e FROM idx "
+    "WHERE embedding IS NOT NULL), ce QUALIFY row_number() OVER (PARTITION BY claim_id "
+    "ORDER BY round(list_cosine_distance(e, centroid), 12), CAST(ce.cluster_id AS VARCHAR)) <= 4)"))
+def m3(spark, d):
+    """Nearest claims looked for in the four nearest of the given clusters only."""
+    claims = index_claims(spark, d, ())
+    queries = claims.where("embedding is not null").select(C("claim_id").alias("query_id"), "embedding")
+    probes = sem.nearest_cells(queries, cl.centroids(claims), 4)
+    hits = sem.similar_claims(claims, queries, top_n=10, cell="cluster_id", probes=probes)
+    return hits.select(
+        "query_id", "claim_id", F.round("distance", 6).alias("distance"), F.round("similarity", 6).alias("similarity")
+    )

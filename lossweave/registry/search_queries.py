@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lossweave.operators import encode, filters as fl, fusion, keyword as kw, semantic as sem
-from lossweave.operators.clusters import centroids
 from lossweave.plans.search import ranked, search
 from lossweave.registry.base import index_claims, index_sql, records, register, table, tokens_sql
 from lossweave.schema import EQUALITY_FIELDS, SearchFilters, SearchSpec
@@ -249,15 +248,6 @@ def m2_prefiltered(spark, d):
     return hits.select("query_id", "claim_id", F.round("distance", 6).alias("distance"))
 
 
-@register("M3_cell_search")
-def m3(spark, d):
-    """Nearest claims looked for in the four nearest of the given clusters only."""
-    claims = index_claims(spark, d, ())
-    queries = claims.where("embedding is not null").select(C("claim_id").alias("query_id"), "embedding")
-    probes = sem.nearest_cells(queries, centroids(claims), 4)
-    return sem.similar_claims(claims, queries, top_n=10, cell="cluster_id", probes=probes)
-
-
 @register(
     "M4_F9_query_by_example",
     index_sql(

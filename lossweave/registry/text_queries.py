@@ -507,7 +507,15 @@ def a11(spark, d):
     return ingest.dataset_hash(records(spark, d))
 
 
-@register("A12_index_hash")
+def _index_hash_sql() -> str:
+    columns = ",".join(f'"{c}"' for c in column_map().selected())
+    head = f'{{"source":"parquet","source_identity":"documents","selected_columns":[{columns}],"dataset_hash":"'
+    tail = '","model_key":"lexical","model_fingerprint":"1","embedding_version":"v1"}'
+    inner = _hash_sql()
+    return f"SELECT dataset_hash, record_count, sha256('{head}' || dataset_hash || '{tail}') AS index_hash FROM ({inner})"
+
+
+@register("A12_index_hash", _index_hash_sql())
 def a12(spark, d):
     return ingest.index_hash(
         ingest.dataset_hash(records(spark, d)),
