@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
+# The kernels travel with the tasks that use them, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Distances are compared at this many decimals, so that equal vectors tie exactly.
 DISTANCE_DECIMALS = 12
 

@@ -24,6 +24,9 @@ LABEL_TERMS = 3
 REPRESENTATIVES = 3
 TOP_VALUES = 5
 
+# Below this many rows per task, k-means spends its time on starting tasks.
+_ROWS_PER_TASK = 2_000
+
 
 def _unit_vectors(claims: DataFrame) -> DataFrame:
     vectors = claims.withColumn("raw_vector", array_to_vector("embedding"))
@@ -47,7 +50,8 @@ def cluster_claims(
         labelled = with_vector.withColumn("cluster_id", F.lit(0))
         centres = centroids(labelled)
     else:
-        parts = partitions or int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        most = int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = partitions or min(most, -(-n_rows // _ROWS_PER_TASK))
         rows = _unit_vectors(with_vector).select("claim_id", "features")
         rows = rows.repartition(parts, "claim_id").sortWithinPartitions("claim_id").persist(StorageLevel.MEMORY_AND_DISK)
         model = KMeans(k=k, seed=SEED, maxIter=100, featuresCol="features", predictionCol="cluster_id").fit(rows)

@@ -1,12 +1,16 @@
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from lossweave.functions.vectors import Nearest
+from lossweave.functions.vectors import Nearest, closest_batches, nearest_batches
 from lossweave.operators import encode, filters as fl, fusion, keyword as kw, semantic as sem
 from lossweave.operators.clusters import centroids
 from lossweave.plans.search import search
@@ -147,6 +151,16 @@ def test_nearest_keeps_ties_in_id_order_over_batches():
     assert sorted(best.ids) == ["a", "b"]
 
 
+def test_kernels_run_without_the_package(tmp_path):
+    """Executors have no copy of this package: a kernel must load from its pickle alone."""
+    path = tmp_path / "kernel"
+    path.write_bytes(cloudpickle.dumps((nearest_batches, closest_batches)))
+    load = "import pickle, sys; print([f.__name__ for f in pickle.load(open(sys.argv[1], 'rb'))], 'lossweave' in sys.modules)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", load, str(path)], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.stdout.strip() == "['nearest_batches', 'closest_batches'] False", done.stderr
+
+
 def test_ranges_come_after_the_cut(spark):
     matrix = vectors(120)
     claims = vector_claims(spark, matrix).withColumn("loss_year", F.when(F.col("claim_id") == "c0003", 2024).otherwise(2000))
