@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lossweave.llm import simhash_trie
+from lossweave.llm import recompression, simhash_trie, suffix_dedup
 from lossweave.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,25 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op3_suffix_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), match=400)
+    size, left = F.octet_length(F.coalesce("text", F.lit(""))), F.octet_length("kept")
+    return cut.select(
+        "doc_id",
+        size.cast("long").alias("n_bytes"),
+        (size - left).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+@query("op5_recompression")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = recompression.remove_repeats(read(spark, sf_dir, "documents"), window=20)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 @query("op10_simhash_trie")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, max_distance=2)

@@ -8,13 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lossweave.runtime import shared_dir
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def pin(df: DataFrame, label: str) -> DataFrame:
     """Write a frame once to the shared folder and read it back: lineage ends there, and a lost
-    executor costs no recomputation."""
-    path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    executor costs no recomputation. The job's shuffle files go as soon as the table is written."""
+    spark = df.sparkSession
+    path = shared_dir(spark, label)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def task_count(spark: SparkSession, rows: int, rows_per_task: int) -> int:
