@@ -58,9 +58,9 @@ def pieces(batch: pa.RecordBatch, column: str, size: int = 4 * BLOCK) -> Iterato
         at = stop
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and per row the index of its first word."""
-    inside = ~_WHITE[data]
+def word_bounds(data: np.ndarray, offsets: np.ndarray, white: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (by default ``[^\\x20\\x09-\\x0D]+``), and per row the index of its first."""
+    inside = ~white[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     start, end = inside.copy(), inside.copy()
@@ -128,3 +128,16 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     return np.minimum(behind[:count], ahead[width - 1 : width - 1 + count])
+
+
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """Sums of values times powers of the base, of which ``stretch_hashes`` takes differences."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _powers(_BASE, len(values)), out=sums[1:])
+    return sums
+
+
+def stretch_hashes(sums: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hash of each stretch of values; equal content gives equal hashes wherever it stands."""
+    values = (sums[starts + lengths] - sums[starts]) * _powers(_INVERSE, len(sums))[starts]
+    return mix(values ^ mix(lengths.astype(np.uint64)))

@@ -25,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lossweave.llm import repeats
-from lossweave.llm.arrays import _BASE, _INVERSE, U64, _powers, mix, sliding_minimum, text_bytes, window_hashes, word_bounds, word_hashes
+from lossweave.llm.arrays import (
+    U64, mix, prefix_sums, sliding_minimum, stretch_hashes, window_hashes, word_bounds, word_hashes,
+)
 from lossweave.llm.tables import pin
 
 REACH = 4  # words on either side of a border that its name depends on
@@ -67,7 +69,7 @@ def cut_segments(window: int):
         words = word_hashes(data, begins, ends)
         if len(words) < window:
             none = np.zeros(0, np.int64)
-            return none, none, none, none.view(np.uint64), none.view(np.uint64), none.astype(bool)
+            return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
         first = np.zeros(len(words) + 1, bool)
         first[first_word] = True
         first = first[:-1]
@@ -88,33 +90,26 @@ def cut_segments(window: int):
         row = np.repeat(np.arange(len(offsets) - 1), np.diff(first_word))[: len(least)]
         usable = np.arange(len(least)) + window <= first_word[row + 1]
         place = (least & _PLACE).astype(np.int64)
-        starts, counts = repeats.runs_of(least & ~_PLACE, usable)
-        again = place[starts] != place[starts + counts - 1]
-        sums = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(words * _powers(_BASE, len(words)), out=sums[1:])
-        stops = starts + counts - 1 + window
-        contents = (sums[stops] - sums[starts]) * _powers(_INVERSE, len(words) + 1)[starts]
-        contents = mix(contents ^ mix((stops - starts).astype(np.uint64)))
-        return row[starts], starts - first_word[row[starts]], counts, names_of[place[starts]], contents, again
+        starts, counts = repeats.runs_of(least, usable)
+        contents = stretch_hashes(prefix_sums(words), starts, counts - 1 + window)
+        begin, anchor = first_word[row[starts]], place[starts]
+        return row[starts], starts - begin, anchor - begin, counts, names_of[anchor], contents
 
     return cut
 
 
-def _window_hashes_of(window: int):
-    def hashes(data: np.ndarray) -> np.ndarray:
-        begins, ends, _ = word_bounds(data, np.array([0, len(data)]))
-        return window_hashes(word_hashes(data, begins, ends), window)
-
-    return hashes
+def _word_stretches(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    begins, ends, _ = word_bounds(data, np.array([0, len(data)]))
+    return stretch_hashes(prefix_sums(word_hashes(data, begins, ends)), starts, lengths)
 
 
 def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     """(did, tag, spans) for ``repeats.identified`` documents: the maximal runs of words to remove."""
     segments = pin(repeats.segments(docs, cut_segments(window)), "symbols")
-    counts = segments.groupBy("key").agg(F.count("*").alias("times"), F.max(repeats.again_of()).alias("again"))
-    keys = pin(counts.where("times > 1 or again = 1").select("key"), "shared-symbols")
+    counts = segments.groupBy("key").agg(F.count("*").alias("times"))
+    keys = pin(counts.where("times > 1").select("key"), "shared-symbols")
     shared = segments.join(keys, "key", "left_semi")
-    return repeats.covered(shared, docs, _window_hashes_of(window), window, keep_first=True)
+    return repeats.covered(shared, docs, _word_stretches, window, keep_first=True, grids=(1,))
 
 
 def _cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

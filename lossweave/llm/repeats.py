@@ -1,14 +1,17 @@
 """Exact repeated windows from content-defined segments.
 
 Every window of a fixed number of units (bytes or words) picks an anchor from its own content; the windows
-of a text that follow each other with the same anchor form a *segment*. Equal windows have equal anchors, so
+of a text that follow each other with the same anchor are a *segment*. Equal windows have equal anchors, so
 only segments with a shared anchor key can hold repeated windows. Segments whose whole content is shared are
-settled as such; of the others, one representative per content is opened and its windows are compared by
-64-bit hash together with the anchor key. No pair of occurrences is ever formed: everything is counting by
-hash with partial sums before each shuffle, so a hot passage costs one row per task.
-
-A segment row is (key, ctx, did, span): anchor key, content hash, document id (null as the least long), and
-start, text tag, length and self-repeat flag packed into a long. The tag tells rows apart that share an id.
+settled as such. Of the others, one representative per content is opened: its windows fall into cells of some
+positions on a grid that is counted from the anchor. All windows of a cell contain the cell's core, so cells
+with a core of their own are done; cells that are shared whole are settled; of the rest one representative
+per content is opened again, down to single windows. No pair of occurrences is ever formed: each level
+is counting by hash with partial sums before the shuffle, so a hot passage costs one row per task.
+
+A row of any level is (key, ctx, did, span, copies): the key that equal windows must share, the hash of the
+whole content, the document id (null as the least long), and start, text tag, grid phase and number of
+windows packed into a long. The tag tells rows apart that share an id.
 """
 
 from __future__ import annotations
@@ -19,13 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lossweave.llm.arrays import U64, mix, pieces, text_bytes
+from lossweave.llm.arrays import mix, pieces, text_bytes
 from lossweave.llm.tables import pin
 
-MOST_WINDOWS = 1023  # longer segments are cut; the parts share their key and are compared window by window
+GRID = 32  # windows in a cell; the phase has five bits
+MOST_WINDOWS = 1023  # longer segments are cut; the parts share their key
 NULL_ID = -(2**63)
-SEGMENT = "key long, ctx long, did long, span long"
-_SEGMENT = pa.schema([(c, pa.int64()) for c in ("key", "ctx", "did", "span")])
+LEVEL = "key long, ctx long, did long, span long, copies int"
+_LEVEL = pa.schema([*((c, pa.int64()) for c in ("key", "ctx", "did", "span")), ("copies", pa.int32())])
 
 
 def identified(docs: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -37,33 +41,35 @@ def identified(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 
 
 def tag_of(body: Column) -> Column:
-    return F.xxhash64(body).bitwiseAND(F.lit((1 << 21) - 1))
+    return F.xxhash64(body).bitwiseAND(F.lit((1 << 16) - 1))
 
 
 def _bits(column: str, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(F.col(column), shift).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def start_of() -> Column:
-    return _bits("span", 32, 31)
+def start_of(column: str = "span") -> Column:
+    return _bits(column, 32, 31)
 
 
 def tag_in() -> Column:
-    return _bits("span", 11, 21)
+    return _bits("span", 16, 16)
 
 
 def length_of() -> Column:
-    return _bits("span", 1, 10)
+    return _bits("span", 0, 10)
 
 
-def again_of() -> Column:
-    return _bits("span", 0, 1)
+def pack_rows(keys, contents, dids, tags, starts, phases, counts, copies) -> pa.RecordBatch:
+    span = (starts.astype(np.int64) << 32) | (tags << 16) | (phases.astype(np.int64) << 11) | counts
+    columns = (keys.view(np.int64), contents.view(np.int64), dids, span, copies.astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_LEVEL)
 
 
-def pack_segments(dids, tags, starts, counts, keys, contents, again) -> pa.RecordBatch:
-    span = (starts.astype(np.int64) << 32) | (tags << 11) | (counts << 1) | again.astype(np.int64)
-    columns = (keys.view(np.int64), contents.view(np.int64), dids, span)
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_SEGMENT)
+def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For counts c: which entry each of sum(c) items belongs to, and its number inside the entry."""
+    which = np.repeat(np.arange(len(counts)), counts)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 def runs_of(anchor: np.ndarray, usable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,58 +77,55 @@ def runs_of(anchor: np.ndarray, usable: np.ndarray) -> tuple[np.ndarray, np.ndar
     change = np.ones(len(anchor), bool)
     change[1:] = (anchor[1:] != anchor[:-1]) | ~usable[:-1]
     starts = np.flatnonzero(change & usable)
-    stops = np.flatnonzero(np.append(change[1:] | ~usable[1:], True) & usable) + 1 if len(anchor) else starts
+    stops = np.flatnonzero(np.append(change[1:] | ~usable[1:], True)[: len(anchor)] & usable) + 1
     counts = stops - starts
     if len(counts) and counts.max() > MOST_WINDOWS:
-        parts = -(-counts // MOST_WINDOWS)
-        which = np.repeat(np.arange(len(starts)), parts)
-        nth = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
-        starts, rest = starts[which] + nth * MOST_WINDOWS, counts[which] - nth * MOST_WINDOWS
-        counts = np.minimum(rest, MOST_WINDOWS)
+        which, nth = spread(-(-counts // MOST_WINDOWS))
+        starts, counts = starts[which] + nth * MOST_WINDOWS, np.minimum(counts[which] - nth * MOST_WINDOWS, MOST_WINDOWS)
     return starts, counts
 
 
 def segments(docs: DataFrame, cut: Callable) -> DataFrame:
     """Segment rows of ``identified`` documents. ``cut(data, offsets)`` works on the bytes of many texts and
-    gives per segment: row, start in its text, number of windows, key, content hash, self-repeat flag."""
+    gives per segment: row, start in its text, anchor's place in its text, number of windows, key, content
+    hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text", 1 << 20):
-                row, starts, counts, keys, contents, again = cut(*text_bytes(piece.column("text")))
+                row, starts, anchors, counts, keys, contents = cut(*text_bytes(piece.column("text")))
                 dids, tags = (piece.column(c).to_numpy(zero_copy_only=False) for c in ("did", "tag"))
-                yield pack_segments(dids[row], tags[row], starts, counts, keys, contents, again)
-
-    return docs.mapInArrow(run, SEGMENT)
-
-
-def _windows(hashes_of: Callable):
-    """Task: the windows of opened segments as rows (check, wh, did, tag, pos, copies)."""
+                yield pack_rows(keys, contents, dids[row], tags[row], starts, anchors % GRID, counts, np.ones(len(row)))
+
+    return docs.mapInArrow(run, LEVEL)
+
+
+def _cells(hashes_of: Callable, window: int, grid: int):
+    """Task over (did, tag, text, opened): the rows of the next level, cells of ``grid`` positions."""
+
+    def cells(data: np.ndarray, did: int, tag: int, opened: pa.StructArray) -> pa.RecordBatch:
+        keys, spans, copies = (f.to_numpy(zero_copy_only=False).astype(np.int64) for f in opened.flatten())
+        begin, phase, count = spans >> 32, (spans >> 11) & (GRID - 1), spans & MOST_WINDOWS
+        first = (begin - phase) // grid
+        which, nth = spread((begin + count - 1 - phase) // grid - first + 1)
+        left = (first[which] + nth) * grid + phase[which]  # of the whole cell, even if it is cut at an edge
+        lo, hi = np.maximum(left, begin[which]), np.minimum(left + grid, (begin + count)[which])
+        core = hashes_of(data, left + grid - 1, np.full(len(left), window - grid + 1))
+        whole = core if grid == 1 else hashes_of(data, lo, hi - 1 + window - lo)
+        parent = mix(keys[which].view(np.uint64))
+        contents = mix(parent ^ whole) if grid > 1 else parent
+        size = len(which)
+        return pack_rows(
+            mix(parent + core) if grid > 1 else core, contents, np.full(size, did), np.full(size, tag), lo,
+            np.zeros(size, np.int64), hi - lo, copies[which],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 one = batch.slice(k, 1)
                 did, tag = one.column("did")[0].as_py(), one.column("tag")[0].as_py()
-                data, _ = text_bytes(one.column("text"))
-                opened = one.column("opened").flatten()
-                keys, starts, counts, copies = (f.to_numpy(zero_copy_only=False).astype(np.int64) for f in opened.flatten())
-                hashes = hashes_of(data)
-                at = np.repeat(starts, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                values = hashes[at]
-                check = mix(np.repeat(keys.view(np.uint64), counts)) >> U64(33)
-                size = len(at)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(check.astype(np.int32)),
-                        pa.array(values.view(np.int64)),
-                        pa.array(np.full(size, did, np.int64)),
-                        pa.array(np.full(size, tag, np.int64)),
-                        pa.array(at.astype(np.int64)),
-                        pa.array(np.repeat(copies, counts)),
-                    ],
-                    names=["check", "wh", "did", "tag", "pos", "copies"],
-                )
+                yield cells(text_bytes(one.column("text"))[0], did, tag, one.column("opened").flatten())
 
     return run
 
@@ -134,11 +137,10 @@ def _merged(window: int):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         for batch in batches:
             spans = []
-            for cell in batch.column("spans"):
-                starts, counts = (f.to_numpy(zero_copy_only=False).astype(np.int64) for f in cell.values.flatten())
-                order = np.argsort(starts, kind="stable")
-                starts, stops = starts[order], (starts + counts - 1 + window)[order]
-                reach = np.maximum.accumulate(stops)
+            for cell in batch.column("found"):
+                packed = np.sort(cell.values.to_numpy(zero_copy_only=False).astype(np.int64))
+                starts = packed >> 32
+                reach = np.maximum.accumulate(starts + (packed & MOST_WINDOWS) - 1 + window)
                 first = np.flatnonzero(np.append(True, starts[1:] > reach[:-1]))
                 last = np.append(first[1:], len(starts)) - 1
                 spans.append([{"start": a, "stop": b} for a, b in zip(starts[first].tolist(), reach[last].tolist())])
@@ -149,48 +151,36 @@ def _merged(window: int):
     return run
 
 
-def covered(shared: DataFrame, docs: DataFrame, hashes_of: Callable, window: int, keep_first: bool) -> DataFrame:
+def covered(shared: DataFrame, docs: DataFrame, hashes_of: Callable, window: int, keep_first: bool, grids: tuple[int, ...]) -> DataFrame:
     """(did, tag, spans): the maximal runs of units covered by repeated windows.
 
-    ``shared`` holds at least all segments whose key occurs twice. With ``keep_first`` a window counts as
-    repeated if its content also starts earlier (smaller id, or earlier in the same text); otherwise if it
-    also starts anywhere else."""
-    shared = pin(shared, "shared")
-    place = F.struct("did", "span")
-    classes = pin(
-        shared.groupBy("key", "ctx").agg(F.count("*").alias("copies"), F.min(place).alias("rep"), F.max(again_of()).alias("again")),
-        "classes",
-    )
-    variants = classes.groupBy("key").agg(F.count("*").alias("variants"))
-    open_ = classes.join(variants.where("variants > 1"), "key", "left_semi").unionByName(
-        classes.where("again = 1").join(variants.where("variants = 1"), "key", "left_semi")
-    )
-    opened = (
-        open_.select("key", "copies", "rep.did", "rep.span")
-        .select("did", tag_in().alias("tag"), F.struct("key", start_of().alias("start"), length_of().alias("count"), "copies").alias("one"))
-        .groupBy("did", "tag")
-        .agg(F.collect_list("one").alias("opened"))
-    )
-    windows = pin(
-        docs.join(opened.hint("shuffle_hash"), ["did", "tag"]).mapInArrow(
-            _windows(hashes_of), "check int, wh long, did long, tag long, pos long, copies long"
-        ),
-        "windows",
-    )
-    order = F.struct("did", "pos")
-    if keep_first:
-        first = windows.groupBy("check", "wh").agg(F.min(order).alias("first"), F.count("*").alias("times"))
-        first = first.where("times > 1").select("check", "wh", "first")
-        single = windows.join(first, ["check", "wh"]).where(order > F.col("first"))
-        whole = classes.where("copies > 1").select("key", "ctx", "rep")
-        later = (F.col("did") > F.col("rep.did")) | ((F.col("did") == F.col("rep.did")) & (start_of() > F.shiftrightunsigned("rep.span", 32)))
-        settled = shared.join(whole, ["key", "ctx"]).where(later)
-    else:
-        twice = windows.groupBy("check", "wh").agg(F.sum("copies").alias("times")).where("times > 1")
-        single = windows.join(twice, ["check", "wh"], "left_semi")
-        settled = shared.join(classes.where("copies > 1"), ["key", "ctx"], "left_semi")
-    ranges = settled.select("did", tag_in().alias("tag"), F.struct(start_of().alias("start"), length_of().alias("count")).alias("one")).unionByName(
-        single.select("did", "tag", F.struct(F.col("pos").alias("start"), F.lit(1).cast("long").alias("count")).alias("one"))
-    )
-    found = ranges.groupBy("did", "tag").agg(F.collect_list("one").alias("spans"))
-    return found.mapInArrow(_merged(window), "did long, tag long, spans array<struct<start: long, stop: long>>")
+    ``shared`` holds at least all segments whose key occurs twice; ``hashes_of(data, starts, lengths)`` hashes
+    stretches of units of a text; ``grids`` are the cell sizes of the levels, the last one 1. With
+    ``keep_first`` a window counts as repeated if its content also starts earlier (smaller id, or earlier in
+    the same text); otherwise if it also starts anywhere else."""
+    rows = pin(shared, "segments-shared")
+    texts, found = docs, None
+    for grid in (*grids, None):
+        classes = rows.groupBy("key", "ctx").agg(F.sum("copies").alias("total"), F.min(F.struct("did", "span")).alias("rep"))
+        classes = pin(classes, "contents")
+        several = classes.where("total > 1")
+        if keep_first:
+            first = several.select("key", "ctx", F.col("rep.did").alias("first_did"), start_of("rep.span").alias("first_start"))
+            later = (F.col("did") > F.col("first_did")) | ((F.col("did") == F.col("first_did")) & (start_of() > F.col("first_start")))
+            settled = rows.join(first, ["key", "ctx"]).where(later)
+        else:
+            settled = rows.join(several, ["key", "ctx"], "left_semi")
+        settled = settled.select("did", "span")
+        found = settled if found is None else found.unionByName(settled)
+        if grid is None:
+            break
+        variants = classes.groupBy("key").agg(F.count("*").alias("variants")).where("variants > 1")
+        one = F.struct("key", "rep.span", F.least("total", F.lit(2)).cast("int").alias("copies"))
+        open_ = classes.join(variants, "key", "left_semi").select(F.col("rep.did").alias("did"), F.col("rep.span").alias("span"), one.alias("one"))
+        opened = open_.groupBy("did", tag_in().alias("tag")).agg(F.collect_list("one").alias("opened"))
+        of_texts = texts.select("did", "tag", "text").join(opened.hint("shuffle_hash"), ["did", "tag"])
+        if grid != grids[-1]:
+            of_texts = texts = pin(of_texts, "texts-opened")
+        rows = pin(of_texts.mapInArrow(_cells(hashes_of, window, grid), LEVEL), "cells")
+    ranges = found.groupBy("did", tag_in().alias("tag")).agg(F.collect_list("span").alias("found"))
+    return ranges.mapInArrow(_merged(window), "did long, tag long, spans array<struct<start: long, stop: long>>")

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from lossweave.llm import repeats
-from lossweave.llm.arrays import _BASE, _BYTES, _INVERSE, BLOCK, U64, _powers, byte_window_hashes, mix, sliding_minimum
+from lossweave.llm.arrays import _BYTES, BLOCK, U64, byte_window_hashes, prefix_sums, sliding_minimum, stretch_hashes
 from lossweave.llm.tables import pin
 
 SEED = 64
@@ -42,15 +42,10 @@ def cut_segments(match: int, seed: int = SEED):
         usable = np.arange(len(least)) + match <= offsets[row + 1]
         place = (least & _PLACE).astype(np.int64)
         # windows of two texts never meet: the last ones of a text are not usable
-        starts, counts = repeats.runs_of(least & ~_PLACE, usable)
-        # the same seed twice inside one segment: its windows may repeat each other
-        again = place[starts] != place[starts + counts - 1]
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTES[data] * _powers(_BASE, len(data)), out=sums[1:])
-        stops = starts + counts - 1 + match
-        inverse = _powers(_INVERSE, len(data) + 1)
-        contents = mix(((sums[stops] - sums[starts]) * inverse[starts]) ^ mix((stops - starts).astype(np.uint64)))
-        return row[starts], starts - offsets[row[starts]], counts, seeds[place[starts]], contents, again
+        starts, counts = repeats.runs_of(least, usable)
+        contents = stretch_hashes(prefix_sums(_BYTES[data]), starts, counts - 1 + match)
+        begin, anchor = offsets[row[starts]], place[starts]
+        return row[starts], starts - begin, anchor - begin, counts, seeds[anchor], contents
 
     def cut(data: np.ndarray, offsets: np.ndarray):
         if len(offsets) > 2 or len(data) <= 4 * BLOCK:
@@ -58,8 +53,8 @@ def cut_segments(match: int, seed: int = SEED):
         found = []  # one very long text, in parts that overlap by a window less one byte
         for at in range(0, len(data) - match + 1, 4 * BLOCK):
             part = data[at : at + 4 * BLOCK + match - 1]
-            row, starts, *rest = windows(part, np.array([0, len(part)]))
-            found.append((row, starts + at, *rest))
+            row, starts, anchors, *rest = windows(part, np.array([0, len(part)]))
+            found.append((row, starts + at, anchors + at, *rest))
         return tuple(np.concatenate(x) for x in zip(*found))
 
     return cut
@@ -67,7 +62,11 @@ def cut_segments(match: int, seed: int = SEED):
 
 def _none():
     none = np.zeros(0, np.int64)
-    return none, none, none, none.view(np.uint64), none.view(np.uint64), none.astype(bool)
+    return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
+
+
+def _byte_stretches(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    return stretch_hashes(prefix_sums(_BYTES[data]), starts, lengths)
 
 
 class SuffixIndex:
@@ -80,13 +79,13 @@ class SuffixIndex:
 
     @staticmethod
     def _array(entries: DataFrame, label: str) -> DataFrame:
-        summed = entries.groupBy("key", "ctx").agg(F.sum("copies").alias("copies"), F.max("again").alias("again"))
+        summed = entries.groupBy("key", "ctx").agg(F.sum("copies").alias("copies"))
         return pin(summed.repartition("key").sortWithinPartitions("key", "ctx"), label)
 
     def add(self, segments: DataFrame) -> None:
-        own = self._array(segments.select("key", "ctx", F.lit(1).alias("copies"), repeats.again_of().alias("again")), "suffixes")
-        inside = own.groupBy("key").agg(F.sum("copies").alias("times"), F.max("again").alias("again"))
-        found = [inside.where("times > 1 or again = 1").select("key")]
+        own = self._array(segments.select("key", "ctx", "copies"), "suffixes")
+        inside = own.groupBy("key").agg(F.sum("copies").alias("times"))
+        found = [inside.where("times > 1").select("key")]
         keys = own.select("key").distinct()
         found += [keys.join(level.select("key").hint("merge"), "key", "left_semi") for _, level in self.levels]
         hits = found[0]
@@ -113,7 +112,7 @@ def repeated_spans(docs: DataFrame, match: int = 400, batches: int = 4) -> DataF
         of_doc = F.pmod(F.xxhash64("did", repeats.tag_in()), F.lit(batches))
         index.add(segments.where(of_doc == batch))
     shared = segments.join(index.shared_keys(), "key", "left_semi")
-    return repeats.covered(shared, docs, lambda data: byte_window_hashes(data, match), match, keep_first=False)
+    return repeats.covered(shared, docs, _byte_stretches, match, keep_first=False, grids=(repeats.GRID, 1))
 
 
 def remove_repeats(docs: DataFrame, match: int = 400, batches: int = 4, id_column: str = "doc_id", text: str = "text") -> DataFrame:
