@@ -29,21 +29,24 @@ def test_ids_are_the_tokenizers():
     texts = [
         "", " ", "a", "  two  spaces\n\n  and\tlines \n", "x<|endoftext|>y z", "don't we'll I'M", " nbsp   a b　",
         "\x1c\x1d a\x85b \x1f", "été naïve 12345 ½ ²", "日本語 テキスト。", "🙂🙃 emoji", "a" * 3000, "word " * 500, "\r\n\r\n x", "x" + " " * 70 + "y",
-        "tab\t\t\tend\t", "'s 't 'x", "﻿bom ​zero",
+        "tab\t\t\tend\t", "'s 't 'x", "﻿bom ​zero", "x²3 ½a éα éа a\u0301b Éa×b÷c ß'll İı ŉ ǅ ɏɐ", "I'Ll we'Re 's's a's.'t", "a_b a1b2 <p>x</p>", "ªº µ ¬­®",
     ]
+    draw = random.Random(5)
+    alphabet = "ab É×÷²½ªº'sl.,_1٣ \n\t\x1c\x85\xa0\u2003日🙂\u0301αǅ<|>\u200d"
+    texts += ["".join(draw.choice(alphabet) for _ in range(draw.randint(1, 40))) for _ in range(3000)]
     encoder = Encoder(PATH)
     for text in [*texts, " ".join(texts), *texts]:
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
-def test_long_texts_are_cut_safely(monkeypatch):
-    import lossweave.llm.packing as module
-
-    monkeypatch.setattr(module, "_PART", 11)
-    monkeypatch.setattr(module, "_CACHE_ENTRIES", 3)
-    text = "some words, \n\n and a_very_long_word_without_any_space here   and there \t." * 3
-    ids = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(Encoder(PATH).encode(text), "<u4").tolist() == ids
+def test_every_character_and_long_runs():
+    whole, encoder = Tokenizer.from_file(PATH), Encoder(PATH)
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["".join(f"a{c}1{c} {c}, {c}{c}" for c in every[i : i + 500]) for i in range(0, len(every), 500)]
+    texts += [c * 20_000 for c in (" ", "a", "é", "1", "!")] + ["\n" * 1_000_000 + "x"]
+    assert encoder.ranked
+    for text, expected in zip(texts, whole.encode_batch(texts, add_special_tokens=False)):
+        assert encoder.encode(text) == np.array(expected.ids, "<u4").tobytes(), text[:50]
 
 
 def test_pack_keeps_every_id_once(spark):
