@@ -183,5 +183,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The documents (all columns) that hold no copy of a test item."""
-    leaks = contaminated(docs, benchmark, **settings).select(F.col("doc_id").alias("_leak")).distinct()
+    leaks = contaminated(docs, benchmark, **settings).select(F.col("doc_id").alias("_leak")).distinct().hint("shuffle_hash")
     return docs.join(leaks, docs.doc_id.eqNullSafe(F.col("_leak")), "left_anti")

@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lossweave.llm import decontamination, packing, recompression, simhash_trie, suffix_dedup, toxicity, warc
+from lossweave.llm import (
+    chat, decontamination, language_id, line_crf, packing, recompression, simhash_trie, suffix_dedup, toxicity, warc,
+)
 from lossweave.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +65,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_line_crf")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    judged = line_crf.judge(docs, line_crf.fit(docs, read(spark, sf_dir, "labels")))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select("doc_id", *counts, "base_failed", "kept", "content_share")
+
+
 @query("op5_recompression")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = recompression.remove_repeats(read(spark, sf_dir, "documents"), window=20)
@@ -82,6 +92,21 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@query("op8_perspectives", chat.perspectives_sql())
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turned = chat.perspectives(read(spark, sf_dir, "conversations"))
+    spans = F.transform("mask", lambda s: F.concat_ws("-", s["start"].cast("string"), s["stop"].cast("string")))
+    return turned.withColumn("mask", F.array_join(spans, ","))
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    named = language_id.identify(docs, language_id.fit(docs))
+    held_out = F.coalesce(language_id.fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    return named.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query("op10_simhash_trie")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, max_distance=2)

@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lossweave.llm.arrays import U64, mix, pieces, text_bytes, word_bounds, word_hashes
 
@@ -207,9 +207,10 @@ def _scores(model: Model):
     return run
 
 
-def score(docs: DataFrame, model: Model, significant: float = 0.05) -> DataFrame:
+def score(docs: DataFrame, model: Model, significant: float = 0.05, keep: bool = False) -> DataFrame:
     """(doc_id, score, predicted, passages): ``passages`` are the segments whose expected number by chance
-    in a text of this length is below ``significant``, in bytes of the lower-cased text."""
+    in a text of this length is below ``significant``, in bytes of the lower-cased text. With ``keep`` the
+    struct column ``row`` holds all columns of the document."""
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,12 +223,18 @@ def score(docs: DataFrame, model: Model, significant: float = 0.05) -> DataFrame
                     values.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
                     strong = calibrated(count, np.array([s for _, _, s in spans]), model) >= -np.log(significant)
                     passages.append([{"start": i, "stop": j, "score": s} for (i, j, s), good in zip(spans, strong) if good])
+                kept = [piece.column("row")] if keep else []
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(values, pa.float64()), pa.array(passages, kind)],
-                    names=["doc_id", "score", "passages"],
+                    [piece.column("doc_id"), pa.array(values, pa.float64()), pa.array(passages, kind), *kept],
+                    names=["doc_id", "score", "passages", "row"][: 3 + keep],
                 )
 
     body = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    schema = "doc_id long, score double, passages array<struct<start: long, stop: long, score: double>>"
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body).mapInArrow(run, schema)
-    return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body, *row)
+    schema = T.StructType().add("doc_id", "long").add("score", "double")
+    schema = schema.add("passages", "array<struct<start: long, stop: long, score: double>>")
+    if keep:
+        schema = schema.add("row", source.schema["row"].dataType)
+    scored = source.mapInArrow(run, schema)
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
