@@ -1,13 +1,84 @@
-"""The corpus pipeline; stages follow."""
+"""The corpus pipeline: from raw documents to packed training sequences.
+
+Each stage calls one operator of ``lossweave.llm`` on all that the stage before it kept, and its result is
+written as Parquet to the shared folder and read again as the next stage's documents. All but the last stage
+return the columns of documents.
+
+Defined results, beside those of the operators: rows without an id are kept by every stage but count as one
+document in decontamination; near duplicates with the smallest id of their group stay, of repeated rows with
+that id one; documents from which suffix-array deduplication took everything go, documents that were empty
+before stay; bytes of a cut text that are not whole characters, and replacement characters, go as well.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from lossweave.llm import decontamination, packing, simhash_trie, suffix_dedup, toxicity
+from lossweave.llm.tables import pin, read
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity scores reject go."""
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, keep=True).where("predicted = 0").select("row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: that with the smallest id."""
+    found = simhash_trie.near_duplicates(docs, shingle=3, max_distance=2)
+    keep = pin(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count(), "kept-ids")
+    ids = keep.select(F.col("doc_id").alias("_keep")).hint("shuffle_hash")
+    chosen = docs.join(ids, docs.doc_id.eqNullSafe(F.col("_keep")), "left_semi")
+    again = keep.where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_again"))
+    if again.isEmpty():
+        return chosen
+    # rows that share the kept id: one stays
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*columns)))
+    many = chosen.join(again, F.col("doc_id") == F.col("_again"), "left_semi").withColumn("_nth", nth)
+    once = chosen.join(again, F.col("doc_id") == F.col("_again"), "left_anti")
+    return once.unionByName(many.where("_nth = 1").drop("_nth"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte strings of 400 bytes or more that occur elsewhere are cut out of the texts."""
+    cut = suffix_dedup.remove_repeats(docs, match=400)
+    touched = F.size("spans") > 0
+    # a cut inside a character leaves bytes that are no text: they become replacement characters, and go
+    text = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
+    body = F.when(touched, text).otherwise(F.col("text"))
+    kept = cut.where(~touched | (F.octet_length("kept") > 0)).withColumn("text", body)
+    length = F.when(touched, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", length).select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a copy of a test item go."""
+    return decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids, packed into sequences of 2048."""
+    packed = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048, end_id=1)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("suffix_array_dedup", cut_repeats),
+    ("benchmark_decontamination", drop_leaks),
+    ("packing", pack_sequences),
+]
+
+#: Fitted models, alignment and tokenizers have no SQL counterpart; the stages are tested one by one.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = pin(stage(spark, docs, sf_dir), name)
     return docs
