@@ -3,8 +3,8 @@
 Words are lower-cased runs of letters and digits. One pass over the texts keeps, of every document that holds
 an n-gram of a test item, the regions around those n-grams (as word hashes, no text); other documents end
 there. The document frequency of each n-gram over the whole corpus then tells which are rare: an item's
-seeds are its n-grams that are no more frequent than its median one, so every item keeps seeds even if a third
-of the corpus holds it. Regions and items that share a seed are aligned by Smith-Waterman over words; the
+seeds are its n-grams that are at most ``common`` times as frequent as its median one, so every item keeps seeds
+even if a third of the corpus holds it, and those that edited copies share with plain ones stay. Regions and items that share a seed are aligned by Smith-Waterman over words; the
 score is divided by that of a perfect copy, so an edited or paraphrased copy of an item is found as well.
 
 Benchmarks of any size are worked through in blocks of at most ``block_words`` words; the block's n-grams are
@@ -151,7 +151,7 @@ def _aligned(block: dict, seeds: dict[int, list[int]], least: float, batch_cells
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5, block_words: int = 500_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5, block_words: int = 500_000, common: float = 8) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word): the best copy of an item in each document where it
     reaches ``least`` of a perfect copy's alignment score; words are counted from 0, the end excluded."""
     spark = docs.sparkSession
@@ -170,9 +170,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float
         seeds = defaultdict(list)
         for key, grams in of_item.items():
             mine = np.unique(grams).view(np.int64).tolist()
-            middle = float(np.median([frequency.get(g, 0) for g in mine]))
+            most = common * max(1.0, float(np.median([frequency.get(g, 0) for g in mine])))
             for g in mine:
-                if frequency.get(g, 0) <= middle:
+                if frequency.get(g, 0) <= most:
                     seeds[g].append(key)
         found = found.unionByName(regions.mapInArrow(_aligned(block, dict(seeds), least), schema))
     best = F.max(F.struct("score", (-F.col("start_word")).alias("back"), "end_word")).alias("best")
