@@ -232,8 +232,8 @@ def score(docs: DataFrame, model: Model, significant: float = 0.05, keep: bool =
     body = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body, *row)
-    schema = T.StructType().add("doc_id", "long").add("score", "double")
-    schema = schema.add("passages", "array<struct<start: long, stop: long, score: double>>")
+    passage = T.StructType().add("start", "long").add("stop", "long").add("score", "double")
+    schema = T.StructType().add("doc_id", "long").add("score", "double").add("passages", T.ArrayType(passage))
     if keep:
         schema = schema.add("row", source.schema["row"].dataType)
     scored = source.mapInArrow(run, schema)

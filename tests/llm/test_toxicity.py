@@ -75,5 +75,5 @@ def test_held_out_documents(spark, corpus):
 def test_without_labels(spark, corpus):
     docs = spark.createDataFrame([r[:2] for r in corpus[:9]], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
-    assert {r.score for r in score(docs, fit(docs, none)).collect()} == {pytest.approx(0, abs=1e-9)}
+    assert all(0 <= r.score < 1e-9 for r in score(docs, fit(docs, none)).collect())
     assert score(docs.limit(0), fit(docs.limit(0), none)).count() == 0
