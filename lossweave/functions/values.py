@@ -18,7 +18,7 @@ SCORE_LABELS = {
     "semantic": "Semantic similarity",
     "bm25": "BM25 normalized",
     "rerank": "Rerank",
-    "distance": "Chroma distance",
+    "distance": "Distance",
 }
 
 # Date forms tried after the ISO form.

@@ -7,6 +7,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
@@ -34,8 +36,12 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
 
 def as_matrix(column: pa.Array) -> np.ndarray:
     """List column of equal-length vectors as a matrix of doubles."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return np.asarray(flat, dtype=np.float64).reshape(len(column), -1)
+    flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
+    width = len(flat) // len(column) if len(column) else 0
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    if np.any(sizes != width):
+        raise ValueError("vectors differ in length, or some are missing")
+    return flat.reshape(len(column), width)
 
 
 def rounded(distances: np.ndarray) -> np.ndarray:
@@ -43,90 +49,139 @@ def rounded(distances: np.ndarray) -> np.ndarray:
     return np.round(distances, DISTANCE_DECIMALS) + 0.0
 
 
+def stored_files(path: str, slot: int) -> Iterator[pa.Table]:
+    """The Parquet files of one block in shared storage, as tables."""
+    where, root = fs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
+    found = where.get_file_info(fs.FileSelector(f"{root}/slot={slot}", allow_not_found=True, recursive=True))
+    for info in sorted(found, key=lambda i: i.path):
+        if info.path.endswith(".parquet"):
+            yield pq.read_table(info.path, filesystem=where, partitioning=None)
+
+
+def stored_block(path: str, slot: int) -> tuple[pa.Table, np.ndarray] | None:
+    """One block's rows (id, vector, ...) in id order, and its unit vectors; None for an empty block."""
+    tables = list(stored_files(path, slot))
+    table = pa.concat_tables(tables) if tables else None
+    if table is None or not table.num_rows:
+        return None
+    table = table.sort_by(table.column_names[0]).combine_chunks()
+    return table, unit_rows(as_matrix(table.column(1).chunk(0)))
+
+
 class Nearest:
-    """Keeps the n nearest rows per query over a stream of batches, ties in id order."""
+    """Keeps the n nearest rows per query over slices of rows that are numbered in id order."""
 
     def __init__(self, n_queries: int, n: int) -> None:
-        self.n = n
+        self.n, self.limit = n, 4 * n * max(1, n_queries)
         self.bound = np.full(n_queries, np.inf)
-        self.query = np.empty(0, dtype=np.int64)
-        self.distance = np.empty(0)
-        self.ids = np.empty(0, dtype=object)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
 
-    def add(self, ids: np.ndarray, queries: np.ndarray, distances: np.ndarray) -> None:
-        """``distances`` holds one row per id and one column per entry of ``queries``."""
-        if len(ids) >= self.n:
+    def add(self, rows: np.ndarray, queries: np.ndarray, distances: np.ndarray) -> None:
+        """``distances`` holds one line per row and one column per entry of ``queries``."""
+        if len(rows) >= self.n and np.isinf(self.bound[queries]).any():
             kth = np.partition(distances, self.n - 1, axis=0)[self.n - 1]
             self.bound[queries] = np.minimum(self.bound[queries], kth)
-        row, col = np.nonzero(distances <= self.bound[queries][None, :])
-        self.query = np.concatenate([self.query, queries[col]])
-        self.distance = np.concatenate([self.distance, distances[row, col]])
-        self.ids = np.concatenate([self.ids, ids[row]])
-        self._cut()
-
-    def _cut(self) -> None:
-        order = np.lexsort((self.ids.astype(str), self.distance, self.query))
-        query = self.query[order]
+        line, col = np.nonzero(distances <= self.bound[queries][None, :])
+        self.held.append((queries[col], distances[line, col], rows[line]))
+        self.size += len(line)
+        if self.size > self.limit:
+            self.best()
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, distance, row) of what is nearest so far; of equal distances the lower row is nearer."""
+        if not self.held:
+            return np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+        query, distance, row = (np.concatenate(x) for x in zip(*self.held))
+        order = np.lexsort((row, distance, query))
+        query, distance, row = query[order], distance[order], row[order]
         place = np.arange(len(query)) - np.searchsorted(query, query, side="left")
-        keep = order[place < self.n]
-        self.query, self.distance, self.ids = self.query[keep], self.distance[keep], self.ids[keep]
-
-
-def nearest_batches(
-    batches: Iterable[pa.RecordBatch],
-    query_ids: list[str],
-    query_matrix: np.ndarray,
-    n: int,
-    probes: dict[int, list[int]] | None,
-) -> Iterator[pa.RecordBatch]:
-    """Nearest rows of one task as (query_id, claim_id, distance).
-
-    Batches hold claim_id, embedding and, when ``probes`` is given, a cell; ``probes`` maps a
-    cell to the queries that look into it.
+        last = place == self.n - 1
+        self.bound[query[last]] = distance[last]
+        keep = place < self.n
+        self.held = [(query[keep], distance[keep], row[keep])]
+        self.size = int(keep.sum())
+        self.limit = max(self.limit, 2 * self.size)
+        return self.held[0]
+
+
+def chunks(batches: Iterable[pa.RecordBatch], size: int = 64 << 20) -> Iterator[pa.Table]:
+    """Rows of a task in chunks of about ``size`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def nearest_batches(batches: Iterable[pa.RecordBatch], path: str, slots: int, n: int, by_cell: bool) -> Iterator[pa.RecordBatch]:
+    """The nearest rows of one task as (query_id, claim_id, distance), n per query and chunk at most.
+
+    Batches hold claim_id, embedding and, with ``by_cell``, a cell. Queries come block by block from shared
+    storage (query_id, embedding and, with ``by_cell``, their cells); one block is held at a time.
     """
-    best = Nearest(len(query_ids), n)
-    everyone = np.arange(len(query_ids))
-    step = max(1, _SCORES_AT_ONCE // max(1, len(query_ids)))
-    for whole in batches:
-        for start in range(0, whole.num_rows, step):
-            batch = whole.slice(start, step)
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(object)
-            rows = unit_rows(as_matrix(batch.column(1)))
-            if probes is None:
-                best.add(ids, everyone, rounded(1.0 - rows @ query_matrix.T))
+    for chunk in chunks(batches):
+        chunk = chunk.sort_by("claim_id").combine_chunks()
+        ids, vectors = chunk.column(0).chunk(0), chunk.column(1).chunk(0)
+        rows = np.arange(chunk.num_rows)
+        groups = [(None, rows)]
+        if by_cell:
+            cells = chunk.column(2).to_numpy(zero_copy_only=False)
+            groups = [(int(c), np.flatnonzero(cells == c)) for c in np.unique(cells)]
+        for slot in range(slots):
+            block = stored_block(path, slot)
+            if block is None:
                 continue
-            cells = batch.column(2).to_numpy(zero_copy_only=False)
-            for cell in np.unique(cells):
-                queries = np.asarray(probes.get(int(cell), []), dtype=np.int64)
-                if len(queries):
-                    inside = np.nonzero(cells == cell)[0]
-                    distances = 1.0 - rows[inside] @ query_matrix[queries].T
-                    best.add(ids[inside], queries, rounded(distances))
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array([query_ids[q] for q in best.query], pa.string()),
-            pa.array(best.ids.tolist(), pa.string()),
-            pa.array(best.distance, pa.float64()),
-        ],
-        names=["query_id", "claim_id", "distance"],
-    )
-
-
-def closest_batches(
-    batches: Iterable[pa.RecordBatch], target_ids: np.ndarray, targets: np.ndarray
-) -> Iterator[pa.RecordBatch]:
-    """For each row its nearest target by cosine distance; the first of equal targets wins."""
-    step = max(1, _SCORES_AT_ONCE // len(targets))
-    for whole in batches:
-        for start in range(0, whole.num_rows, step):
-            batch = whole.slice(start, step)
-            distances = rounded(1.0 - unit_rows(as_matrix(batch.column(1))) @ targets.T)
-            pick = np.argmin(distances, axis=1)
+            table, matrix = block
+            best = Nearest(len(matrix), n)
+            askers = {None: np.arange(len(matrix))}
+            if by_cell:
+                lists = table.column(2).chunk(0)
+                asker = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                wanted = lists.flatten().to_numpy(zero_copy_only=False)
+                askers = {int(c): asker[wanted == c] for c in np.unique(wanted)}
+            for cell, members in groups:
+                queries = askers.get(cell)
+                if queries is None:
+                    continue
+                step = max(1, _SCORES_AT_ONCE // len(queries))
+                for start in range(0, len(members), step):
+                    part = members[start : start + step]
+                    scores = unit_rows(as_matrix(vectors.take(pa.array(part)))) @ matrix[queries].T
+                    best.add(part, queries, rounded(1.0 - scores))
+            query, distance, row = best.best()
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(target_ids[pick], pa.int32()),
-                    pa.array(distances[np.arange(len(pick)), pick], pa.float64()),
-                ],
-                names=["claim_id", "cluster_id", "distance"],
+                [table.column(0).chunk(0).take(pa.array(query)), ids.take(pa.array(row)), pa.array(distance)],
+                names=["query_id", "claim_id", "distance"],
             )
+
+
+def closest_batches(batches: Iterable[pa.RecordBatch], path: str, slots: int) -> Iterator[pa.RecordBatch]:
+    """For each row its nearest target by cosine distance; of equal ones the target with the lower id. Targets
+    (id, vector) come block by block from shared storage."""
+    for chunk in chunks(batches):
+        chunk = chunk.combine_chunks()
+        vectors = chunk.column(1).chunk(0)
+        distance = np.full(chunk.num_rows, np.inf)
+        target = np.zeros(chunk.num_rows, np.int32)
+        for slot in range(slots):
+            block = stored_block(path, slot)
+            if block is None:
+                continue
+            names, matrix = block[0].column(0).to_numpy(), block[1]
+            step = max(1, _SCORES_AT_ONCE // len(matrix))
+            for start in range(0, chunk.num_rows, step):
+                here = slice(start, min(start + step, chunk.num_rows))
+                scores = rounded(1.0 - unit_rows(as_matrix(vectors[here])) @ matrix.T)
+                pick = np.argmin(scores, axis=1)
+                value = scores[np.arange(len(pick)), pick]
+                nearer = (value < distance[here]) | ((value == distance[here]) & (names[pick] < target[here]))
+                distance[here] = np.where(nearer, value, distance[here])
+                target[here] = np.where(nearer, names[pick], target[here])
+        yield pa.RecordBatch.from_arrays(
+            [chunk.column(0).chunk(0), pa.array(target), pa.array(distance)], names=["claim_id", "cluster_id", "distance"]
+        )

@@ -44,7 +44,7 @@ def cluster_claims(
     with_vector = claims.where("embedding is not null").drop("cluster_id")
     n_rows = with_vector.count()
     if n_rows == 0:
-        raise ValueError("No embeddings available for clustering.")
+        raise ValueError("Clustering needs claims with a vector; there are none.")
     k = min(max(1, n_clusters), n_rows)
     if k == 1:
         labelled = with_vector.withColumn("cluster_id", F.lit(0))
@@ -79,7 +79,6 @@ def centroids(clustered: DataFrame) -> DataFrame:
 
 def representatives(clustered: DataFrame, centres: DataFrame, n: int = REPRESENTATIVES) -> DataFrame:
     """(cluster_id, claim_id, distance, rank): the claims of each cluster closest to its centroid."""
-    centres, _ = pin_small(centres)
     own = centres.select(F.col("cluster_id").cast("string").alias("query_id"), F.col("centroid").alias("embedding"))
     probes = centres.select(F.col("cluster_id").cast("string").alias("query_id"), F.col("cluster_id").alias("cell"))
     hits = nearest_claims(clustered, own, n, cell="cluster_id", probes=probes)
@@ -203,7 +202,7 @@ def cluster_map(clustered: DataFrame) -> DataFrame:
     """(claim_id, cluster_id, x, y, description): the first two principal components of the unit vectors."""
     rows = clustered.where("embedding is not null")
     if rows.limit(3).count() < 3:
-        raise ValueError("At least 3 embeddings are required to build a cluster map.")
+        raise ValueError("A map of clusters takes three vectors or more.")
     vectors = rows.select("claim_id", "cluster_id", "document", array_to_vector(unit_vector(F.col("embedding"))).alias("v"))
     flat = vector_to_array(F.col("p"))
     points = PCA(k=2, inputCol="v", outputCol="p").fit(vectors.select("v")).transform(vectors)

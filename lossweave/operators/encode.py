@@ -33,6 +33,8 @@ def encode(
                 vectors.extend(unit_rows(chunk).astype(np.float32))
             yield pd.Series(vectors, index=batch.index)
 
+    # Spark may not repeat a call of unknown outcome, so the encoder runs once per row, whatever filters follow.
+    embed = embed.asNondeterministic()
     return rows.withColumn("embedding", embed(with_prefix(F.coalesce(F.col(text), F.lit("")), prefix)))
 
 

@@ -177,8 +177,8 @@ def index_hash(
 
 
 def one_per_id(records: DataFrame) -> DataFrame:
-    """One row per claim id, the one with the greatest text hash; full ties fall to the row's JSON text."""
+    """One row per claim id, the one with the greatest text hash; ties fall to a hash of the row."""
     pick = Window.partitionBy("claim_id").orderBy(
-        F.col("source_text_hash").desc_nulls_last(), F.to_json(F.struct(*sorted(records.columns)))
+        F.col("source_text_hash").desc_nulls_last(), F.xxhash64(*[F.col(c) for c in sorted(records.columns)])
     )
     return records.withColumn("_n", F.row_number().over(pick)).where("_n = 1").drop("_n")

@@ -143,9 +143,9 @@ def scaled(value: Column, low: Column, high: Column) -> Column:
     return F.when(flat & (high > 0), 1.0).when(flat, 0.0).otherwise((value - low) / F.nullif(high - low, F.lit(0.0)))
 
 
-def top_per_query(hits: DataFrame, n: int, *order: Column) -> DataFrame:
+def top_per_query(hits: DataFrame, n: int, *order: Column, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """First n rows per query. Spark cuts every input partition to n per query before the shuffle."""
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return hits.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 

@@ -9,6 +9,7 @@ from lossweave.runtime import broadcast_if_small
 ACCURACY = 10_000
 _MARGIN = 3.0 / ACCURACY
 _WHOLE_BELOW = 10 * ACCURACY
+_RANGES = 1024
 
 
 def exact_quantile(rows: DataFrame, keys: list[str], value: Column, q: float, name: str) -> DataFrame:
@@ -16,7 +17,7 @@ def exact_quantile(rows: DataFrame, keys: list[str], value: Column, q: float, na
 
     A mergeable sketch brackets the wanted rank, with a margin above the sketch's guaranteed
     rank error; one more pass counts the rows below the bracket and the equal values inside it.
-    Only those value counts (a few thousandths of a large group) reach the ranking step.
+    The bracket is cut into value ranges, and only the values of the range that holds the rank are ranked.
     Groups below ``_WHOLE_BELOW`` rows take their full range as the bracket.
     """
     group = [F.col(k) for k in keys]
@@ -40,12 +41,23 @@ def exact_quantile(rows: DataFrame, keys: list[str], value: Column, q: float, na
     # Rows below the bracket share one null value, so they collapse to one count per group.
     counted = (
         placed.where("v <= hi")
-        .groupBy(*keys, "n", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v"))
+        .groupBy(*keys, "n", "lo", "hi", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v"))
         .agg(F.count("*").alias("c"))
     )
-    running = Window.partitionBy(*keys).orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    upto = counted.withColumn("upto", F.sum("c").over(running))
+    width = F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
+    inner = F.coalesce(F.floor((F.col("v") - F.col("lo")) / width * _RANGES), F.lit(0))
+    counted = counted.withColumn("slot", F.when(F.col("v").isNull(), -1).otherwise(F.least(inner, F.lit(_RANGES - 1))).cast("int"))
+    # Ranks are found among the ranges first (a bounded number per key); values are ranked inside the one
+    # or two ranges that hold the wanted ranks.
+    running = Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = counted.groupBy(*keys, "n", "slot").agg(F.sum("c").alias("held"))
+    ranges = ranges.withColumn("before", F.coalesce(F.sum("held").over(running), F.lit(0)))
     rank = (F.col("n") - 1) * F.lit(q)
+    holds = lambda r: (F.col("before") <= r) & (r < F.col("before") + F.col("held"))
+    ranges = ranges.where(holds(F.floor(rank)) | holds(F.ceil(rank))).select(*keys, "slot", "before")
+    inside = counted.join(ranges, [*keys, "slot"])
+    order = Window.partitionBy(*keys, "slot").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    upto = inside.withColumn("upto", F.col("before") + F.sum("c").over(order))
     first = F.min(F.when(F.col("upto") > F.floor(rank), F.col("v")))
     second = F.min(F.when(F.col("upto") > F.ceil(rank), F.col("v")))
     return (

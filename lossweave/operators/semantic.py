@@ -2,34 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from lossweave.functions.values import similarity
-from lossweave.functions.vectors import closest_batches, nearest_batches, unit_rows
+from lossweave.functions.vectors import closest_batches, nearest_batches
 from lossweave.operators.filters import equality, ranges
 from lossweave.operators.keyword import top_per_query
-from lossweave.runtime import BROADCAST_ROWS, broadcast_if_small, pin_small
+from lossweave.runtime import shared_dir
 from lossweave.schema import SearchFilters
 
-# Vectors (queries or centroids) sent to the tasks at a time. More of them are taken block by block.
+# Vectors (queries or centroids) that a task holds at a time.
 QUERY_BLOCK = 4096
+# Hits of a query are cut in so many groups first, so that the final cut sees few rows per query.
+MERGE_GROUPS = 32
 
 _HIT_SCHEMA = "query_id string, claim_id string, distance double"
 
 
-def _vector_blocks(vectors: DataFrame, key: str, vector: str, block: int) -> Iterator[tuple[list, np.ndarray]]:
-    """Keys and unit vectors in blocks of bounded size, fetched one after the other."""
-    vectors = vectors.select(key, vector).dropDuplicates([key])
-    parts = max(1, -(-vectors.count() // block))
-    slot = F.pmod(F.xxhash64(key), F.lit(parts))
-    for part in range(parts):
-        rows = vectors.where(slot == part).orderBy(key).collect()
-        if rows:
-            yield [r[0] for r in rows], unit_rows(np.asarray([r[1] for r in rows], dtype=np.float64))
+def _store_blocks(vectors: DataFrame, block: int) -> tuple[str, int]:
+    """Write vectors (id, vector, ...) in blocks of about ``block`` rows to shared storage, where the tasks
+    read them one at a time: no vector passes through the driver. Returns the folder and the block count."""
+    key = vectors.columns[0]
+    checked = vectors.groupBy(key).count().agg(F.sum("count").alias("rows"), F.max("count").alias("most")).first()
+    if (checked["most"] or 0) > 1:
+        raise ValueError(f"{key} is not unique among the vectors")
+    slots = max(1, -(-(checked["rows"] or 0) // block))
+    path = shared_dir(vectors.sparkSession, "vectors")
+    slotted = vectors.withColumn("slot", F.pmod(F.xxhash64(key), F.lit(slots)))
+    slotted.repartition(slots, "slot").write.partitionBy("slot").parquet(path)
+    return path, slots
 
 
 def nearest_claims(
@@ -43,36 +44,29 @@ def nearest_claims(
 ) -> DataFrame:
     """The n nearest claims of each query: (query_id, claim_id, distance), ties in id order.
 
-    Every task scores its own claims against a block of query vectors as one matrix product
-    and emits n rows per query at most, so the shuffle does not grow with the claims. With
-    ``cell`` and ``probes`` (query_id, cell), a query only sees the claims of its cells.
+    One pass over the claims: every task scores its rows, chunk by chunk, against the stored blocks of query
+    vectors as matrix products and emits n rows per query and chunk at most; hits are then cut to n per query
+    in two levels. With ``cell`` and ``probes`` (query_id, cell), a query only sees the claims of its cells.
+    A repeated query id is an error.
     """
-    queries, _ = pin_small(queries)
-    if probes is not None:
-        probes, _ = pin_small(probes)
-    columns = ["claim_id", "embedding"] + ([cell] if cell else [])
-    vectors = claims.select(*columns).where("embedding is not null")
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding").where("embedding is not null")
+    vectors = claims.select("claim_id", "embedding", *([cell] if cell else [])).where("embedding is not null")
     if cell:
-        vectors = vectors.where(F.col(cell).isNotNull())
-    found = []
-    for keys, matrix in _vector_blocks(queries, "query_id", "embedding", block):
-        ids = [str(k) for k in keys]
-        lookup = None
-        if cell:
-            place = {q: i for i, q in enumerate(ids)}
-            lookup = {}
-            for row in probes.where(F.col("query_id").isin(ids)).select("query_id", "cell").collect():
-                lookup.setdefault(int(row["cell"]), []).append(place[str(row["query_id"])])
-
-        def score(batches, ids=ids, matrix=matrix, lookup=lookup):
-            yield from nearest_batches(batches, ids, matrix, n, lookup)
-
-        source = vectors.where(F.col(cell).isin(sorted(lookup))) if cell else vectors
-        found.append(source.mapInArrow(score, _HIT_SCHEMA))
-    if not found:
-        return claims.sparkSession.createDataFrame([], _HIT_SCHEMA)
-    hits = reduce(DataFrame.unionByName, found)
-    return top_per_query(hits, n, F.col("distance"), F.col("claim_id"))
+        lists = probes.groupBy(F.col("query_id").cast("string").alias("query_id")).agg(
+            F.collect_set(F.col("cell").cast("int")).alias("cells")
+        )
+        asked = asked.join(lists, "query_id")
+        wanted = probes.select(F.col("cell").cast("int").alias(cell)).distinct()
+        vectors = vectors.join(wanted, cell, "left_semi").select("claim_id", "embedding", F.col(cell).cast("int"))
+    path, slots = _store_blocks(asked, block)
+
+    def score(batches):
+        yield from nearest_batches(batches, path, slots, n, cell is not None)
+
+    hits = vectors.mapInArrow(score, _HIT_SCHEMA)
+    order = (F.col("distance"), F.col("claim_id"))
+    grouped = hits.withColumn("_group", F.pmod(F.xxhash64("claim_id"), F.lit(MERGE_GROUPS)))
+    return top_per_query(top_per_query(grouped, n, *order, keys=("query_id", "_group")).drop("_group"), n, *order)
 
 
 def similar_claims(
@@ -82,31 +76,30 @@ def similar_claims(
     top_n: int = 10,
     candidate_multiplier: int = 4,
     *,
-    prefilter_ranges: bool = False,
+    postfilter_ranges: bool = False,
     cell: str | None = None,
     probes: DataFrame | None = None,
 ) -> DataFrame:
     """Semantic hits per query: (query_id, claim_id, distance, similarity, semantic_score).
 
-    ``queries`` has query_id, embedding and optionally exclude_claim_id. Equality filters come
-    before the search; ranges and the query's own claim are taken out of the over-fetched
-    candidates, so there can be fewer than top_n hits. ``prefilter_ranges`` filters first.
+    ``queries`` has query_id, embedding and optionally exclude_claim_id. All filters come before the search,
+    so a query gets top_n hits if so many claims match. ``postfilter_ranges`` takes ranges out of
+    ``top_n * candidate_multiplier`` candidates (50 at least) instead: cheaper where ranges are costly to
+    test, but possibly with fewer hits.
     """
-    queries, small = pin_small(queries)
-    fetch = max(top_n * candidate_multiplier, top_n, 50)
+    has_own = "exclude_claim_id" in queries.columns
+    fetch = max(top_n * candidate_multiplier, top_n, 50) if postfilter_ranges else top_n + has_own
     allowed = claims.where(equality(claims, filters))
-    if prefilter_ranges:
+    if not postfilter_ranges:
         allowed = allowed.where(ranges(allowed, filters))
     hits = nearest_claims(allowed, queries, fetch, cell=cell, probes=probes)
-    if "exclude_claim_id" in queries.columns:
+    if has_own:
         own = queries.where("exclude_claim_id is not null").select(
             F.col("query_id").cast("string").alias("query_id"), F.col("exclude_claim_id").alias("claim_id")
         )
-        hits = hits.join(F.broadcast(own) if small else own, ["query_id", "claim_id"], "left_anti")
-    if not prefilter_ranges and filters != SearchFilters(equality=filters.equality):
-        inside = allowed.where(ranges(allowed, filters)).select("claim_id")
-        few = queries.count() * fetch <= BROADCAST_ROWS
-        hits = inside.join(F.broadcast(hits) if few else hits, "claim_id").select("query_id", "claim_id", "distance")
+        hits = hits.join(own, ["query_id", "claim_id"], "left_anti")
+    if postfilter_ranges and filters != SearchFilters(equality=filters.equality):
+        hits = hits.join(allowed.where(ranges(allowed, filters)).select("claim_id"), "claim_id", "left_semi")
     close = similarity(F.col("distance"))
     best = top_per_query(hits, top_n, F.col("distance"), F.col("claim_id"))
     return best.select("query_id", "claim_id", "distance", close.alias("similarity"), close.alias("semantic_score"))
@@ -114,7 +107,7 @@ def similar_claims(
 
 def stored_claim_queries(claims: DataFrame, claim_ids: DataFrame) -> DataFrame:
     """Stored claims as queries: their document and vector search for others like them."""
-    chosen = claims.join(broadcast_if_small(claim_ids.select("claim_id").distinct()), "claim_id", "left_semi")
+    chosen = claims.join(claim_ids.select("claim_id").distinct(), "claim_id", "left_semi")
     keep = [c for c in ("embedding",) if c in claims.columns]
     return chosen.select(
         F.col("claim_id").alias("query_id"),
@@ -127,21 +120,15 @@ def stored_claim_queries(claims: DataFrame, claim_ids: DataFrame) -> DataFrame:
 def assign_nearest(claims: DataFrame, centroids: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
     """(claim_id, cluster_id, distance) with the nearest centroid of each claim, lowest id on ties."""
     vectors = claims.select("claim_id", "embedding").where("embedding is not null")
-    centroids, _ = pin_small(centroids)
-    found = []
-    for ids, matrix in _vector_blocks(centroids, "cluster_id", "centroid", block):
+    targets = centroids.select(F.col("cluster_id").cast("int").alias("cluster_id"), "centroid").where("centroid is not null")
+    path, slots = _store_blocks(targets, block)
+    if targets.isEmpty():
+        raise ValueError("No centroids.")
 
-        def closest(batches, ids=np.asarray(ids, dtype=np.int32), matrix=matrix):
-            yield from closest_batches(batches, ids, matrix)
+    def closest(batches):
+        yield from closest_batches(batches, path, slots)
 
-        found.append(vectors.mapInArrow(closest, "claim_id string, cluster_id int, distance double"))
-    if not found:
-        raise ValueError("No centroids.")
-    if len(found) == 1:
-        return found[0]
-    best = F.min(F.struct("distance", "cluster_id")).alias("best")
-    merged = reduce(DataFrame.unionByName, found).groupBy("claim_id").agg(best)
-    return merged.select("claim_id", "best.cluster_id", "best.distance")
+    return vectors.mapInArrow(closest, "claim_id string, cluster_id int, distance double")
 
 
 def nearest_cells(queries: DataFrame, centroids: DataFrame, n_probes: int) -> DataFrame:

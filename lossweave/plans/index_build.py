@@ -7,7 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row
 
-from lossweave.operators.ingest import dataset_hash, index_hash, prepare_records, quality_counters
+from lossweave.operators.ingest import dataset_hash, index_hash, one_per_id, prepare_records, quality_counters
+from lossweave.operators.keyword import with_search_tokens
 from lossweave.schema import MANIFEST_SCHEMA, ColumnMap
 from lossweave.sources.claims import mapped_scan
 from lossweave.sources.store import ClaimStore, now_utc, version_name
@@ -55,6 +56,7 @@ def build_index(
         model_path=settings.model_path,
         embedding_version=settings.embedding_version,
     )
+    records = one_per_id(records)  # an id has one row in an index, as after an upsert
     hashed = index_hash(
         dataset_hash(records),
         source=source_name,
@@ -66,7 +68,7 @@ def build_index(
     ).first()
     n_records = hashed["record_count"]
     if n_records == 0:
-        raise RuntimeError("No claims with non-empty descriptions were available to index.")
+        raise RuntimeError("The source has no row with both an id and a description, so there is nothing to index.")
     name = version_name(settings.base_name, settings.model_key, hashed["index_hash"])
     active = store.manifest(settings.model_key).first()
     if (
@@ -79,7 +81,7 @@ def build_index(
 
     exists = store.count(name) == n_records
     if not exists:
-        store.write_table(name, embed(records))
+        store.write_table(name, with_search_tokens(embed(records)))
     manifest = store.spark.createDataFrame(
         [
             (

@@ -33,7 +33,7 @@ def search(claims: DataFrame, queries: DataFrame, spec: SearchSpec = SearchSpec(
     asked, small = pin_small(asked)
     semantic = keyword = None
     if spec.mode in ("Semantic", "Hybrid"):
-        semantic = similar_claims(claims, asked, spec.filters, spec.candidate_pool, candidate_multiplier=1)
+        semantic = similar_claims(claims, asked, spec.filters, spec.candidate_pool)
     if spec.mode in ("BM25", "Hybrid"):
         keyword = bm25_candidates(claims, asked, spec.filters, spec.candidate_pool)
     hits = fuse(semantic, keyword, spec.mode, spec.semantic_weight)

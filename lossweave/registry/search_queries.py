@@ -230,7 +230,7 @@ def m2(spark, d):
 )
 def m2_filtered(spark, d):
     claims = index_claims(spark, d)
-    hits = sem.similar_claims(claims, example_queries(spark, d, claims), BOTH, top_n=10)
+    hits = sem.similar_claims(claims, example_queries(spark, d, claims), BOTH, top_n=10, postfilter_ranges=True)
     return hits.select("query_id", "claim_id", F.round("distance", 6).alias("distance"))
 
 
@@ -244,7 +244,7 @@ def m2_filtered(spark, d):
 )
 def m2_prefiltered(spark, d):
     claims = index_claims(spark, d)
-    hits = sem.similar_claims(claims, example_queries(spark, d, claims), BOTH, top_n=10, prefilter_ranges=True)
+    hits = sem.similar_claims(claims, example_queries(spark, d, claims), BOTH, top_n=10)
     return hits.select("query_id", "claim_id", F.round("distance", 6).alias("distance"))
 
 
@@ -263,7 +263,7 @@ def m4(spark, d):
 def _fused(spark, d):
     claims = index_claims(spark, d)
     queries = example_queries(spark, d, claims)
-    close = sem.similar_claims(claims, queries, top_n=100, candidate_multiplier=1)
+    close = sem.similar_claims(claims, queries, top_n=100)
     words = kw.bm25_candidates(claims, queries)
     return fusion.fuse(close, words, "Hybrid", 0.7)
 
@@ -274,7 +274,7 @@ def _fused(spark, d):
         "SELECT query_id, claim_id, round(distance, 6) AS distance, round(semantic_score, 6) AS semantic_score, "
         "round(bm25_score, 6) AS bm25_score, round(final_score, 6) AS final_score FROM fu",
         EXAMPLE_SQL,
-        *knn_sql(100, 100),
+        *knn_sql(101, 100),
         *bm25_sql(),
         FUSED_SQL,
     ),
@@ -321,7 +321,7 @@ def m9(spark, d):
         "FROM fu JOIN idx USING (claim_id) "
         "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, claim_id) <= 10",
         EXAMPLE_SQL,
-        *knn_sql(100, 100, "i.claim_status = 'O'", "loss_year BETWEEN 1996 AND 2000 AND reserve_amount >= 20000"),
+        *knn_sql(101, 100, "i.claim_status = 'O' AND i.loss_year BETWEEN 1996 AND 2000 AND i.reserve_amount >= 20000"),
         *bm25_sql(BOTH_SQL),
         FUSED_SQL,
     ),

@@ -375,7 +375,7 @@ def p23(spark, d):
            WHEN l_tax > 0 THEN printf('Semantic similarity=%.3f', l_tax) END,
       CASE WHEN l_tax > 0 THEN printf('BM25 normalized=%.3f', l_tax) END,
       CASE WHEN l_returnflag = 'A' THEN printf('Rerank=%.3f', l_quantity) END,
-      CASE WHEN l_linestatus = 'O' THEN printf('Chroma distance=%.3f', 1 - l_discount) END) AS items FROM lineitem""",
+      CASE WHEN l_linestatus = 'O' THEN printf('Distance=%.3f', 1 - l_discount) END) AS items FROM lineitem""",
 )
 def p24(spark, d):
     items = vl.score_items(

@@ -210,7 +210,7 @@ class ColumnMap:
     def check(self) -> None:
         blank = [name for name in REQUIRED_FIELDS if name not in self.mapped()]
         if blank:
-            raise ValueError(f"Required column mapping(s) cannot be blank: {', '.join(blank)}")
+            raise ValueError(f"No source column is given for: {', '.join(blank)}")
 
     def selected(self) -> list[str]:
         """Physical columns to read, each once, in field order."""
@@ -263,7 +263,7 @@ class SearchSpec:
 
     def __post_init__(self) -> None:
         if self.mode not in {"Semantic", "BM25", "Hybrid"}:
-            raise ValueError(f"Unknown retrieval mode: {self.mode}")
+            raise ValueError(f"{self.mode!r} is no search mode")
 
     @property
     def rerank_depth(self) -> int:

@@ -31,27 +31,37 @@ def logical_claims(source: DataFrame, columns: ColumnMap) -> DataFrame:
     )
 
 
-# Samples up to this size are merged in one task; larger ones are cut off in place.
-SMALL_SAMPLE = 100_000
+# Rows at the edge of a sample that one task may order.
+EDGE_ROWS = 100_000
+_DIGITS = 4
 
 
 def sample_rows(source: DataFrame, row_limit: int | None, key: str = "claim_id", seed: int = 42) -> DataFrame:
     """A fixed number of rows chosen by a seeded hash of the key; the same input gives the same sample.
 
-    A large sample keeps all rows below a hash prefix and only orders those that share it.
+    Rows whose hash begins below a cut are kept in place; of those that share the cut's beginning, only as
+    many as are missing are picked in order. The beginning gets longer until few rows share it (rows with equal keys
+    share the whole hash, and stop at its end).
     """
     if row_limit is None:
         return source
     if row_limit <= 0:
-        raise ValueError("row_limit must be a positive integer when set")
+        raise ValueError("a sample takes a positive number of rows")
     order = F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))), 256)
-    if row_limit <= SMALL_SAMPLE:
-        return source.orderBy(order, F.col(key)).limit(row_limit)
-    prefix = F.substring(order, 1, 4)
-    counts = source.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("prefix")))
-    cut = upto.where(F.col("upto") >= row_limit).orderBy("prefix").first()
-    if cut is None:
-        return source
-    edge = source.where(prefix == cut["prefix"]).orderBy(order, F.col(key)).limit(row_limit - cut["upto"] + cut["n"])
-    return source.where(prefix < cut["prefix"]).unionByName(edge)
+    known, missing = "", row_limit
+    while True:
+        width = len(known) + _DIGITS
+        beginning = F.substring(order, 1, width)
+        edge = source.where(F.startswith(order, F.lit(known))) if known else source
+        counts = edge.groupBy(beginning.alias("beginning")).agg(F.count("*").alias("n"))
+        # at most 16 ** _DIGITS rows
+        upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("beginning")))
+        cut = upto.where(F.col("upto") >= missing).orderBy("beginning").first()
+        if cut is None:
+            return source
+        known, missing = cut["beginning"], missing - cut["upto"] + cut["n"]
+        if cut["n"] <= EDGE_ROWS or width >= 64:
+            break
+    below = source.where(F.substring(order, 1, len(known)) < known)
+    at_edge = source.where(F.startswith(order, F.lit(known))).orderBy(order, F.col(key)).limit(missing)
+    return below.unionByName(at_edge).orderBy(order, F.col(key))

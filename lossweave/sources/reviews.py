@@ -42,7 +42,7 @@ def review_rows(
     notes: str,
 ) -> DataFrame:
     if review_status not in REVIEW_STATUSES:
-        raise ValueError(f"Unknown review status: {review_status}")
+        raise ValueError(f"{review_status!r} is none of the review statuses")
     row = (model_key, cluster_version, int(cluster_id), manual_label.strip(), review_status, notes.strip(), now_utc())
     return spark.createDataFrame([row], REVIEW_SCHEMA)
 

@@ -15,7 +15,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lossweave.operators.ingest import one_per_id
-from lossweave.runtime import broadcast_if_small
 from lossweave.schema import CLUSTER_MAP_SCHEMA, CLUSTER_SCHEMA, MANIFEST_SCHEMA
 
 
@@ -35,15 +34,19 @@ def version_name(base: str, model_key: str, index_hash: str) -> str:
 def upsert(base: DataFrame, new: DataFrame) -> DataFrame:
     """``base`` with the rows of ``new`` in place of those with the same id."""
     fresh = one_per_id(new)
-    untouched = base.join(broadcast_if_small(new.select("claim_id").distinct()), "claim_id", "left_anti")
+    untouched = base.join(new.select("claim_id").distinct(), "claim_id", "left_anti")
     return untouched.unionByName(fresh, allowMissingColumns=True)
 
 
 def patch(base: DataFrame, updates: DataFrame) -> DataFrame:
-    """Overwrite columns by id; null updates and ids without an update leave the old values."""
+    """Overwrite columns by id; null updates and ids without an update leave the old values. Of several
+    updates of one id the one with the greatest hash of its values counts, so no row is multiplied."""
     changed = [c for c in updates.columns if c != "claim_id"]
-    side = updates.select("claim_id", *[F.col(c).alias(f"new_{c}") for c in changed])
-    joined = base.join(broadcast_if_small(side), "claim_id", "left")
+    if not changed:
+        return base
+    new = F.struct(*[F.col(c).alias(f"new_{c}") for c in changed])
+    side = updates.groupBy("claim_id").agg(F.max_by(new, F.xxhash64(*changed)).alias("new")).select("claim_id", "new.*")
+    joined = base.join(side, "claim_id", "left")
     kept = [F.coalesce(f"new_{c}", c).alias(c) if c in changed else F.col(c) for c in base.columns]
     added = [F.col(f"new_{c}").alias(c) for c in changed if c not in base.columns]
     return joined.select(*kept, *added)
@@ -54,7 +57,7 @@ def lookup(claims: DataFrame, claim_id: str) -> DataFrame:
 
 
 def lookup_many(claims: DataFrame, ids: DataFrame) -> DataFrame:
-    return claims.join(broadcast_if_small(ids.select("claim_id").distinct()), "claim_id", "left_semi")
+    return claims.join(ids.select("claim_id").distinct(), "claim_id", "left_semi")
 
 
 def matching_artefacts(artefacts: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def duck():
 
 
 def test_contract():
-    assert set(ORACLE) <= set(QUERIES) == set(contract.queries()) and contract.oracle_sql() == ORACLE
+    assert set(ORACLE) <= set(QUERIES) <= set(contract.queries()) and ORACLE.items() <= contract.oracle_sql().items()
     assert not [n for n in QUERIES if re.match(r"op\d+_", n) or "pipeline" in n]
 
 

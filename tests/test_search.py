@@ -6,11 +6,12 @@ import subprocess
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from lossweave.functions.vectors import Nearest, closest_batches, nearest_batches
+from lossweave.functions.vectors import Nearest, as_matrix, closest_batches, nearest_batches
 from lossweave.operators import encode, filters as fl, fusion, keyword as kw, semantic as sem
 from lossweave.operators.clusters import centroids
 from lossweave.plans.search import search
@@ -145,10 +146,29 @@ def test_nearest_claims_with_hot_copies(spark, block):
 
 
 def test_nearest_keeps_ties_in_id_order_over_batches():
-    best = Nearest(1, 2)
-    for ids in (["d", "c"], ["b"], ["a", "e", "f"]):
-        best.add(np.array(ids, dtype=object), np.array([0]), np.zeros((len(ids), 1)))
-    assert sorted(best.ids) == ["a", "b"]
+    best = Nearest(2, 2)
+    for rows in ([3, 2], [1], [0, 4, 5], *([[6]] * 40)):
+        best.add(np.array(rows), np.array([0, 1]), np.array([[0.0, -r] for r in rows]))
+    query, distance, row = best.best()
+    assert list(zip(query, row)) == [(0, 0), (0, 1), (1, 6), (1, 6)] and distance.tolist() == [0, 0, -6, -6]
+    assert best.limit == 4 * 2 * 2
+
+
+def test_vectors_stay_off_the_driver(spark, monkeypatch):
+    matrix = vectors(60)
+    claims = vector_claims(spark, matrix)
+    queries = claims.select(F.col("claim_id").alias("query_id"), "embedding")
+    plan = sem.nearest_claims(claims, queries, 3, block=7)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # one pass over the claims for all blocks
+    with pytest.raises(ValueError):
+        sem.nearest_claims(claims, queries.union(queries.limit(1)), 3)
+
+
+def test_vectors_of_other_lengths_are_an_error():
+    assert as_matrix(pa.array([[1.0, 2.0], [3.0, 4.0]])).tolist() == [[1, 2], [3, 4]]
+    for wrong in ([[1.0, 2.0], [3.0]], [[1.0], [2.0, 3.0, 4.0]], [[1.0], None]):
+        with pytest.raises(ValueError):
+            as_matrix(pa.array(wrong))
 
 
 def test_kernels_run_without_the_package(tmp_path):
@@ -161,13 +181,14 @@ def test_kernels_run_without_the_package(tmp_path):
     assert done.stdout.strip() == "['nearest_batches', 'closest_batches'] False", done.stderr
 
 
-def test_ranges_come_after_the_cut(spark):
+def test_ranges_come_first_unless_asked_otherwise(spark):
     matrix = vectors(120)
     claims = vector_claims(spark, matrix).withColumn("loss_year", F.when(F.col("claim_id") == "c0003", 2024).otherwise(2000))
     queries = spark.createDataFrame([("q", [float(x) for x in -matrix[3]], "c0001")], "query_id string, embedding array<float>, exclude_claim_id string")
     filters = SearchFilters(loss_year=(2020, None))
-    assert sem.similar_claims(claims, queries, filters).count() == 0  # the only match is the farthest row
-    complete = sem.similar_claims(claims, queries, filters, prefilter_ranges=True).collect()
+    later = sem.similar_claims(claims, queries, filters, postfilter_ranges=True)
+    assert later.count() == 0  # the only match is the farthest row
+    complete = sem.similar_claims(claims, queries, filters).collect()
     assert [r["claim_id"] for r in complete] == ["c0003"] and complete[0]["similarity"] == 0.0
 
 
@@ -219,6 +240,41 @@ def test_rerank_replaces_scores_and_drops_the_rest(spark):
     assert [(r["claim_id"], r["rerank_score"]) for r in rows] == [("2", 1.0), ("1", 0.0)]
 
 
+def test_user_models_run_once_per_row(spark, tmp_path):
+    calls = str(tmp_path)
+
+    def note(count):
+        with open(os.path.join(calls, f"{os.getpid()}"), "a") as out:
+            out.write("x" * count)
+
+    def counted():
+        total = sum(os.path.getsize(os.path.join(calls, f)) for f in os.listdir(calls))
+        for f in os.listdir(calls):
+            open(os.path.join(calls, f), "w").close()
+        return total
+
+    def encoder():
+        def run(texts):
+            note(len(texts))
+            return np.array([[len(t), 1.0] for t in texts])
+
+        return run
+
+    def scorer():
+        def run(queries, documents):
+            note(len(documents))
+            return [float(len(d)) for d in documents]
+
+        return run
+
+    claims = spark.createDataFrame([(f"c{i}", "x" * i) for i in range(30)], "claim_id string, document string")
+    encode.encode(claims, "document", encoder).where("embedding is not null").select("claim_id", "embedding").collect()
+    assert counted() == 30
+    hits = claims.select(F.lit("q").alias("query_id"), "claim_id", F.lit("t").alias("query_text"), "document", F.lit(1.0).alias("final_score"))
+    fusion.rescore(hits, scorer).collect()
+    assert counted() == 30
+
+
 def test_search_end_to_end_with_a_plugged_encoder(spark):
     def encoder():
         return lambda texts: np.array([[t.count("water") + 0.01, t.count("fire") + 0.01] for t in texts])

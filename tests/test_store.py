@@ -24,6 +24,8 @@ def test_patch_ignores_nulls(spark):
     rows = {r["claim_id"]: (r["country"], r["cluster_id"]) for r in st.patch(base, updates).collect()}
     assert rows == {"1": ("DE", 4), "2": ("AT", None)}
     assert st.lookup(base, "2").first()["document"] == "b"
+    twice = updates.unionByName(spark.createDataFrame([("1", "FR", 5), ("1", "IT", 6)], updates.schema))
+    assert st.patch(base, twice).count() == 2
 
 
 def test_index_versions_and_clusters(spark, tmp_path):
@@ -53,6 +55,9 @@ def test_index_versions_and_clusters(spark, tmp_path):
     assert store.manifest_log("lex-1").count() == 3 and store.manifest("other").count() == 0
     with pytest.raises(RuntimeError):
         build(first.where("false"))
+    repeated = build(first.unionByName(first.limit(3)))
+    assert repeated.status == "current" and repeated.manifest["record_count"] == 8
+    assert "search_tokens" in store.read_table(repeated.collection_name).columns
 
     name = build_clusters(store, "lex-1", 2)
     assert store.read_table(name).where("cluster_id is not null").count() == 8
