@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lossweave.llm import (
-    chat, decontamination, language_id, line_crf, packing, recompression, simhash_trie, suffix_dedup, toxicity, warc,
+    chat, decontamination, language_id, line_crf, mixing, packing, recompression, simhash_trie, suffix_dedup, toxicity, warc,
 )
 from lossweave.llm.tables import read
 
@@ -110,3 +110,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash_trie")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, max_distance=2)
+
+
+@query("op11_mixing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3)
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
