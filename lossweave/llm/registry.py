@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lossweave.llm import (
-    chat, decontamination, language_id, line_crf, mixing, packing, recompression, simhash_trie, suffix_dedup, toxicity, warc,
+    chat, decontamination, language_id, line_crf, mixing, packing, prefix_trie, recompression, simhash_trie, suffix_dedup, toxicity, warc,
 )
 from lossweave.llm.tables import read
 
@@ -116,3 +116,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3)
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+@query("op12_prefix_trie", prefix_trie.prefix_nodes_sql(100, 6))
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(read(spark, sf_dir, "conversations"), group=100, heads=6)
