@@ -421,6 +421,7 @@ def prefix_nodes(conversations: DataFrame, group: int = 0, heads: int = 6, band:
     merged = rows.groupBy(*_NODE).agg(
         *[F.max(c).alias(c) for c in ("n", "conv", "before", "p1", "p2", "ends")], *[F.sum(c).alias(c) for c in ("shared", "children", "leaves")]
     )
+    merged = pin(merged, "nodes-merged")
     parents = nodes.select((F.col("depth") + 1).alias("depth"), F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.col("conv").alias("parent"))
     # all of the first turns' nodes have the root as their parent: no join for them
     root = nodes.where("depth = 0").select("conv").scalar()

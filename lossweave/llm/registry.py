@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lossweave.llm import (
-    chat, decontamination, language_id, line_crf, mixing, packing, prefix_trie, recompression, simhash_trie, suffix_dedup, toxicity, warc,
+    chat, decontamination, language_id, line_crf, mixing, packing, periodic, prefix_trie, recompression,
+    simhash_trie, suffix_dedup, toxicity, warc,
 )
 from lossweave.llm.tables import read
 
@@ -121,3 +122,17 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_prefix_trie", prefix_trie.prefix_nodes_sql(100, 6))
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_nodes(read(spark, sf_dir, "conversations"), group=100, heads=6)
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapse_runs(periodic.planted(read(spark, sf_dir, "documents")), least_length=6, exponent=4)
+    listed = F.transform("runs", lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))))
+    lines = F.array_join(F.transform(listed, lambda r: F.concat(r, F.lit("\n"))), "")
+    best = periodic.greatest_run(F.col("runs"))
+    found = found.select("doc_id", "runs", lines.alias("lines"), best.alias("best"), F.sha2(F.encode("kept", "UTF-8"), 256).alias("collapsed_sha256"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.encode("lines", "UTF-8"), 256).alias("runs_sha256"), "collapsed_sha256",
+    )

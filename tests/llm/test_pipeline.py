@@ -47,5 +47,5 @@ def test_stages_take_effect(spark, tmp_path):
 
 def test_everything_is_registered():
     names = list(__spark_entry__.queries())
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 13)] == [1] * 12 and "pipeline" in names
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13 and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
