@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lossweave.llm.arrays import mix, pieces, text_bytes, word_bounds, word_hashes
+from lossweave.llm.arrays import BLOCK, mix, pieces, text_bytes, word_bounds, word_hashes
 
 RUNS = "doc_id long, n_words long, runs array<struct<start: long, length: long, period: long>>, kept string"
 _RUN = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "length", "period")]))
@@ -262,7 +262,7 @@ def collapse_runs(docs: DataFrame, least_length: int = 6, exponent: int = 4, id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", BLOCK):
                 found = _runs_by_text(piece.column("text"), least_length, exponent)
                 counts, kept, runs = [], [], []
                 for k, body in enumerate(piece.column("text")):

@@ -8,9 +8,11 @@ if they lie beyond ``least_z`` standard errors.
 
 Scan: each token scores its log-odds less a small drift, so the sum falls on clean text. All maximal scoring
 segments are found in one pass over the positive tokens (every segment ends where its sum is largest and
-overlaps no other). Segments are calibrated by extreme-value statistics: the largest score of a clean text of
-n tokens exceeds x with probability 1 - exp(-K n exp(-lambda x)), with lambda and K fitted to the clean
-training texts. A logistic fit over the largest and the summed calibrated scores gives the document's score.
+overlaps no other; the scan links each open segment to the last one that starts lower, which makes it linear).
+Segments are calibrated by extreme-value statistics: the largest score of a clean text of n tokens exceeds x
+with probability 1 - exp(-K n exp(-lambda x)). A document's score is a logistic function of its largest
+segment's calibrated score. Lambda, K and that function, in which both classes weigh the same, are fitted to
+scores that each part of the sample gets from a model of the other parts, so they hold for unseen texts.
 
 Defined results: null text is empty text and gets the score of a text without segments; documents without an
 id or a label are scored like all others; a document with several labels counts as toxic if one of them says
@@ -20,6 +22,7 @@ repeated rows give repeated results; an empty table gives an empty result. The l
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +34,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from lossweave.llm.arrays import U64, mix, pieces, text_bytes, word_bounds, word_hashes
 
 BEGINNING = 6  # bytes
+PARTS = 4  # of the sample; each is scored by a model of the others
+_COUNTS = [f"{kind}_{k}" for k in range(PARTS) for kind in ("clean", "toxic")]
 _LETTER = np.array([i >= 0x80 or chr(i).isalnum() for i in range(256)])
 _BY_BEGINNING = U64(0xA5A5F00D5EED1234)
 
@@ -42,7 +47,7 @@ class Model:
     drift: float
     rate: float = 1.0  # lambda
     scale: float = 1.0  # K
-    weights: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    weights: tuple[float, float] = (0.0, 0.0)  # of the logistic decision over the largest segment
 
 
 def fold(key: Column, parts: int) -> Column:
@@ -59,9 +64,10 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def segments_of(places: np.ndarray, values: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments. ``places`` and ``values`` are the scored tokens; any token between them
-    scores ``-drift``. Returns first token, last token and score of each."""
-    stack: list[list] = []  # first, last, sum before, sum after
+    """All maximal scoring segments, in linear time. ``places`` and ``values`` are the scored tokens; any token
+    between them scores ``-drift``. Returns first token, last token and score of each."""
+    done: list[list] = []
+    stack: list[list] = []  # first, last, sum before, sum after, index of the last one below with a lower sum before
     total, seen = 0.0, -1
     for place, value in zip(places.tolist(), values.tolist()):
         total -= drift * (place - seen - 1)
@@ -69,18 +75,24 @@ def segments_of(places: np.ndarray, values: np.ndarray, drift: float) -> list[tu
         if value <= 0:
             total += value
             continue
-        new = [place, place, total, total + value]
+        new = [place, place, total, total + value, -1]
         total += value
+        k = len(stack) - 1
         while True:
-            k = len(stack) - 1
             while k >= 0 and stack[k][2] >= new[2]:
-                k -= 1
-            if k < 0 or stack[k][3] >= new[3]:
+                k = stack[k][4]
+            if k < 0:  # no later sum comes below what is settled here: those segments are final
+                done += stack
+                stack = [new]
+                break
+            if stack[k][3] >= new[3]:
+                new[4] = k
                 stack.append(new)
                 break
-            new = [stack[k][0], new[1], stack[k][2], new[3]]
-            del stack[k:]
-    return [(a, b, high - low) for a, b, low, high in stack]
+            new = [stack[k][0], new[1], stack[k][2], new[3], -1]
+            k, below = stack[k][4], k
+            del stack[below:]
+    return [(a, b, high - low) for a, b, low, high, _ in done + stack]
 
 
 def scan(column: pa.Array, model: Model) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
@@ -102,15 +114,14 @@ def scan(column: pa.Array, model: Model) -> Iterator[tuple[int, list[tuple[int,
 
 
 def calibrated(count: int, scores: np.ndarray, model: Model) -> np.ndarray:
-    """Scores less what chance gives in a text of this length: about ln(1 / E) for expected number E."""
-    return model.rate * scores - np.log(model.scale * max(count, 1))
+    """Scores less what chance gives in a text of this length: about ln(1 / E) for expected number E. In texts so
+    short that chance gives less than one segment, segments are judged as in those where it gives one."""
+    return model.rate * scores - np.log(max(model.scale * count, 1.0))
 
 
-def features(count: int, spans: list[tuple[int, int, float]], model: Model) -> tuple[float, float]:
-    if not spans:
-        return 0.0, 0.0
-    values = np.maximum(calibrated(count, np.array([s for _, _, s in spans]), model), 0)
-    return float(values.max()), float(np.log1p(values.sum()))
+def largest(count: int, scores: np.ndarray, model: Model) -> float:
+    """The calibrated score of a text's largest segment; a text without segments has one of score 0."""
+    return float(calibrated(count, np.array([scores.max(initial=0.0)]), model)[0])
 
 
 def _sample(labels: DataFrame, limit: int) -> DataFrame:
@@ -122,20 +133,28 @@ def _sample(labels: DataFrame, limit: int) -> DataFrame:
 
 
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many toxic and clean documents of the task each token stands."""
+    """In how many clean and toxic documents of each part of the sample each token of the task stands."""
     counts: dict[int, list[int]] = {}
     for batch in batches:
         for piece in pieces(batch, "text"):
             _, _, whole, head, first = tokens_of(piece.column("text"))
-            for k, toxic in enumerate(piece.column("toxic").to_pylist()):
+            for k, group in enumerate(piece.column("group").to_pylist()):
                 for token in np.unique(np.concatenate([x[first[k] : first[k + 1]] for x in (whole, head)])).tolist():
-                    counts.setdefault(token, [0, 0])[toxic] += 1
-    table = np.array([(k, *v) for k, v in counts.items()], np.uint64).reshape(-1, 3).view(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(c) for c in table.T.copy()], names=["token", "clean", "toxic"])
+                    counts.setdefault(token, [0] * (2 * PARTS))[group] += 1
+    table = np.array([(k, *v) for k, v in counts.items()], np.uint64).reshape(-1, 1 + 2 * PARTS).view(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in table.T.copy()], names=["token", *_COUNTS])
+
 
+def _strength(clean: Column, toxic: Column, totals: tuple[int, int], prior: float) -> Column:
+    """Standard errors between a token's log-odds in toxic and in clean documents."""
+    share = prior * (clean + toxic) / max(1, sum(totals))
+    odds = lambda x, n: F.log(x / (n + prior - x))
+    return F.abs(odds(toxic + share, totals[1]) - odds(clean + share, totals[0])) / F.sqrt(1 / (toxic + share) + 1 / (clean + share))
 
-def _log_odds(rows: list, totals: tuple[int, int], prior: float, least_z: float) -> tuple[np.ndarray, np.ndarray]:
-    token, clean, toxic = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+
+def _log_odds(token: np.ndarray, clean: np.ndarray, toxic: np.ndarray, totals: tuple[int, int], prior: float, least_z: float):
+    some = clean + toxic > 0
+    token, clean, toxic = token[some], clean[some], toxic[some]
     share = (clean + toxic) / max(1, sum(totals))
     a_toxic, a_clean = toxic + prior * share, clean + prior * share
     odds = lambda x, n: np.log(x / (n + prior - x))
@@ -146,83 +165,102 @@ def _log_odds(rows: list, totals: tuple[int, int], prior: float, least_z: float)
     return keys[order], delta[strong][order]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def _extremes(rows: np.ndarray) -> tuple[float, float]:
+    """(lambda, K) from clean texts' (number of tokens, largest score)."""
+    count, top = np.maximum(rows[:, 0], 1), rows[:, 1]
+    rate, some = 1.0, top[top > 0]
+    if len(some) >= 10:
+        tail = some[some >= np.median(some)]
+        rate = float(np.clip(1 / max(1e-6, (tail - tail.min()).mean()), 0.1, 3.0))
+    # K n exp(-lambda M) is exponential with mean 1 for the largest score M of a clean text
+    return rate, 1 / max(1e-9, float(np.mean(count * np.exp(-rate * top))))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
+    """Intercept and slope; both classes weigh the same in all."""
+    weight = np.where(y > 0, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, (1 - y).sum())))
     x = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(x.shape[1])
-    keep = ridge * np.diag([1e-6, *[1.0] * (x.shape[1] - 1)])
+    w, keep = np.zeros(2), ridge * np.diag([1e-6, 1.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + keep, x.T @ (y - p) - keep @ w)
+        step = np.linalg.solve(x.T @ (x * (weight * (p * (1 - p) + 1e-9))[:, None]) + keep, x.T @ (weight * (y - p)) - keep @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return w
+    return float(w[0]), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = 6_000, prior: float = 50.0, least_z: float = 3.3, drift: float = 0.3, vocabulary: int = 100_000) -> Model:
-    """Fit on at most ``limit`` toxic and ``2 * limit`` clean documents; at most ``vocabulary`` tokens (the
-    most frequent ones of the sample that occur in three documents or more) are weighed."""
-    sample = _sample(labels, limit)
+def fit(docs: DataFrame, labels: DataFrame, limit: int = 6_000, prior: float = 50.0, least_z: float = 2.5, drift: float = 0.3) -> Model:
+    """Fit on at most ``limit`` toxic and ``2 * limit`` clean documents. All their tokens are weighed. Calibration
+    and decision are fitted on scores from models that did not see the document's part of the sample."""
+    part = F.pmod(F.xxhash64(F.lit(5), F.col("id")), F.lit(PARTS))
+    sample = _sample(labels, limit).withColumn("group", (2 * part + F.col("toxic")).cast("int"))
     body = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    chosen = docs.select(F.col("doc_id").cast("long").alias("id"), body).join(F.broadcast(sample), "id").select("text", "toxic")
-    counts = chosen.mapInArrow(_presence, "token long, clean long, toxic long").groupBy("token")
-    counts = counts.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("clean + toxic >= 3")
-    rows = counts.orderBy(F.desc(F.col("clean") + F.col("toxic")), "token").limit(vocabulary).collect()
-    totals = {r.toxic: r["count"] for r in chosen.groupBy("toxic").count().collect()}
-    clean, toxic = totals.get(0, 0), totals.get(1, 0)
-    none = Model(np.zeros(0, np.uint64), np.zeros(0), drift)
+    # bounded: 3 * limit ids
+    chosen = docs.select(F.col("doc_id").cast("long").alias("id"), body).join(F.broadcast(sample), "id").select("text", "toxic", "group")
+    sizes = np.zeros(2 * PARTS, np.int64)
+    for r in chosen.groupBy("group").count().collect():
+        sizes[r.group] = r["count"]
+    clean, toxic = int(sizes[::2].sum()), int(sizes[1::2].sum())
     if not clean or not toxic:
-        share = 1.0 if toxic else 0.0
-        return Model(none.tokens, none.scores, drift, weights=(30.0 * (2 * share - 1), 0.0, 0.0))
-    model = Model(*_log_odds(rows, (clean, toxic), prior, least_z), drift)
-    scanned = chosen.mapInArrow(_scores(model), "toxic int, count long, scores array<double>").collect()
-    peaks = [(r["count"], max(r.scores, default=0.0)) for r in scanned if not r.toxic]
-    tops = np.array([s for _, s in peaks if s > 0])
-    rate = 1.0
-    if len(tops) >= 10:
-        tail = tops[tops >= np.median(tops)]
-        rate = float(np.clip(1 / max(1e-6, (tail - tail.min()).mean()), 0.1, 3.0))
-    # K n exp(-lambda M) is exponential with mean 1 for the largest score M of a clean text
-    scale = 1 / max(1e-9, float(np.mean([max(n, 1) * np.exp(-rate * s) for n, s in peaks])))
-    model = Model(model.tokens, model.scores, drift, rate, scale)
-    x = np.array([features(r["count"], [(0, 0, s) for s in r.scores], model) for r in scanned])
-    weights = _logistic(x, np.array([r.toxic for r in scanned], float))
-    return Model(model.tokens, model.scores, drift, rate, scale, tuple(weights.tolist()))
-
-
-def _scores(model: Model):
+        return Model(np.zeros(0, np.uint64), np.zeros(0), drift, weights=(30.0 if toxic else -30.0, 0.0))
+    counts = chosen.mapInArrow(_presence, "token long, " + ", ".join(f"{c} long" for c in _COUNTS))
+    counts = counts.groupBy("token").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    sides = [[k for k in range(PARTS) if k != out] for out in (*range(PARTS), None)]
+    totals = [tuple(int(sizes[[2 * k + t for k in side]].sum()) for t in (0, 1)) for side in sides]
+    of = lambda side, t: sum(F.col(_COUNTS[2 * k + t]) for k in side)
+    strong = [(of(s, 0) + of(s, 1) > 0) & (_strength(of(s, 0), of(s, 1), n, prior) >= least_z) for s, n in zip(sides, totals)]
+    # only tokens that are strong for one of the models come to the driver
+    rows = counts.where(functools.reduce(lambda a, b: a | b, strong)).toArrow()
+    token, table = rows.column(0).to_numpy(), np.array([c.to_numpy() for c in rows.columns[1:]])
+    models = []
+    for side, total in zip(sides, totals):
+        own = [table[[2 * k + t for k in side]].sum(axis=0) for t in (0, 1)]
+        models.append(Model(*_log_odds(token, *own, total, prior, least_z), drift))
+    scanned = chosen.mapInArrow(_scores(models[:-1]), "toxic int, count long, top double").toArrow()
+    seen = np.column_stack([scanned.column(c).to_numpy().astype(float) for c in ("count", "top")])
+    toxic_rows = scanned.column("toxic").to_numpy() > 0
+    rate, scale = _extremes(seen[~toxic_rows])
+    whole = Model(models[-1].tokens, models[-1].scores, drift, rate, scale)
+    x = np.array([largest(int(n), np.array([top]), whole) for n, top in seen])
+    weights = _logistic(x, toxic_rows.astype(float))
+    return Model(whole.tokens, whole.scores, drift, rate, scale, weights if weights[1] > 0 else (-30.0, 0.0))
+
+
+def _scores(models: list[Model]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text"):
-                found = list(scan(piece.column("text"), model))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        piece.column("toxic").cast(pa.int32()),
-                        pa.array([n for n, _ in found], pa.int64()),
-                        pa.array([[s for _, _, s in spans] for _, spans in found], pa.list_(pa.float64())),
-                    ],
-                    names=["toxic", "count", "scores"],
-                )
+            parts = batch.column("group").to_numpy() // 2
+            for part in np.unique(parts).tolist():
+                rows = batch.filter(pa.array(parts == part))
+                for piece in pieces(rows, "text"):
+                    found = [(n, max((s for *_, s in spans), default=0.0)) for n, spans in scan(piece.column("text"), models[part])]
+                    yield pa.RecordBatch.from_arrays(
+                        [piece.column("toxic").cast(pa.int32()), *(pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.float64())))],
+                        names=["toxic", "count", "top"],
+                    )
 
     return run
 
 
-def score(docs: DataFrame, model: Model, significant: float = 0.05, keep: bool = False) -> DataFrame:
-    """(doc_id, score, predicted, passages): ``passages`` are the segments whose expected number by chance
-    in a text of this length is below ``significant``, in bytes of the lower-cased text. With ``keep`` the
-    struct column ``row`` holds all columns of the document."""
+def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
+    """(doc_id, score, predicted, passages): the score is the logistic value of the largest segment, and
+    ``passages`` are all segments that reach 0.5 on their own, in bytes of the lower-cased text: a document is
+    predicted toxic if and only if it has one. With ``keep`` the struct column ``row`` holds all columns of the
+    document."""
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("score", pa.float64())]))
 
+    def logit(count: int, scores: np.ndarray) -> np.ndarray:
+        return model.weights[0] + model.weights[1] * calibrated(count, scores, model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
                 values, passages = [], []
                 for count, spans in scan(piece.column("text"), model):
-                    a, b = features(count, spans, model)
-                    z = model.weights[0] + model.weights[1] * a + model.weights[2] * b
-                    values.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-                    strong = calibrated(count, np.array([s for _, _, s in spans]), model) >= -np.log(significant)
-                    passages.append([{"start": i, "stop": j, "score": s} for (i, j, s), good in zip(spans, strong) if good])
+                    z = logit(count, np.array([0.0, *(s for _, _, s in spans)]))
+                    values.append(1 / (1 + np.exp(-np.clip(z.max(), -30, 30))))
+                    passages.append([{"start": i, "stop": j, "score": s} for (i, j, s), own in zip(spans, z[1:]) if own >= 0])
                 kept = [piece.column("row")] if keep else []
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), pa.array(values, pa.float64()), pa.array(passages, kind), *kept],

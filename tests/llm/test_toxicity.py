@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -72,6 +73,33 @@ def test_held_out_documents(spark, corpus):
     assert kept.columns == ["doc_id", "text", "row"] and kept.count() == 403 - 80
 
 
+def test_linear_time_over_many_hits():
+    count = 1_000_000
+    values = np.random.Generator(np.random.PCG64(1)).choice([0.4, -0.1, -0.35], count)
+    for v in (values, np.tile([0.5, -0.2], count // 2), np.tile([0.2, -0.5], count // 2)):
+        begin = time.process_time()
+        found = segments_of(np.arange(count), v, 0.3)
+        assert time.process_time() - begin < 15 and found == sorted(found)
+
+
+def test_short_passages_in_long_texts_among_rare_toxic_rows(spark):
+    draw = random.Random(8)
+    prose, vile = [f"w{i}" for i in range(3000)], [f"vile{i}" for i in range(6)]
+    rows = []
+    for i in range(1500):
+        words = draw.choices(prose, k=draw.choice([40, 300, 3000]) if i < 1450 else 4000)
+        if toxic := i % 25 == 0:
+            at = draw.randrange(len(words))
+            words[at:at] = draw.choices(vile, k=3)
+        rows.append((i, " ".join(words), int(toxic)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = score(docs, fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))).collect()
+    assert all((r.predicted == 1) == (r.score >= 0.5) == bool(r.passages) for r in got)
+    toxic = {r[0] for r in rows if r[2]}
+    found = {r.doc_id for r in got if r.predicted}
+    assert len(found & toxic) >= 0.95 * len(toxic) and len(found - toxic) <= 0.01 * len(rows)
+
+
 def test_without_labels(spark, corpus):
     docs = spark.createDataFrame([r[:2] for r in corpus[:9]], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
