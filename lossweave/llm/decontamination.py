@@ -183,5 +183,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The documents (all columns) that hold no copy of a test item."""
-    leaks = contaminated(docs, benchmark, **settings).select(F.col("doc_id").alias("_leak")).distinct().hint("shuffle_hash")
-    return docs.join(leaks, docs.doc_id.eqNullSafe(F.col("_leak")), "left_anti")
+    leaks = contaminated(docs, benchmark, **settings).select("doc_id").distinct().hint("shuffle_hash")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    clean = rows.join(leaks, F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")), "left_anti")
+    return clean.select("row.*")

@@ -34,9 +34,9 @@ _LEVEL = pa.schema([*((c, pa.int64()) for c in ("key", "ctx", "did", "span")), (
 
 def identified(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     """(did, tag, text): null ids become the least long, null texts the empty text."""
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     return docs.select(
-        F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("did"), tag_of(body).alias("tag"), body.alias("text")
+        F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(NULL_ID)).alias("did"), tag_of(body).alias("tag"), body.alias("text")
     )
 
 

@@ -20,7 +20,7 @@ Further columns are kept unless their names clash with the result's, whose colum
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lossweave.llm import repeats
 from lossweave.llm.arrays import _BYTES, BLOCK, U64, byte_window_hashes, prefix_sums, sliding_minimum, stretch_hashes
@@ -104,7 +104,7 @@ class SuffixIndex:
         return keys.distinct()
 
 
-def repeated_spans(docs: DataFrame, match: int = 400, batches: int = 4) -> DataFrame:
+def repeated_spans(docs: DataFrame, match: int = 400, batches: int = 4, keep_first: bool = False) -> DataFrame:
     """(did, tag, spans) for ``repeats.identified`` documents: the maximal runs of bytes to remove."""
     segments = pin(repeats.segments(docs, cut_segments(match)), "segments")
     index = SuffixIndex()
@@ -112,27 +112,48 @@ def repeated_spans(docs: DataFrame, match: int = 400, batches: int = 4) -> DataF
         of_doc = F.pmod(F.xxhash64("did", repeats.tag_in()), F.lit(batches))
         index.add(segments.where(of_doc == batch))
     shared = segments.join(index.shared_keys(), "key", "left_semi")
-    return repeats.covered(shared, docs, _byte_stretches, match, keep_first=False, grids=(repeats.GRID, 1))
+    return repeats.covered(shared, docs, _byte_stretches, match, keep_first=keep_first, grids=(repeats.GRID, 1))
 
 
-def remove_repeats(docs: DataFrame, match: int = 400, batches: int = 4, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def _inside_character(data: Column, at: Column) -> Column:
+    """Whether a UTF-8 character continues at a byte (from 0)."""
+    return F.substring(data, (at + 1).cast("int"), F.lit(1)).between(F.lit(bytearray([0x80])), F.lit(bytearray([0xBF])))
+
+
+def _whole_characters(data: Column, span: Column) -> Column:
+    """A span, widened to the bounds of the characters that it cuts."""
+    start, stop = span["start"], span["stop"]
+    for _ in range(3):
+        start = F.when(_inside_character(data, start), start - 1).otherwise(start)
+        stop = F.when(_inside_character(data, stop), stop + 1).otherwise(stop)
+    return F.struct(start.alias("start"), stop.alias("stop"))
+
+
+def remove_repeats(
+    docs: DataFrame, match: int = 400, batches: int = 4, id_column: str = "doc_id", text: str = "text",
+    keep_first: bool = False, whole_characters: bool = False,
+) -> DataFrame:
     """All columns of ``docs`` with ``spans`` (removed runs of bytes, start and stop) and ``kept`` (the
-    remaining bytes)."""
-    spans = repeated_spans(repeats.identified(docs, id_column, text), match, batches)
-    spans = spans.select(F.col("did").alias("_did"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans"))
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    key = F.coalesce(F.col(id_column).cast("long"), F.lit(repeats.NULL_ID))
-    docs = docs.drop("spans", "kept")
-    joined = docs.join(spans.hint("shuffle_hash"), (key == F.col("_did")) & (repeats.tag_of(body) == F.col("_tag")), "left")
-    data = F.encode(body, "UTF-8")
+    remaining bytes). With ``keep_first`` a string goes only where it also starts earlier (in a document with a
+    smaller id, or earlier in the same one). With ``whole_characters`` spans take all of a character that they
+    touch, so that ``kept`` is UTF-8."""
+    spans = repeated_spans(repeats.identified(docs, id_column, text), match, batches, keep_first)
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    key = F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(repeats.NULL_ID))
+    own = [c for c in docs.columns if c not in ("spans", "kept")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), key.alias("did"), repeats.tag_of(body).alias("tag"), F.encode(body, "UTF-8").alias("data"))
+    joined = rows.join(spans.hint("shuffle_hash"), ["did", "tag"], "left")
+    if whole_characters:
+        joined = joined.withColumn("spans", F.transform("spans", lambda s: _whole_characters(F.col("data"), s)))
     gaps = F.transform(
-        F.sequence(F.lit(0), F.size("_spans")),
+        F.sequence(F.lit(0), F.size("spans")),
         lambda i: F.struct(
-            F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(F.col("_spans.stop"), i - 1)).alias("start"),
-            F.when(i == F.size("_spans"), F.octet_length(body).cast("long")).otherwise(F.get(F.col("_spans.start"), i)).alias("stop"),
+            F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(F.col("spans.stop"), i - 1)).alias("start"),
+            F.when(i == F.size("spans"), F.octet_length("data").cast("long")).otherwise(F.get(F.col("spans.start"), i)).alias("stop"),
         ),
     )
-    part = lambda all_, g: F.concat(all_, F.substring(data, (g["start"] + 1).cast("int"), (g["stop"] - g["start"]).cast("int")))
-    kept = F.when(F.col("_spans").isNull(), data).otherwise(F.aggregate(gaps, F.lit(b""), part))
+    part = lambda g: F.substring(F.col("data"), (g["start"] + 1).cast("int"), (g["stop"] - g["start"]).cast("int"))
+    pieces = F.aggregate(gaps, F.lit(b""), lambda all_, g: F.concat(all_, part(g)))
+    kept = F.when(F.col("spans").isNull(), F.col("data")).otherwise(pieces)
     none = F.array().cast("array<struct<start: bigint, stop: bigint>>")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce("_spans", none).alias("spans"), kept.alias("kept"))
+    return joined.select("row.*", F.coalesce("spans", none).alias("spans"), kept.alias("kept"))
