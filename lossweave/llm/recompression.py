@@ -28,7 +28,7 @@ from lossweave.llm import repeats
 from lossweave.llm.arrays import (
     U64, mix, prefix_sums, sliding_minimum, stretch_hashes, window_hashes, word_bounds, word_hashes,
 )
-from lossweave.llm.tables import pin
+from lossweave.llm.tables import drop, pin
 
 REACH = 4  # words on either side of a border that its name depends on
 ROUNDS = 2  # after two rounds a border's fate depends on two words on either side
@@ -108,7 +108,8 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     segments = pin(repeats.segments(docs, cut_segments(window)), "symbols")
     counts = segments.groupBy("key").agg(F.count("*").alias("times"))
     keys = pin(counts.where("times > 1").select("key"), "shared-symbols")
-    shared = segments.join(keys, "key", "left_semi")
+    shared = pin(segments.join(keys, "key", "left_semi"), "segments-shared")
+    drop(segments, keys)
     return repeats.covered(shared, docs, _word_stretches, window, keep_first=True, grids=(1,))
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lossweave.llm.arrays import mix, pieces, text_bytes
-from lossweave.llm.tables import pin
+from lossweave.llm.tables import drop, pin
 
 GRID = 32  # windows in a cell; the phase has five bits
 MOST_WINDOWS = 1023  # longer segments are cut; the parts share their key
@@ -154,12 +154,11 @@ def _merged(window: int):
 def covered(shared: DataFrame, docs: DataFrame, hashes_of: Callable, window: int, keep_first: bool, grids: tuple[int, ...]) -> DataFrame:
     """(did, tag, spans): the maximal runs of units covered by repeated windows.
 
-    ``shared`` holds at least all segments whose key occurs twice; ``hashes_of(data, starts, lengths)`` hashes
+    ``shared``, a written table, holds at least all segments whose key occurs twice; ``hashes_of(data, starts, lengths)`` hashes
     stretches of units of a text; ``grids`` are the cell sizes of the levels, the last one 1. With
     ``keep_first`` a window counts as repeated if its content also starts earlier (smaller id, or earlier in
     the same text); otherwise if it also starts anywhere else."""
-    rows = pin(shared, "segments-shared")
-    texts, found = docs, None
+    rows, texts, found = shared, docs, None
     for grid in (*grids, None):
         classes = rows.groupBy("key", "ctx").agg(F.sum("copies").alias("total"), F.min(F.struct("did", "span")).alias("rep"))
         classes = pin(classes, "contents")
@@ -170,17 +169,21 @@ def covered(shared: DataFrame, docs: DataFrame, hashes_of: Callable, window: int
             settled = rows.join(first, ["key", "ctx"]).where(later)
         else:
             settled = rows.join(several, ["key", "ctx"], "left_semi")
-        settled = settled.select("did", "span")
+        settled = pin(settled.select("did", "span"), "settled")
         found = settled if found is None else found.unionByName(settled)
         if grid is None:
+            drop(rows, classes)
             break
         variants = classes.groupBy("key").agg(F.count("*").alias("variants")).where("variants > 1")
         one = F.struct("key", "rep.span", F.least("total", F.lit(2)).cast("int").alias("copies"))
         open_ = classes.join(variants, "key", "left_semi").select(F.col("rep.did").alias("did"), F.col("rep.span").alias("span"), one.alias("one"))
         opened = open_.groupBy("did", tag_in().alias("tag")).agg(F.collect_list("one").alias("opened"))
+        before = texts
         of_texts = texts.select("did", "tag", "text").join(opened.hint("shuffle_hash"), ["did", "tag"])
         if grid != grids[-1]:
             of_texts = texts = pin(of_texts, "texts-opened")
-        rows = pin(of_texts.mapInArrow(_cells(hashes_of, window, grid), LEVEL), "cells")
+        cells = pin(of_texts.mapInArrow(_cells(hashes_of, window, grid), LEVEL), "cells")
+        drop(rows, classes, *([before] if before is not docs else []))
+        rows = cells
     ranges = found.groupBy("did", tag_in().alias("tag")).agg(F.collect_list("span").alias("found"))
     return ranges.mapInArrow(_merged(window), "did long, tag long, spans array<struct<start: long, stop: long>>")

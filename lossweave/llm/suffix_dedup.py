@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lossweave.llm import repeats
 from lossweave.llm.arrays import _BYTES, BLOCK, U64, byte_window_hashes, prefix_sums, sliding_minimum, stretch_hashes
-from lossweave.llm.tables import pin
+from lossweave.llm.tables import drop, pin
 
 SEED = 64
 _PLACE = U64((1 << 24) - 1)
@@ -94,9 +94,17 @@ class SuffixIndex:
         self.hits.append(pin(hits.distinct(), "shared-seeds"))
         rank = 0
         while self.levels and self.levels[-1][0] == rank:
-            own, rank = self._array(own.unionByName(self.levels.pop()[1]), "suffixes"), rank + 1
+            last = self.levels.pop()[1]
+            merged = self._array(own.unionByName(last), "suffixes")
+            drop(own, last)
+            own, rank = merged, rank + 1
         self.levels.append((rank, own))
 
+    def close(self) -> None:
+        """Deletes the arrays; the shared seeds stay."""
+        drop(*[level for _, level in self.levels])
+        self.levels = []
+
     def shared_keys(self) -> DataFrame:
         keys = self.hits[0]
         for more in self.hits[1:]:
@@ -111,7 +119,9 @@ def repeated_spans(docs: DataFrame, match: int = 400, batches: int = 4, keep_fir
     for batch in range(batches):
         of_doc = F.pmod(F.xxhash64("did", repeats.tag_in()), F.lit(batches))
         index.add(segments.where(of_doc == batch))
-    shared = segments.join(index.shared_keys(), "key", "left_semi")
+    index.close()
+    shared = pin(segments.join(index.shared_keys(), "key", "left_semi"), "segments-shared")
+    drop(segments, *index.hits)
     return repeats.covered(shared, docs, _byte_stretches, match, keep_first=keep_first, grids=(repeats.GRID, 1))
 
 
@@ -121,12 +131,15 @@ def _inside_character(data: Column, at: Column) -> Column:
 
 
 def _whole_characters(data: Column, span: Column) -> Column:
-    """A span, widened to the bounds of the characters that it cuts."""
-    start, stop = span["start"], span["stop"]
-    for _ in range(3):
-        start = F.when(_inside_character(data, start), start - 1).otherwise(start)
-        stop = F.when(_inside_character(data, stop), stop + 1).otherwise(stop)
-    return F.struct(start.alias("start"), stop.alias("stop"))
+    """A span, widened to the bounds of the characters that it cuts (of four bytes at most)."""
+
+    def bound(at: Column, step: int) -> Column:
+        out = F.when(~_inside_character(data, at), at)
+        for k in (1, 2):
+            out = out.when(~_inside_character(data, at + k * step), at + k * step)
+        return out.otherwise(at + 3 * step)
+
+    return F.struct(bound(span["start"], -1).alias("start"), bound(span["stop"], 1).alias("stop"))
 
 
 def remove_repeats(
@@ -143,17 +156,15 @@ def remove_repeats(
     own = [c for c in docs.columns if c not in ("spans", "kept")]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), key.alias("did"), repeats.tag_of(body).alias("tag"), F.encode(body, "UTF-8").alias("data"))
     joined = rows.join(spans.hint("shuffle_hash"), ["did", "tag"], "left")
-    if whole_characters:
-        joined = joined.withColumn("spans", F.transform("spans", lambda s: _whole_characters(F.col("data"), s)))
-    gaps = F.transform(
-        F.sequence(F.lit(0), F.size("spans")),
-        lambda i: F.struct(
-            F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(F.col("spans.stop"), i - 1)).alias("start"),
-            F.when(i == F.size("spans"), F.octet_length("data").cast("long")).otherwise(F.get(F.col("spans.start"), i)).alias("stop"),
-        ),
+    data = F.col("data")
+    removed = F.transform("spans", lambda s: _whole_characters(data, s)) if whole_characters else F.col("spans")
+    part = lambda start, stop: F.substring(data, (start + 1).cast("int"), (stop - start).cast("int"))
+    kept = F.aggregate(
+        removed,
+        F.struct(F.lit(0).cast("long").alias("at"), F.lit(b"").alias("kept")),
+        lambda state, s: F.struct(s["stop"].alias("at"), F.concat(state["kept"], part(state["at"], s["start"])).alias("kept")),
+        lambda state: F.concat(state["kept"], part(state["at"], F.octet_length(data).cast("long"))),
     )
-    part = lambda g: F.substring(F.col("data"), (g["start"] + 1).cast("int"), (g["stop"] - g["start"]).cast("int"))
-    pieces = F.aggregate(gaps, F.lit(b""), lambda all_, g: F.concat(all_, part(g)))
-    kept = F.when(F.col("spans").isNull(), F.col("data")).otherwise(pieces)
+    kept = F.when(F.col("spans").isNull(), data).otherwise(kept)
     none = F.array().cast("array<struct<start: bigint, stop: bigint>>")
-    return joined.select("row.*", F.coalesce("spans", none).alias("spans"), kept.alias("kept"))
+    return joined.select("row.*", F.coalesce(removed, none).alias("spans"), kept.alias("kept"))

@@ -22,7 +22,19 @@ def pin(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.pinned_at = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of pinned tables that nothing reads any more; other frames are left alone."""
+    for table in tables:
+        path = getattr(table, "pinned_at", None)
+        if path:
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def task_count(spark: SparkSession, rows: int, rows_per_task: int) -> int:

@@ -31,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from lossweave.llm.arrays import U64, mix, pieces, text_bytes, word_bounds, word_hashes
+from lossweave.llm.arrays import BLOCK, U64, mix, pieces, text_bytes, word_bounds, word_hashes
 
 BEGINNING = 6  # bytes
 PARTS = 4  # of the sample; each is scored by a model of the others
@@ -136,7 +136,7 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many clean and toxic documents of each part of the sample each token of the task stands."""
     counts: dict[int, list[int]] = {}
     for batch in batches:
-        for piece in pieces(batch, "text"):
+        for piece in pieces(batch, "text", BLOCK):
             _, _, whole, head, first = tokens_of(piece.column("text"))
             for k, group in enumerate(piece.column("group").to_pylist()):
                 for token in np.unique(np.concatenate([x[first[k] : first[k + 1]] for x in (whole, head)])).tolist():
@@ -233,7 +233,7 @@ def _scores(models: list[Model]):
             parts = batch.column("group").to_numpy() // 2
             for part in np.unique(parts).tolist():
                 rows = batch.filter(pa.array(parts == part))
-                for piece in pieces(rows, "text"):
+                for piece in pieces(rows, "text", BLOCK):
                     found = [(n, max((s for *_, s in spans), default=0.0)) for n, spans in scan(piece.column("text"), models[part])]
                     yield pa.RecordBatch.from_arrays(
                         [piece.column("toxic").cast(pa.int32()), *(pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.float64())))],
@@ -255,7 +255,7 @@ def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", BLOCK):
                 values, passages = [], []
                 for count, spans in scan(piece.column("text"), model):
                     z = logit(count, np.array([0.0, *(s for _, _, s in spans)]))
