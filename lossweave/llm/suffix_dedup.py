@@ -2,9 +2,9 @@
 
 The arrays are sparse: of the suffixes of a text only those at content-defined anchors enter. A 400-byte
 string holds 337 seeds of 64 bytes; the seed with the least hash is its anchor, so equal strings share their
-anchor, wherever they stand. An array is dealt out by the anchor's seed (a hash of the suffix's first 64
-bytes), and inside a task its entries lie in the order of that seed and then of the surrounding segment, so
-that suffixes with a common prefix of at least 64 bytes are neighbours.
+anchor, wherever they stand. An array is dealt out by ranges of the anchor's seed (a hash of the suffix's first
+64 bytes) and the surrounding segment, and inside a task its entries lie in that order, so that suffixes with a
+common prefix of at least 64 bytes are neighbours.
 
 New batches get an array of their own, which is merge-scanned (a sort-merge join on the suffix order) against
 every level of the index to find seeds that both hold. Then levels of equal rank merge, like the carries of a
@@ -80,14 +80,16 @@ class SuffixIndex:
     @staticmethod
     def _array(entries: DataFrame, label: str) -> DataFrame:
         summed = entries.groupBy("key", "ctx").agg(F.sum("copies").alias("copies"))
-        return pin(summed.repartition("key").sortWithinPartitions("key", "ctx"), label)
+        tasks = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # by ranges of the order: a seed with very many surroundings is split over neighbouring tasks
+        return pin(summed.repartitionByRange(tasks, "key", "ctx").sortWithinPartitions("key", "ctx"), label)
 
     def add(self, segments: DataFrame) -> None:
         own = self._array(segments.select("key", "ctx", "copies"), "suffixes")
         inside = own.groupBy("key").agg(F.sum("copies").alias("times"))
         found = [inside.where("times > 1").select("key")]
         keys = own.select("key").distinct()
-        found += [keys.join(level.select("key").hint("merge"), "key", "left_semi") for _, level in self.levels]
+        found += [keys.join(level.select("key").distinct().hint("merge"), "key", "left_semi") for _, level in self.levels]
         hits = found[0]
         for more in found[1:]:
             hits = hits.unionByName(more)
