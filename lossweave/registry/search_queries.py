@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lossweave.operators import encode, filters as fl, fusion, keyword as kw, semantic as sem
+from lossweave.operators import encode, filters as fl, fusion, keyword as kw, postings as ps, semantic as sem
 from lossweave.plans.search import ranked, search
 from lossweave.registry.base import index_claims, index_sql, records, register, table, tokens_sql
+from lossweave.runtime import shared_dir
 from lossweave.schema import EQUALITY_FIELDS, SearchFilters, SearchSpec
 
 C = F.col
@@ -171,6 +172,54 @@ def m6(spark, d):
     )
 
 
+def stored_index(spark, d):
+    """A keyword index of all claims, written and read back."""
+    path = shared_dir(spark, "postings")
+    ps.write_postings(records(spark, d, DOC_FIELDS), path)
+    return ps.KeywordIndex(spark, path)
+
+
+@register(
+    "A3_stored_statistics",
+    index_sql(
+        "SELECT term, CAST(n AS BIGINT) AS n_docs, round(avgdl, 6) AS avgdl, df FROM (SELECT count(*) AS n, avg(len(toks)) AS avgdl "
+        f"FROM t) , (SELECT term, count(*) AS df FROM (SELECT claim_id, unnest(list_distinct(toks)) AS term FROM t) GROUP BY 1)",
+        f"t AS (SELECT claim_id, {tokens_sql('document')} AS toks FROM idx)",
+    ),
+)
+def a3_stored(spark, d):
+    index = stored_index(spark, d)
+    size = index.corpus_size().select(F.struct("n_docs", "n_tokens").alias("c")).scalar()
+    rows = index.document_frequencies().withColumn("c", size)
+    return rows.select("term", C("c.n_docs").alias("n_docs"), F.round(C("c.n_tokens") / C("c.n_docs"), 6).alias("avgdl"), "df")
+
+
+@register(
+    "M6_A3_J10_stored_postings",
+    index_sql(
+        "SELECT query_id, claim_id, round(bm25_score, 6) AS bm25_score, "
+        "CAST(row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, claim_id) AS INTEGER) AS rank FROM kc",
+        BENCH_SQL,
+        *bm25_sql(),
+    ),
+)
+def m6_stored(spark, d):
+    hits, _ = ps.stored_candidates(stored_index(spark, d), benchmark_queries(spark, d))
+    return ranked(hits.withColumn("final_score", C("bm25_score"))).select(
+        "query_id", "claim_id", F.round("bm25_score", 6).alias("bm25_score"), "rank"
+    )
+
+
+@register(
+    "M6_F9_stored_by_example",
+    index_sql("SELECT query_id, claim_id, round(bm25_score, 6) AS bm25_score FROM kc", EXAMPLE_SQL, *bm25_sql()),
+)
+def m6_stored_by_example(spark, d):
+    queries = example_queries(spark, d, index_claims(spark, d, DOC_FIELDS))
+    hits, _ = ps.stored_candidates(stored_index(spark, d), queries)
+    return hits.select("query_id", "claim_id", F.round("bm25_score", 6).alias("bm25_score"))
+
+
 @register(
     "M6_F9_filtered_by_example",
     index_sql(

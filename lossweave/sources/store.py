@@ -94,6 +94,10 @@ class ClaimStore:
         table = self.read_table(name)
         return table if vectors else table.drop("embedding")
 
+    def postings_dir(self, name: str) -> str:
+        """Where the keyword index of a table is kept (``operators.postings``)."""
+        return f"{self.root}/postings/{name}"
+
     def count(self, name: str) -> int | None:
         """Row count of a table, from the file footers; None without the table."""
         try:
