@@ -69,11 +69,12 @@ def stored_block(path: str, slot: int) -> tuple[pa.Table, np.ndarray] | None:
 
 
 class Nearest:
-    """Keeps the n nearest rows per query over slices of rows that are numbered in id order."""
+    """Keeps the n nearest rows per query over slices of rows that are numbered in id order. ``bound`` may give
+    distances that the n-th nearest of each query is known not to exceed."""
 
-    def __init__(self, n_queries: int, n: int) -> None:
+    def __init__(self, n_queries: int, n: int, bound: np.ndarray | None = None) -> None:
         self.n, self.limit = n, 4 * n * max(1, n_queries)
-        self.bound = np.full(n_queries, np.inf)
+        self.bound = np.full(n_queries, np.inf) if bound is None else bound.astype(np.float64)
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
@@ -97,7 +98,7 @@ class Nearest:
         query, distance, row = query[order], distance[order], row[order]
         place = np.arange(len(query)) - np.searchsorted(query, query, side="left")
         last = place == self.n - 1
-        self.bound[query[last]] = distance[last]
+        self.bound[query[last]] = np.minimum(self.bound[query[last]], distance[last])
         keep = place < self.n
         self.held = [(query[keep], distance[keep], row[keep])]
         self.size = int(keep.sum())
@@ -118,46 +119,103 @@ def chunks(batches: Iterable[pa.RecordBatch], size: int = 64 << 20) -> Iterator[
         yield pa.Table.from_batches(held)
 
 
-def nearest_batches(batches: Iterable[pa.RecordBatch], path: str, slots: int, n: int, by_cell: bool) -> Iterator[pa.RecordBatch]:
-    """The nearest rows of one task as (query_id, claim_id, distance), n per query and chunk at most.
+def _spread_rows(matrix: np.ndarray, count: int) -> np.ndarray:
+    """Rows far from each other: each one is the furthest from those before it."""
+    picked, gap = [0], np.full(len(matrix), np.inf)
+    while len(picked) < count:
+        gap = np.minimum(gap, ((matrix - matrix[picked[-1]]) ** 2).sum(axis=1))
+        picked.append(int(np.argmax(gap)))
+    return matrix[picked]
+
+
+class Balls:
+    """Rows in groups with the centre and the radius of each: a query further from a centre than the radius
+    and its bound allow needs no row of the group."""
+
+    def __init__(self, matrix: np.ndarray, cells: np.ndarray | None = None, most: int = 64, least_rows: int = 256) -> None:
+        if cells is None:
+            count = max(1, min(most, len(matrix) // least_rows))
+            pivots = _spread_rows(matrix[:: max(1, len(matrix) // 2048)], count)
+            near = np.empty(len(matrix), np.int64)
+            for at in range(0, len(matrix), 65_536):
+                near[at : at + 65_536] = np.argmax(matrix[at : at + 65_536] @ pivots.T, axis=1)
+        else:
+            near = cells
+        order = np.argsort(near, kind="stable")
+        self.names, starts = np.unique(near[order], return_index=True)
+        self.members = np.split(order, starts[1:])
+        self.centres = np.stack([matrix[m].mean(axis=0) for m in self.members])
+        self.radii = np.array([np.sqrt(((matrix[m] - c) ** 2).sum(axis=1).max()) for m, c in zip(self.members, self.centres)])
+
+    def least(self, queries: np.ndarray) -> np.ndarray:
+        """Per query (line) and group a lower bound of the cosine distance: half the squared gap of unit vectors."""
+        squares = (queries**2).sum(axis=1)[:, None] + (self.centres**2).sum(axis=1) - 2 * queries @ self.centres.T
+        gap = np.maximum(np.sqrt(np.maximum(squares, 0.0)) - self.radii, 0.0)
+        return gap**2 / 2 - 1e-9
+
+
+def _askers(table: pa.Table, column: str) -> dict[int, np.ndarray]:
+    """Which rows of a block of queries ask for each cell."""
+    lists = table.column(column).chunk(0)
+    asker = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    wanted = lists.flatten().to_numpy(zero_copy_only=False)
+    return {int(c): asker[wanted == c] for c in np.unique(wanted)}
+
+
+def _best_of(tables: list[pa.Table], n: int) -> pa.Table:
+    """The n nearest hits per query of several tables (query_id, claim_id, distance), ties in id order."""
+    table = pa.concat_tables(tables).sort_by([("query_id", "ascending"), ("distance", "ascending"), ("claim_id", "ascending")])
+    query = table.column("query_id").combine_chunks().dictionary_encode()
+    query = (query.combine_chunks() if isinstance(query, pa.ChunkedArray) else query).indices.to_numpy(zero_copy_only=False)
+    place = np.arange(len(query)) - np.searchsorted(query, query, side="left")
+    return table.filter(pa.array(place < n))
+
+
+def nearest_batches(
+    batches: Iterable[pa.RecordBatch], path: str, slots: int, n: int, by_cell: bool, hold: int = 256 << 20, seen: list | None = None
+) -> Iterator[pa.RecordBatch]:
+    """The nearest rows of one task as (query_id, claim_id, distance): n per query at most, and none beyond the
+    query's bound.
 
     Batches hold claim_id, embedding and, with ``by_cell``, a cell. Queries come block by block from shared
-    storage (query_id, embedding and, with ``by_cell``, their cells); one block is held at a time.
-    """
-    for chunk in chunks(batches):
+    storage (query_id, embedding, bound and, with ``by_cell``, their cells), once for ``hold`` bytes of claims;
+    one block is held at a time, and of a task with more claims the best hits so far. ``seen`` gathers the
+    numbers of scored pairs."""
+    held: dict[int, pa.Table] = {}
+    for chunk in chunks(batches, hold):
         chunk = chunk.sort_by("claim_id").combine_chunks()
-        ids, vectors = chunk.column(0).chunk(0), chunk.column(1).chunk(0)
-        rows = np.arange(chunk.num_rows)
-        groups = [(None, rows)]
-        if by_cell:
-            cells = chunk.column(2).to_numpy(zero_copy_only=False)
-            groups = [(int(c), np.flatnonzero(cells == c)) for c in np.unique(cells)]
+        ids, matrix = chunk.column(0).chunk(0), unit_rows(as_matrix(chunk.column(1).chunk(0)))
+        balls = Balls(matrix, chunk.column(2).to_numpy() if by_cell else None)
         for slot in range(slots):
             block = stored_block(path, slot)
             if block is None:
                 continue
-            table, matrix = block
-            best = Nearest(len(matrix), n)
-            askers = {None: np.arange(len(matrix))}
-            if by_cell:
-                lists = table.column(2).chunk(0)
-                asker = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-                wanted = lists.flatten().to_numpy(zero_copy_only=False)
-                askers = {int(c): asker[wanted == c] for c in np.unique(wanted)}
-            for cell, members in groups:
-                queries = askers.get(cell)
-                if queries is None:
+            table, queries = block
+            bound = table.column("bound").to_numpy().copy()
+            if slot in held:
+                known = held[slot].group_by("query_id").aggregate([("distance", "max"), ("distance", "count")])
+                full = {q: d for q, d, c in zip(*(known.column(c).to_pylist() for c in ("query_id", "distance_max", "distance_count"))) if c == n}
+                bound = np.minimum(bound, [full.get(q, np.inf) for q in table.column(0).to_pylist()])
+            best = Nearest(len(queries), n, bound)
+            askers = _askers(table, "cells") if by_cell else None
+            least = balls.least(queries)
+            for group in np.argsort(least.min(axis=0), kind="stable").tolist():
+                asking = np.arange(len(queries)) if askers is None else askers.get(int(balls.names[group]), np.zeros(0, np.int64))
+                asking = asking[least[asking, group] <= best.bound[asking]]
+                if not len(asking):
                     continue
-                step = max(1, _SCORES_AT_ONCE // len(queries))
+                members = balls.members[group]
+                step = max(1, _SCORES_AT_ONCE // len(asking))
                 for start in range(0, len(members), step):
                     part = members[start : start + step]
-                    scores = unit_rows(as_matrix(vectors.take(pa.array(part)))) @ matrix[queries].T
-                    best.add(part, queries, rounded(1.0 - scores))
+                    best.add(part, asking, rounded(1.0 - matrix[part] @ queries[asking].T))
+                if seen is not None:
+                    seen.append(len(members) * len(asking))
             query, distance, row = best.best()
-            yield pa.RecordBatch.from_arrays(
-                [table.column(0).chunk(0).take(pa.array(query)), ids.take(pa.array(row)), pa.array(distance)],
-                names=["query_id", "claim_id", "distance"],
-            )
+            found = pa.table([table.column(0).chunk(0).take(pa.array(query)), ids.take(pa.array(row)), pa.array(distance)], ["query_id", "claim_id", "distance"])
+            held[slot] = _best_of([held[slot], found], n) if slot in held else found
+    for found in held.values():
+        yield from found.to_batches(max_chunksize=65_536)
 
 
 def closest_batches(batches: Iterable[pa.RecordBatch], path: str, slots: int) -> Iterator[pa.RecordBatch]:

@@ -8,11 +8,13 @@ from lossweave.functions.values import similarity
 from lossweave.functions.vectors import closest_batches, nearest_batches
 from lossweave.operators.filters import equality, ranges
 from lossweave.operators.keyword import top_per_query
-from lossweave.runtime import shared_dir
+from lossweave.runtime import shared_dir, write_once
 from lossweave.schema import SearchFilters
 
 # Vectors (queries or centroids) that a task holds at a time.
 QUERY_BLOCK = 4096
+# Claims whose distances give each query its first bound.
+SAMPLE = 2048
 # Hits of a query are cut in so many groups first, so that the final cut sees few rows per query.
 MERGE_GROUPS = 32
 
@@ -23,6 +25,7 @@ def _store_blocks(vectors: DataFrame, block: int) -> tuple[str, int]:
     """Write vectors (id, vector, ...) in blocks of about ``block`` rows to shared storage, where the tasks
     read them one at a time: no vector passes through the driver. Returns the folder and the block count."""
     key = vectors.columns[0]
+    vectors = write_once(vectors, "vectors-once")
     checked = vectors.groupBy(key).count().agg(F.sum("count").alias("rows"), F.max("count").alias("most")).first()
     if (checked["most"] or 0) > 1:
         raise ValueError(f"{key} is not unique among the vectors")
@@ -33,6 +36,28 @@ def _store_blocks(vectors: DataFrame, block: int) -> tuple[str, int]:
     return path, slots
 
 
+def _task_hits(vectors: DataFrame, asked: DataFrame, n: int, by_cell: bool, block: int) -> DataFrame:
+    """(query_id, claim_id, distance): at most n hits per query and task."""
+    path, slots = _store_blocks(asked, block)
+
+    def score(batches):
+        yield from nearest_batches(batches, path, slots, n, by_cell)
+
+    return vectors.mapInArrow(score, _HIT_SCHEMA)
+
+
+def first_bounds(vectors: DataFrame, asked: DataFrame, n: int, by_cell: bool, block: int, sample: int) -> DataFrame:
+    """``asked`` with ``bound``: the n-th nearest distance among a sample of about ``sample`` claims, which the
+    n-th nearest of all claims cannot exceed. Infinity where the sample has fewer than n."""
+    total = vectors.count()
+    asked = asked.withColumn("bound", F.lit(float("inf")))
+    some = vectors.sample(fraction=min(1.0, sample / max(1, total)), seed=1)
+    hits = top_per_query(_task_hits(some, asked, n, by_cell, block), n, F.col("distance"), F.col("claim_id"))
+    nth = hits.groupBy("query_id").agg(F.max("distance").alias("nth"), F.count("*").alias("found"))
+    known = nth.where(F.col("found") == n).select("query_id", "nth")
+    return asked.join(known, "query_id", "left").withColumn("bound", F.coalesce("nth", "bound")).drop("nth")
+
+
 def nearest_claims(
     claims: DataFrame,
     queries: DataFrame,
@@ -41,13 +66,15 @@ def nearest_claims(
     cell: str | None = None,
     probes: DataFrame | None = None,
     block: int = QUERY_BLOCK,
+    sample: int = SAMPLE,
 ) -> DataFrame:
     """The n nearest claims of each query: (query_id, claim_id, distance), ties in id order.
 
-    One pass over the claims: every task scores its rows, chunk by chunk, against the stored blocks of query
-    vectors as matrix products and emits n rows per query and chunk at most; hits are then cut to n per query
-    in two levels. With ``cell`` and ``probes`` (query_id, cell), a query only sees the claims of its cells.
-    A repeated query id is an error.
+    A sample of the claims gives every query a first bound. Then one pass over the claims: every task groups its
+    rows into balls, skips those that lie beyond a query's bound, scores the others against the stored blocks
+    of query vectors as matrix products, and emits n rows per query at most, however many rows it has. Hits are
+    cut to n per query in two levels. With ``cell`` and ``probes`` (query_id, cell), a query only sees the
+    claims of its cells. A repeated query id is an error. ``sample=0`` goes without first bounds.
     """
     asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding").where("embedding is not null")
     vectors = claims.select("claim_id", "embedding", *([cell] if cell else [])).where("embedding is not null")
@@ -58,12 +85,12 @@ def nearest_claims(
         asked = asked.join(lists, "query_id")
         wanted = probes.select(F.col("cell").cast("int").alias(cell)).distinct()
         vectors = vectors.join(wanted, cell, "left_semi").select("claim_id", "embedding", F.col(cell).cast("int"))
-    path, slots = _store_blocks(asked, block)
-
-    def score(batches):
-        yield from nearest_batches(batches, path, slots, n, cell is not None)
-
-    hits = vectors.mapInArrow(score, _HIT_SCHEMA)
+    asked = write_once(asked, "queries")
+    if sample:
+        asked = first_bounds(vectors, asked, n, cell is not None, block, sample)
+    else:
+        asked = asked.withColumn("bound", F.lit(float("inf")))
+    hits = _task_hits(vectors, asked, n, cell is not None, block)
     order = (F.col("distance"), F.col("claim_id"))
     grouped = hits.withColumn("_group", F.pmod(F.xxhash64("claim_id"), F.lit(MERGE_GROUPS)))
     return top_per_query(top_per_query(grouped, n, *order, keys=("query_id", "_group")).drop("_group"), n, *order)
