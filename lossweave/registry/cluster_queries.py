@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lossweave.functions.stopwords import STOP_WORDS
 from lossweave.functions.values import number
-from lossweave.operators import clusters as cl, filters as fl, profiles as pr, semantic as sem
+from lossweave.operators import clusters as cl, filters as fl, profiles as pr, quantized as qz, semantic as sem
 from lossweave.operators.quantile import exact_quantile
 from lossweave.registry.base import (
     REVIEW_SQL,
@@ -19,7 +19,7 @@ from lossweave.registry.base import (
     review_log,
     table,
 )
-from lossweave.runtime import pin_small
+from lossweave.runtime import pin_small, shared_dir, write_once
 from lossweave.schema import DOMINANT_FIELDS, PROFILE_FIELDS, ClusterFilters
 from lossweave.sources.exports import cluster_reports
 from lossweave.sources.reviews import current_reviews
@@ -505,3 +505,44 @@ def m3(spark, d):
     return hits.select(
         "query_id", "claim_id", F.round("distance", 6).alias("distance"), F.round("similarity", 6).alias("similarity")
     )
+
+
+def planted_vectors(spark, d):
+    """Vectors with visible groups, derived from the given ones: each is drawn halfway to one of 40 of them."""
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    base = vectors.where("vec_id < 40").select(C("vec_id").alias("base"), C("embedding").alias("centre"))
+    drawn = F.zip_with("centre", "embedding", lambda c, v: (c + 0.5 * v).cast("double"))
+    grouped = vectors.withColumn("base", F.floor(C("vec_id") / 20) % 40).join(F.broadcast(base), "base")  # 40 rows
+    return grouped.select(C("vec_id").cast("string").alias("claim_id"), drawn.alias("embedding"))
+
+
+def _planted_search(spark, d):
+    """Every vector whose id is divisible by 20 asks for its ten nearest of all: compressed cells against all pairs."""
+    claims = write_once(planted_vectors(spark, d), "planted")
+    queries = claims.where(C("claim_id").cast("long") % 20 == 0).select(C("claim_id").alias("query_id"), "embedding")
+    path = shared_dir(spark, "cells")
+    quantizer = qz.fit_quantizer(claims, cells=48, parts=16, codes=64, sample=16_384)
+    qz.write_cells(claims, quantizer, path)
+    hits, scored = qz.cell_candidates(qz.CellIndex(spark, path, quantizer), queries, n=10, n_probes=6, candidates=60)
+    return qz.recall(hits, sem.nearest_claims(claims, queries, 10)), scored
+
+
+@register("M3_compressed_cells")
+def m3_compressed(spark, d):
+    """Recall of every query beside the share of pairs that were looked at."""
+    recall, scored = _planted_search(spark, d)
+    return recall.withColumn("scored_fraction", scored.scalar())
+
+
+@register(
+    "M3_recall_reached",
+    "SELECT CAST(vec_id AS VARCHAR) AS query_id, CAST(10 AS BIGINT) AS expected, true AS recall_reached, true AS few_scored "
+    "FROM embeddings WHERE vec_id % 20 = 0",
+)
+def m3_recall_reached(spark, d):
+    """The same as yes or no: 0.9 of all nearest claims found, and less than half of all pairs looked at."""
+    recall, scored = _planted_search(spark, d)
+    recall = write_once(recall, "recall")
+    reached = recall.agg(F.sum("found") >= 0.9 * F.sum("expected")).scalar()
+    few = scored.select(C("scored_fraction") < 0.5).scalar()
+    return recall.select("query_id", "expected", reached.alias("recall_reached"), few.alias("few_scored"))
