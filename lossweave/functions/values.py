@@ -31,6 +31,32 @@ def number(value: Column) -> Column:
     return F.when(~F.isnan(parsed), parsed)
 
 
+_FRACTION = 1 << 52
+
+
+def order_bits(value: Column) -> Column:
+    """All bits of a double as a long that sorts like the number: equal numbers (and both zeros) give equal
+    longs, others different ones; NaN comes last. Scaling by powers of two is exact, so no digit is lost."""
+    size = F.abs(value)
+    guess = F.greatest(F.least(F.floor(F.log2(size)), F.lit(1023)), F.lit(-1022))
+    part = size / F.pow(F.lit(2.0), guess)
+    # the logarithm may be off by one next to a power of two
+    power = F.greatest(F.least(guess + F.when(part >= 2, 1).when(part < 1, -1).otherwise(0), F.lit(1023)), F.lit(-1022))
+    part = size / F.pow(F.lit(2.0), power)
+    bits = (power + 1022) * F.lit(_FRACTION) + (part * float(_FRACTION)).cast("long")
+    bits = F.when(size == 0, 0).when(size == float("inf"), 2047 * _FRACTION).otherwise(bits)
+    return F.when(F.isnan(value), 2047 * _FRACTION + 1).when(value < 0, -bits).otherwise(bits).cast("long")
+
+
+def order_bits_sql(x: str) -> str:
+    """The same for finite numbers in SQL."""
+    guess = f"greatest(least(CAST(floor(log2(abs({x}))) AS BIGINT), 1023), -1022)"
+    part = f"(abs({x}) / pow(2.0, {guess}))"
+    power = f"greatest(least({guess} + CASE WHEN {part} >= 2 THEN 1 WHEN {part} < 1 THEN -1 ELSE 0 END, 1023), -1022)"
+    bits = f"(({power} + 1022) * {_FRACTION} + CAST(abs({x}) / pow(2.0, {power}) * {_FRACTION} AS BIGINT))"
+    return f"CASE WHEN {x} = 0 THEN 0 WHEN {x} < 0 THEN -{bits} WHEN {x} > 0 THEN {bits} END"
+
+
 def amount(value: Column) -> Column:
     """Numeric value with missing as zero, as the roll-ups count it."""
     return F.coalesce(number(value), F.lit(0.0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lossweave.functions import text as tx, values as vl
+from lossweave.runtime import write_once
 from lossweave.schema import AMOUNT_FIELDS, METADATA_FIELDS, ColumnMap
 from lossweave.sources.claims import logical_claims
 
@@ -125,17 +126,12 @@ def duplicate_ordinals(records: DataFrame, parts: int | None = None) -> DataFram
 def _digest_text(name: str, data_type: T.DataType) -> Column:
     value = F.col(name)
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
-        value = value.cast("decimal(28,6)")
+        value = vl.order_bits(value.cast("double"))  # the exact number, whatever its size
     return F.coalesce(value.cast("string"), F.lit(_NULL))
 
 
-def dataset_hash(records: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Digest of a record set that ignores row order and reacts to any change, also in row counts.
-
-    Every row is hashed with SHA-256; the 256-bit row digests are added limb by limb (24 bits
-    each, so a long holds the sum of 2^39 rows) and the sums are hashed. Sums are combined on
-    the map side: each task sends one row. Amounts enter with six decimals.
-    """
+def _row_sums(records: DataFrame, columns: list[str] | None) -> tuple[Column, list[Column], list[Column]]:
+    """The digest of a row, the sums over rows of its limbs, and the text of what they are hashed as."""
     names = columns or [n for n in ("claim_id", "document", *METADATA_FIELDS[1:]) if n in records.columns]
     types = {f.name: f.dataType for f in records.schema.fields}
     row = F.sha2(F.concat_ws(_UNIT, *[_digest_text(n, types[n]) for n in names]), 256)
@@ -143,14 +139,41 @@ def dataset_hash(records: DataFrame, columns: list[str] | None = None) -> DataFr
         F.sum(F.conv(F.substring("h", 1 + i * _LIMB_HEX, _LIMB_HEX), 16, 10).cast("long")).alias(f"l{i}")
         for i in range(_LIMBS)
     ]
+    return row, limbs, [F.coalesce(F.col(f"l{i}"), F.lit(0)).cast("string") for i in range(_LIMBS)]
+
+
+def dataset_hash(records: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Digest of a record set that ignores row order and reacts to any change, also in row counts.
+
+    Every row is hashed with SHA-256; the 256-bit row digests are added limb by limb (24 bits
+    each, so a long holds the sum of 2^39 rows) and the sums are hashed. Sums are combined on
+    the map side: each task sends one row. Amounts enter with all their bits.
+    """
+    row, limbs, shown = _row_sums(records, columns)
     sums = records.select(row.alias("h")).agg(F.count("*").alias("n"), *limbs)
-    shown = [F.coalesce(F.col(f"l{i}"), F.lit(0)).cast("string") for i in range(_LIMBS)]
     return sums.select(
         F.sha2(F.concat_ws(",", F.col("n").cast("string"), *shown), 256).alias("dataset_hash"),
         F.col("n").alias("record_count"),
     )
 
 
+def bucket_hashes(records: DataFrame, buckets: int = 256, columns: list[str] | None = None) -> DataFrame:
+    """(bucket, bucket_hash, record_count): the same digest for each bucket of claim ids, so that two versions of
+    a table tell which of their buckets differ. Tasks send one row per bucket."""
+    row, limbs, shown = _row_sums(records, columns)
+    bucket = F.pmod(F.xxhash64("claim_id"), F.lit(buckets)).cast("int")
+    sums = records.select(bucket.alias("bucket"), row.alias("h")).groupBy("bucket").agg(F.count("*").alias("n"), *limbs)
+    text = F.concat_ws(",", F.col("n").cast("string"), *shown)
+    return sums.select("bucket", F.sha2(text, 256).alias("bucket_hash"), F.col("n").alias("record_count"))
+
+
+def changed_buckets(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Buckets whose content differs between two sets of bucket hashes, those of only one of them included."""
+    before = old.select("bucket", F.col("bucket_hash").alias("before"))
+    after = new.select("bucket", F.col("bucket_hash").alias("after"))
+    return before.join(after, "bucket", "full").where(~F.col("before").eqNullSafe(F.col("after"))).select("bucket")
+
+
 def index_hash(
     dataset: DataFrame,
     *,
@@ -177,8 +200,12 @@ def index_hash(
 
 
 def one_per_id(records: DataFrame) -> DataFrame:
-    """One row per claim id, the one with the greatest text hash; ties fall to a hash of the row."""
-    pick = Window.partitionBy("claim_id").orderBy(
-        F.col("source_text_hash").desc_nulls_last(), F.xxhash64(*[F.col(c) for c in sorted(records.columns)])
-    )
-    return records.withColumn("_n", F.row_number().over(pick)).where("_n = 1").drop("_n")
+    """One row per claim id, the one with the greatest text hash; ties fall to a hash of the row. Only ids are
+    shuffled to find the repeated ones, and of the records only those."""
+    again = records.groupBy("claim_id").agg(F.count("*").alias("n")).where("n > 1").select("claim_id")
+    again = write_once(again, "repeated-ids")
+    best = F.struct(F.col("source_text_hash"), F.bitwise_not(F.xxhash64(*[F.col(c) for c in sorted(records.columns)])))
+    row = F.struct(*[F.col(c) for c in records.columns])
+    same = lambda other: records["claim_id"].eqNullSafe(other["claim_id"])
+    many = records.join(again, same(again), "left_semi").groupBy("claim_id").agg(F.max_by(row, best).alias("row"))
+    return records.join(again, same(again), "left_anti").unionByName(many.select("row.*"))

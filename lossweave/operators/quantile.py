@@ -1,67 +1,49 @@
-"""Exact interpolated quantiles that never hold a whole group in one place."""
+"""Exact interpolated quantiles by radix selection, which never hold a group in one place."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lossweave.runtime import broadcast_if_small
+from lossweave.functions.values import order_bits
+from lossweave.runtime import write_once
 
-ACCURACY = 10_000
-_MARGIN = 3.0 / ACCURACY
-_WHOLE_BELOW = 10 * ACCURACY
-_RANGES = 1024
+#: Bits that are known after each round: a histogram has at most 2 ** 16 counts per group and wanted rank.
+_SHIFTS = (48, 32, 16, 0)
 
 
 def exact_quantile(rows: DataFrame, keys: list[str], value: Column, q: float, name: str) -> DataFrame:
     """The q-quantile of ``value`` per key with linear interpolation, as one row per key.
 
-    A mergeable sketch brackets the wanted rank, with a margin above the sketch's guaranteed
-    rank error; one more pass counts the rows below the bracket and the equal values inside it.
-    The bracket is cut into value ranges, and only the values of the range that holds the rank are ranked.
-    Groups below ``_WHOLE_BELOW`` rows take their full range as the bracket.
+    The bits of a number, read as a long that sorts like it, are fixed 16 at a time from the top. A round counts
+    the rows of each group by their next 16 bits, among those that share the bits known so far, and takes the
+    count that holds the wanted rank; after four rounds one number is left. Four passes over (key, number)
+    whatever the numbers are: only counts are shuffled, and heavy tails, ties and infinities change nothing.
+    Rows without a value, and rows with a null key, do not count. NaN is the largest number.
     """
-    group = [F.col(k) for k in keys]
-    data = rows.select(*group, value.cast("double").alias("v")).where("v is not null")
-    ends = F.percentile_approx("v", [max(q - _MARGIN, 0.0), min(q + _MARGIN, 1.0)], ACCURACY)
-    sketch = data.groupBy(*group).agg(
-        F.count("*").alias("n"), F.min("v").alias("lowest"), F.max("v").alias("highest"), ends.alias("ends")
-    )
-    small = F.col("n") < _WHOLE_BELOW
-    brackets = sketch.select(
-        *group,
-        "n",
-        F.when(small | F.lit(q <= _MARGIN), F.col("lowest")).otherwise(F.col("ends")[0]).alias("lo"),
-        F.when(small | F.lit(q >= 1 - _MARGIN), F.col("highest")).otherwise(F.col("ends")[1]).alias("hi"),
-    )
-    if keys:
-        placed = data.join(broadcast_if_small(brackets), keys)
-    else:
-        bracket = brackets.select(F.struct("n", "lo", "hi").alias("b")).scalar()
-        placed = data.withColumn("b", bracket).select("v", "b.n", "b.lo", "b.hi")
-    # Rows below the bracket share one null value, so they collapse to one count per group.
-    counted = (
-        placed.where("v <= hi")
-        .groupBy(*keys, "n", "lo", "hi", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v"))
-        .agg(F.count("*").alias("c"))
-    )
-    width = F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
-    inner = F.coalesce(F.floor((F.col("v") - F.col("lo")) / width * _RANGES), F.lit(0))
-    counted = counted.withColumn("slot", F.when(F.col("v").isNull(), -1).otherwise(F.least(inner, F.lit(_RANGES - 1))).cast("int"))
-    # Ranks are found among the ranges first (a bounded number per key); values are ranked inside the one
-    # or two ranges that hold the wanted ranks.
-    running = Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = counted.groupBy(*keys, "n", "slot").agg(F.sum("c").alias("held"))
-    ranges = ranges.withColumn("before", F.coalesce(F.sum("held").over(running), F.lit(0)))
-    rank = (F.col("n") - 1) * F.lit(q)
-    holds = lambda r: (F.col("before") <= r) & (r < F.col("before") + F.col("held"))
-    ranges = ranges.where(holds(F.floor(rank)) | holds(F.ceil(rank))).select(*keys, "slot", "before")
-    inside = counted.join(ranges, [*keys, "slot"])
-    order = Window.partitionBy(*keys, "slot").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    upto = inside.withColumn("upto", F.col("before") + F.sum("c").over(order))
-    first = F.min(F.when(F.col("upto") > F.floor(rank), F.col("v")))
-    second = F.min(F.when(F.col("upto") > F.ceil(rank), F.col("v")))
-    return (
-        upto.groupBy(*keys, "n")
-        .agg(first.alias("a"), second.alias("z"))
-        .select(*keys, (F.col("a") + (F.col("z") - F.col("a")) * (rank - F.floor(rank))).alias(name))
-    )
+    held = [f"k{i}" for i in range(len(keys) or 1)]
+    named = [F.col(f"`{k}`").alias(h) for k, h in zip(keys, held)] if keys else [F.lit(0).alias("k0")]
+    data = rows.select(*named, value.cast("double").alias("v")).dropna()
+    data = write_once(data.select(*held, "v", order_bits(F.col("v")).alias("bits")), "quantile-values")
+
+    rank = (F.col("n") - 1) * F.lit(float(q))
+    ends = F.array(*[F.struct(F.lit(e).alias("end"), f(rank).cast("long").alias("left")) for e, f in ((0, F.floor), (1, F.ceil))])
+    wanted = data.groupBy(*held).agg(F.count("*").alias("n")).select(*held, "n", rank.alias("rank"), F.inline(ends))
+    known: list[str] = []
+    for shift in _SHIFTS:
+        rest = data.withColumn("next", F.shiftright("bits", shift))
+        if known:
+            rest = rest.withColumn("prefix", F.shiftright("bits", shift + 16))
+            rest = rest.join(wanted.select(*held, "prefix").distinct(), [*held, "prefix"], "left_semi")
+        counts = rest.groupBy(*held, *known, "next").agg(F.count("*").alias("c"), F.min("v").alias("v"))
+        upto = F.sum("c").over(Window.partitionBy(*held, "end").orderBy("next").rowsBetween(Window.unboundedPreceding, 0))
+        placed = wanted.join(counts, [*held, *known]).withColumn("upto", upto)
+        placed = placed.where((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("c") <= F.col("left")))
+        left = (F.col("left") - (F.col("upto") - F.col("c"))).alias("left")
+        wanted = placed.select(*held, "n", "rank", "end", left, F.col("next").alias("prefix"), "v")
+        known = ["prefix"]
+        if shift:
+            wanted = wanted.drop("v")
+    pair = wanted.groupBy(*held, "rank").agg(*[F.min(F.when(F.col("end") == e, F.col("v"))).alias(c) for e, c in ((0, "a"), (1, "z"))])
+    between = F.col("a") + (F.col("z") - F.col("a")) * (F.col("rank") - F.floor("rank"))
+    found = F.when(F.col("a") == F.col("z"), F.col("a")).otherwise(between).alias(name)
+    return pair.select(*[F.col(h).alias(k) for h, k in zip(held, keys)], found)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, functions as F
 
 from lossweave.operators.ingest import dataset_hash, index_hash, one_per_id, prepare_records, quality_counters
 from lossweave.operators.keyword import with_search_tokens
+from lossweave.runtime import write_once
 from lossweave.schema import MANIFEST_SCHEMA, ColumnMap
 from lossweave.sources.claims import mapped_scan
 from lossweave.sources.store import ClaimStore, now_utc, version_name
@@ -31,6 +32,17 @@ class IndexResult:
     status: str
     collection_name: str
     manifest: Row
+    embedded: int | None = None  # texts that were encoded, if vectors of known texts were reused
+
+
+def _embedded(known: DataFrame | None, records: DataFrame, embed: Embed) -> tuple[DataFrame, int]:
+    """Records with vectors: those of ``known`` (source_text_hash, embedding) where the text is the same, new ones
+    for the other texts, each of which is encoded once. Also tells how many those are."""
+    new = records if known is None else records.join(known, "source_text_hash", "left_anti")
+    fresh = embed(new.dropDuplicates(["source_text_hash"])).select("source_text_hash", "embedding")
+    fresh = write_once(fresh, "new-vectors")
+    vectors = fresh if known is None else known.unionByName(fresh)
+    return records.join(vectors, "source_text_hash").select(*records.columns, "embedding"), fresh.count()
 
 
 def build_index(
@@ -42,11 +54,14 @@ def build_index(
     source_name: str,
     source_identity: str,
     columns: ColumnMap = ColumnMap(),
+    reuse_vectors: bool = False,
 ) -> IndexResult:
     """``current`` when the active version has this content, ``activated_existing`` when a stored
     version has it, else embed, write and activate (``rebuilt``).
 
-    Only the one-row hash and counters reach the driver.
+    With ``reuse_vectors`` texts that the active version of the same model and embedding version holds keep their
+    vectors, and ``embed`` sees each other text once; its vector must depend on the text alone. Only the one-row
+    hash and counters reach the driver.
     """
     scan = mapped_scan(source, columns)
     records = prepare_records(
@@ -80,7 +95,15 @@ def build_index(
         return IndexResult("current", active["collection_name"], active)
 
     exists = store.count(name) == n_records
-    if not exists:
+    embedded = None
+    if not exists and reuse_vectors:
+        same = active is not None and (active["model_fingerprint"], active["embedding_version"]) == (settings.model_version, settings.embedding_version)
+        known = None
+        if same and store.count(active["collection_name"]):
+            known = store.read_table(active["collection_name"]).groupBy("source_text_hash").agg(F.first("embedding").alias("embedding"))
+        rows, embedded = _embedded(known, records, embed)
+        store.write_table(name, with_search_tokens(rows))
+    elif not exists:
         store.write_table(name, with_search_tokens(embed(records)))
     manifest = store.spark.createDataFrame(
         [
@@ -106,4 +129,4 @@ def build_index(
         MANIFEST_SCHEMA,
     )
     store.activate(settings.model_key, manifest)
-    return IndexResult("activated_existing" if exists else "rebuilt", name, manifest.first())
+    return IndexResult("activated_existing" if exists else "rebuilt", name, manifest.first(), embedded)

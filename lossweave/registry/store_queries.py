@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F, types as T
 
 from lossweave.operators import clusters as cl, encode, ingest, profiles as pr
@@ -11,6 +13,7 @@ from lossweave.registry.base import (
     column_map,
     index_claims,
     index_sql,
+    label_sql,
     records,
     register,
     review_log,
@@ -206,3 +209,46 @@ def m18(spark, d):
         )
         done.append((step, result.status, result.manifest["record_count"]))
     return spark.createDataFrame(done, "step int, status string, record_count bigint")
+
+
+def _by_digest():
+    """An encoder whose vector depends on the text alone: eight numbers of its digest."""
+    return lambda texts: [[b + 1.0 for b in hashlib.md5(t.encode()).digest()[:8]] for t in texts]
+
+
+@register(
+    "M18_reused_vectors",
+    index_sql(
+        "SELECT claim_id, sha256(document) AS source_text_hash, true AS same_vector, 'rebuilt' AS status, CAST(encoded AS BIGINT) AS encoded, "
+        "'rebuilt' AS last_status, CAST(0 AS BIGINT) AS last_encoded FROM plain, "
+        "(SELECT count(DISTINCT document) FILTER (NOT EXISTS (SELECT 1 FROM plain p WHERE p.country <> 'fr' AND p.document = o.document)) AS encoded FROM plain o)",
+        f"plain AS (SELECT claim_id, country, concat_ws(chr(10), {label_sql('Claim description', 'claim_description')}, "
+        f"{label_sql('Country', 'country')}) AS document FROM idx)",
+    ),
+)
+def m18_reused(spark, d):
+    """The claims without one country, then all: only the new texts are encoded. Then the same claims, half of them
+    twice, with a change in the eighth decimal of the reserves: another version, and nothing is encoded."""
+    store = new_store(spark, "index")
+    fields = ("country", "reserve_amount")
+    source = source_claims(spark, d, fields)
+    settings = IndexSettings(model_key="digest", model_version="1")
+
+    def embed(rows):
+        return encode.encode(rows, "document", _by_digest)
+
+    def build(rows):
+        return build_index(
+            store, rows, embed, settings, source_name="parquet", source_identity="documents", columns=column_map(fields), reuse_vectors=True
+        )
+
+    build(source.where("country <> 'fr'"))
+    second = build(source)
+    moved = source.withColumn("reserve_amount", C("reserve_amount") + 1e-8)
+    third = build(moved.unionByName(moved.where("country <> 'de'")))
+    stored = store.read_table(third.collection_name).select("claim_id", "source_text_hash", "embedding")
+    direct = embed(records(spark, d, fields)).select("claim_id", C("embedding").alias("direct"))
+    steps = {"status": second.status, "encoded": second.embedded, "last_status": third.status, "last_encoded": third.embedded}
+    rows = stored.join(direct, "claim_id").withColumn("same_vector", C("embedding") == C("direct"))
+    literals = [F.lit(v).cast("bigint" if isinstance(v, int) else "string").alias(k) for k, v in steps.items()]
+    return rows.select("claim_id", "source_text_hash", "same_vector", *literals)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lossweave.functions import text as tx, values as vl
 from lossweave.functions.stopwords import STOP_WORDS
+from lossweave.functions.values import order_bits_sql
 from lossweave.functions.vectors import unit_vector
 from lossweave.operators import ingest
 from lossweave.operators.keyword import with_search_tokens
@@ -490,8 +491,8 @@ def a2(spark, d):
 def _hash_sql() -> str:
     text = [
         "claim_id", "document", "line_of_business", "claim_type", "cause_of_loss", "damaged_object", "country",
-        "claim_status", "loss_date", "loss_year", "CAST(reserve_amount AS DECIMAL(28,6))",
-        "CAST(paid_amount AS DECIMAL(28,6))", "currency", "policy_type", "description_length", "'lexical'",
+        "claim_status", "loss_date", "loss_year", order_bits_sql("reserve_amount"), order_bits_sql("paid_amount"),
+        "currency", "policy_type", "description_length", "'lexical'",
         "'models/lexical'", "'v1'", "sha256(document)",
     ]
     row = "concat_ws(chr(31), " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(30))" for c in text) + ")"
@@ -507,6 +508,26 @@ def a11(spark, d):
     return ingest.dataset_hash(records(spark, d))
 
 
+_BUCKETS = 16
+
+
+@register(
+    "A11_changed_buckets",
+    index_sql("SELECT claim_id, country FROM idx WHERE country = 'fr'"),
+)
+def a11_changed(spark, d):
+    """Claims that a build must look at again after the eighth decimal of the French reserves has changed: those of
+    changed buckets, less those whose own digest is the same."""
+    before = records(spark, d, ("country", "reserve_amount")).withColumn("reserve_amount", F.lit(0.25))
+    after = before.withColumn("reserve_amount", F.when(C("country") == "fr", 0.25 + 1e-8).otherwise(C("reserve_amount")))
+    hashes = [ingest.bucket_hashes(rows, _BUCKETS) for rows in (before, after)]
+    changed = ingest.changed_buckets(*hashes).withColumnRenamed("bucket", "changed")
+    bucket = F.pmod(F.xxhash64("claim_id"), F.lit(_BUCKETS)).cast("int")
+    old = before.select("claim_id", vl.order_bits(C("reserve_amount")).alias("old"))
+    touched = after.join(F.broadcast(changed), bucket == C("changed")).join(old, "claim_id")  # a row per bucket
+    return touched.where(C("old") != vl.order_bits(C("reserve_amount"))).select("claim_id", "country")
+
+
 def _index_hash_sql() -> str:
     columns = ",".join(f'"{c}"' for c in column_map().selected())
     head = f'{{"source":"parquet","source_identity":"documents","selected_columns":[{columns}],"dataset_hash":"'
