@@ -56,6 +56,7 @@ def pieces(batch: pa.RecordBatch, column: str, size: int = 4 * BLOCK) -> Iterato
         stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         yield batch.slice(at, stop - at)
         at = stop
+    pa.default_memory_pool().release_unused()
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray, white: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,7 +74,8 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, white: np.ndarray = _WHIT
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes; equal words have equal hashes everywhere."""
     out = np.empty(len(starts), np.uint64)
-    weights = _powers(_BASE, 1 << 16)
+    longest = int((ends - starts).max()) if len(starts) else 0
+    weights = _powers(_BASE, max(1 << 10, longest))
     at = 0
     while at < len(starts):
         stop = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK, "right")))
@@ -82,7 +84,8 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         place = np.arange(hi - lo)
         place -= np.repeat(first, np.diff(np.append(first, hi - lo)))
         gap = place >= np.repeat(ends[at:stop] - starts[at:stop], np.diff(np.append(first, hi - lo)))
-        value = _BYTES[data[lo:hi]] * weights[place & 0xFFFF]
+        place[gap] = 0
+        value = _BYTES[data[lo:hi]] * weights[place]
         value[gap] = 0
         out[at:stop] = np.add.reduceat(value, first)
         at = stop

@@ -217,6 +217,7 @@ def fit(docs: DataFrame, hidden: int = 16, documents_per_language: int = 300, ru
         return None
     # row_number limits are applied in every task before the rows meet
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    known = known.where(F.col("lang").isin(names))
     chosen = known.select("id", "lang").withColumn("rank", rank).where(F.col("rank") <= documents_per_language)
     sample = known.join(F.broadcast(chosen.select("id").distinct()), "id").select("lang", "text")
     counted = sample.mapInArrow(_counted_runs, "lang string, run binary, times long").groupBy("lang", "run").agg(F.sum("times").alias("times"))

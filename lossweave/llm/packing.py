@@ -77,7 +77,9 @@ class Encoder:
         if self.ranked:
             try:
                 return self.ranked.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
-            except ValueError:  # runs of white space longer than its pattern matcher's stack
+            except (KeyboardInterrupt, SystemExit):
+                raise
+            except BaseException:  # runs of white space longer than its pattern matcher's stack end in a panic
                 pass
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 

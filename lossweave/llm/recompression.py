@@ -59,17 +59,12 @@ def recompress(symbols: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) ->
     return symbols, starts
 
 
-def cut_segments(window: int):
+def cut_segments(window: int, part_words: int = 1 << 22):
     """Cutter for ``repeats.segments`` over words."""
     seed = 2 * REACH
     zone = window - seed + 1
 
-    def cut(data: np.ndarray, offsets: np.ndarray):
-        begins, ends, first_word = word_bounds(data, offsets)
-        words = word_hashes(data, begins, ends)
-        if len(words) < window:
-            none = np.zeros(0, np.int64)
-            return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
+    def windows(words: np.ndarray, first_word: np.ndarray):
         first = np.zeros(len(words) + 1, bool)
         first[first_word] = True
         first = first[:-1]
@@ -87,7 +82,7 @@ def cut_segments(window: int):
         ranked = (names_of >> U64(1)) | (~good).astype(np.uint64) << U64(63)
         ranked = (ranked & ~_PLACE) | np.arange(len(ranked), dtype=np.uint64)
         least = sliding_minimum(ranked, zone)
-        row = np.repeat(np.arange(len(offsets) - 1), np.diff(first_word))[: len(least)]
+        row = np.repeat(np.arange(len(first_word) - 1), np.diff(first_word))[: len(least)]
         usable = np.arange(len(least)) + window <= first_word[row + 1]
         place = (least & _PLACE).astype(np.int64)
         starts, counts = repeats.runs_of(least, usable)
@@ -95,6 +90,23 @@ def cut_segments(window: int):
         begin, anchor = first_word[row[starts]], place[starts]
         return row[starts], starts - begin, anchor - begin, counts, names_of[anchor], contents
 
+    def cut(data: np.ndarray, offsets: np.ndarray):
+        begins, ends, first_word = word_bounds(data, offsets)
+        words = word_hashes(data, begins, ends)
+        if len(words) < window:
+            none = np.zeros(0, np.int64)
+            return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
+        if len(words) <= part_words:
+            return windows(words, first_word)
+        found = []  # one very long text, in parts that overlap by a window less one word
+        for text in range(len(offsets) - 1):
+            for at in range(int(first_word[text]), int(first_word[text + 1]) - window + 1, part_words):
+                part = words[at : min(at + part_words + window - 1, int(first_word[text + 1]))]
+                row, starts, anchors, *rest = windows(part, np.array([0, len(part)]))
+                moved = at - int(first_word[text])
+                found.append((row + text, starts + moved, anchors + moved, *rest))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
     return cut
 
 

@@ -89,7 +89,8 @@ class SuffixIndex:
         inside = own.groupBy("key").agg(F.sum("copies").alias("times"))
         found = [inside.where("times > 1").select("key")]
         keys = own.select("key").distinct()
-        found += [keys.join(level.select("key").distinct().hint("merge"), "key", "left_semi") for _, level in self.levels]
+        # both sides hold a seed once: a semi join would be moved below the distinct, to all surroundings of a seed
+        found += [keys.join(level.select("key").distinct().hint("merge"), "key") for _, level in self.levels]
         hits = found[0]
         for more in found[1:]:
             hits = hits.unionByName(more)

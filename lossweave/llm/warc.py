@@ -210,7 +210,9 @@ def read_archives(index: DataFrame, with_payload: bool = True) -> DataFrame:
     """Read whole archives named in ``index``: page_id, url, payload_bytes, payload_digest, record_type,
     refers_to, payload (null for revisits' missing blocks or if not asked for). Payloads are checked against
     their digests."""
-    paths = index.select("path").distinct().repartition("path")
+    paths = pin(index.select("path").distinct(), "archives")
+    # a task per archive: paths are short, so without a number they would all go to one task
+    paths = paths.repartition(max(1, paths.count()), "path")
     return paths.mapInArrow(
         _read(with_payload),
         "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary",

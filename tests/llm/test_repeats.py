@@ -2,9 +2,11 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lossweave.llm import recompression, suffix_dedup
+from lossweave.llm.arrays import word_bounds, word_hashes
 
 
 def texts():
@@ -83,3 +85,27 @@ def test_odd_tables(spark):
     assert len(words) == 5 and {r.n_words for r in words} == {1, 300, 0}
     empty = docs.limit(0)
     assert suffix_dedup.remove_repeats(empty).count() == 0 and recompression.remove_repeats(empty).count() == 0
+
+
+def test_long_words_differ_after_65536_bytes():
+    data = ("a" * 70_000 + " " + "a" * 69_999 + "b" + " " + "a" * 70_000 + " b").encode()
+    starts, ends, _ = word_bounds(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    hashes = word_hashes(np.frombuffer(data, np.uint8), starts, ends)
+    assert hashes[0] == hashes[2] and len(set(hashes.tolist())) == 3
+    swapped = ("a" * 65_536 + "b" + "c" * 65_535 + " " + "b" + "a" * 65_535 + "a" + "c" * 65_535).encode()
+    starts, ends, _ = word_bounds(np.frombuffer(swapped, np.uint8), np.array([0, len(swapped)]))
+    assert len(set(word_hashes(np.frombuffer(swapped, np.uint8), starts, ends).tolist())) == 2
+
+
+def test_long_texts_are_cut_in_parts_with_the_same_keys():
+    draw = random.Random(9)
+    words = [f"w{draw.randint(0, 40)}" for _ in range(3000)]
+    text = " ".join(words + words[100:400] + words).encode()
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+
+    def keys(part_words):
+        row, starts, anchors, counts, key, _ = recompression.cut_segments(20, part_words)(data, offsets)
+        assert (row == 0).all()
+        return {int(s) + k: (int(a), int(h)) for s, a, c, h in zip(starts, anchors, counts, key) for k in range(c)}
+
+    assert keys(1 << 22) == keys(700) == keys(64)
