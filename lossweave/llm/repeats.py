@@ -174,7 +174,7 @@ def covered(shared: DataFrame, docs: DataFrame, hashes_of: Callable, window: int
         if grid is None:
             drop(rows, classes)
             break
-        variants = classes.groupBy("key").agg(F.count("*").alias("variants")).where("variants > 1")
+        variants = pin(classes.groupBy("key").agg(F.count("*").alias("variants")).where("variants > 1").select("key"), "variants")
         one = F.struct("key", "rep.span", F.least("total", F.lit(2)).cast("int").alias("copies"))
         open_ = classes.join(variants, "key", "left_semi").select(F.col("rep.did").alias("did"), F.col("rep.span").alias("span"), one.alias("one"))
         opened = open_.groupBy("did", tag_in().alias("tag")).agg(F.collect_list("one").alias("opened"))
@@ -183,7 +183,7 @@ def covered(shared: DataFrame, docs: DataFrame, hashes_of: Callable, window: int
         if grid != grids[-1]:
             of_texts = texts = pin(of_texts, "texts-opened")
         cells = pin(of_texts.mapInArrow(_cells(hashes_of, window, grid), LEVEL), "cells")
-        drop(rows, classes, *([before] if before is not docs else []))
+        drop(rows, classes, variants, *([before] if before is not docs else []))
         rows = cells
     ranges = found.groupBy("did", tag_in().alias("tag")).agg(F.collect_list("span").alias("found"))
     return ranges.mapInArrow(_merged(window), "did long, tag long, spans array<struct<start: long, stop: long>>")

@@ -123,8 +123,10 @@ def repeated_spans(docs: DataFrame, match: int = 400, batches: int = 4, keep_fir
         of_doc = F.pmod(F.xxhash64("did", repeats.tag_in()), F.lit(batches))
         index.add(segments.where(of_doc == batch))
     index.close()
-    shared = pin(segments.join(index.shared_keys(), "key", "left_semi"), "segments-shared")
-    drop(segments, *index.hits)
+    # a written side, not an aggregate: adaptive execution splits a skewed seed only next to plain shuffles
+    keys = pin(index.shared_keys(), "shared-seeds")
+    shared = pin(segments.join(keys, "key", "left_semi"), "segments-shared")
+    drop(segments, keys, *index.hits)
     return repeats.covered(shared, docs, _byte_stretches, match, keep_first=keep_first, grids=(repeats.GRID, 1))
 
 
