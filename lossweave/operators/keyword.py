@@ -36,6 +36,17 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return words.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
+def claim_tokens(claims: DataFrame) -> DataFrame:
+    """(claim_id, dl, term): a row per token, and one with the term "" per claim."""
+    tokens, size, folded = _token_columns(claims)
+    # Two steps: expressions next to an explode are evaluated once per token.
+    listed = claims.select("claim_id", tokens.alias("tokens"), size.alias("dl"))
+    words = listed.select("claim_id", "dl", F.explode(F.array_append("tokens", F.lit(""))).alias("word"))
+    # Never null: a nullable join key would be computed twice, once for a null filter.
+    term = F.coalesce(F.col("word") if folded else fold(F.col("word")), F.lit(""))
+    return words.select("claim_id", "dl", term.alias("term"))
+
+
 def term_frequencies(claims: DataFrame, terms: DataFrame | None = None, small: bool = False) -> DataFrame:
     """(claim_id, dl, term, tf) for the wanted terms, and one row with the term "" per claim.
 
@@ -43,13 +54,7 @@ def term_frequencies(claims: DataFrame, terms: DataFrame | None = None, small: b
     of terms, broadcast, nothing but counts of wanted terms is shuffled. The "" rows carry the length of
     every claim, so corpus statistics need no second pass over the text.
     """
-    tokens, size, folded = _token_columns(claims)
-    # Two steps: expressions next to an explode are evaluated once per token.
-    listed = claims.select("claim_id", tokens.alias("tokens"), size.alias("dl"))
-    words = listed.select("claim_id", "dl", F.explode(F.array_append("tokens", F.lit(""))).alias("word"))
-    # Never null: a nullable join key would be computed twice, once for a null filter.
-    term = F.coalesce(F.col("word") if folded else fold(F.col("word")), F.lit(""))
-    words = words.select("claim_id", "dl", term.alias("term"))
+    words = claim_tokens(claims)
     if terms is not None:
         marker = claims.sparkSession.range(1).select(F.lit("").alias("term"))
         wanted = terms.select("term").distinct().unionByName(marker)

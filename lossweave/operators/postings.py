@@ -18,11 +18,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from lossweave.operators.keyword import K1, SCORE_DECIMALS, B, query_terms, scaled, term_frequencies, top_per_query
+from lossweave.operators.keyword import K1, SCORE_DECIMALS, B, claim_tokens, query_terms, scaled, top_per_query
 from lossweave.runtime import write_once
 
 SLOT_CLAIMS = 256
-BUCKETS = 64
+BUCKETS = 16
 FIRST_SLOTS = 4  # slots per query that give the first bound
 _MARGIN = 1e-6  # bounds and scores are sums in different orders
 
@@ -32,22 +32,22 @@ def _bucket(term: Column, buckets: int) -> Column:
 
 
 def write_postings(claims: DataFrame, path: str, slot_claims: int = SLOT_CLAIMS, buckets: int = BUCKETS) -> None:
-    """Write the index of claims (claim_id and document, or token columns) below ``path``. Ids are unique."""
+    """Write the index of claims (claim_id and document, or token columns) below ``path``. Ids are unique.
+
+    One shuffle deals the tokens out by bucket and slot; counting them and gathering a block's postings (of one
+    slot's claims at most) need no other. A claim's length stands in the block of the empty term of its slot."""
     spark = claims.sparkSession
-    counts = write_once(term_frequencies(claims), "counts")
-    n_slots = F.lit(max(1, -(-counts.where("term = ''").count() // slot_claims)))
-    slotted = counts.withColumn("slot", F.pmod(F.xxhash64("claim_id"), n_slots))
-    lengths = slotted.where("term = ''").select("claim_id", "slot", "dl")
-    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-    sizes = spark.read.parquet(f"{path}/lengths").groupBy("slot")
-    sizes.agg(F.count("*").alias("size"), F.sum("dl").cast("long").alias("tokens")).write.mode("overwrite").parquet(f"{path}/slots")
-    # a block gathers the claims of one slot at most
-    blocks = slotted.where("term <> ''").groupBy("term", "slot").agg(
-        F.count("*").alias("count"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"),
+    n_slots = max(1, -(-claims.select("claim_id").count() // slot_claims))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = F.pmod("slot", F.lit(tasks)).cast("int")  # a word that stands in every claim goes to all tasks
+    tokens = claim_tokens(claims).withColumns({"slot": F.pmod(F.xxhash64("claim_id"), F.lit(n_slots)), "bucket": _bucket(F.col("term"), buckets)})
+    tokens = tokens.withColumn("share", share).repartition(tasks, "bucket", "share")
+    counts = tokens.groupBy("bucket", "share", "term", "slot", "claim_id", "dl").agg(F.count("*").alias("tf"))
+    blocks = counts.groupBy("bucket", "share", "term", "slot").agg(
+        F.count("*").alias("count"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.sum("dl").alias("tokens"),
         F.array_sort(F.collect_list(F.struct("claim_id", "tf", "dl"))).alias("held"),
     )
-    blocks = blocks.withColumn("bucket", _bucket(F.col("term"), buckets)).repartitionByRange("bucket", "term", "slot")
-    blocks.sortWithinPartitions("bucket", "term", "slot").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    blocks.drop("share").sortWithinPartitions("bucket", "term", "slot").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 @dataclass(frozen=True)
@@ -56,20 +56,27 @@ class KeywordIndex:
     path: str
     buckets: int = BUCKETS
 
+    def blocks(self) -> DataFrame:
+        schema = "term string, slot long, count long, max_tf long, min_dl int, tokens long, held array<struct<claim_id: string, tf: long, dl: int>>, bucket int"
+        return self.spark.read.schema(schema).parquet(self.path)
+
     def postings(self, terms: DataFrame | None = None) -> DataFrame:
-        """All blocks, or those in the folders of the wanted terms (at most ``buckets`` numbers are collected)."""
-        schema = "term string, slot long, count long, max_tf long, min_dl int, held array<struct<claim_id: string, tf: long, dl: int>>, bucket int"
-        blocks = self.spark.read.schema(schema).parquet(f"{self.path}/postings")
+        """Blocks of all terms, or those in the folders of the wanted terms (at most ``buckets`` numbers are collected)."""
+        blocks = self.blocks().where("term <> ''")
         if terms is None:
             return blocks
         wanted = terms.select(_bucket(F.col("term"), self.buckets).alias("b")).distinct().collect()
-        return blocks.where(F.col("bucket").isin([r.b for r in wanted])).withColumn("term", F.coalesce("term", F.lit("")))
+        return blocks.where(F.col("bucket").isin([r.b for r in wanted]))
+
+    def _whole(self) -> DataFrame:
+        """The blocks of the empty term: all claims of each slot."""
+        return self.blocks().where((F.col("bucket") == _bucket(F.lit(""), self.buckets)) & (F.col("term") == ""))
 
     def slots(self) -> DataFrame:
-        return self.spark.read.schema("slot long, size long, tokens long").parquet(f"{self.path}/slots")
+        return self._whole().select("slot", F.col("count").alias("size"), "tokens")
 
     def lengths(self) -> DataFrame:
-        return self.spark.read.schema("claim_id string, slot long, dl int").parquet(f"{self.path}/lengths")
+        return self._whole().select("slot", F.explode("held").alias("h")).select("h.claim_id", "slot", "h.dl")
 
     def corpus_size(self) -> DataFrame:
         total = lambda c: F.coalesce(F.sum(c), F.lit(0))
