@@ -70,10 +70,12 @@ def stored_block(path: str, slot: int) -> tuple[pa.Table, np.ndarray] | None:
 
 class Nearest:
     """Keeps the n nearest rows per query over slices of rows that are numbered in id order. ``bound`` may give
-    distances that the n-th nearest of each query is known not to exceed."""
+    distances that the n-th nearest of each query is known not to exceed, and ``last`` the row from which on
+    rows of just that distance come too late."""
 
-    def __init__(self, n_queries: int, n: int, bound: np.ndarray | None = None) -> None:
+    def __init__(self, n_queries: int, n: int, bound: np.ndarray | None = None, last: np.ndarray | None = None) -> None:
         self.n, self.limit = n, 4 * n * max(1, n_queries)
+        self.first, self.last = (None, None) if bound is None else (bound.copy(), last)
         self.bound = np.full(n_queries, np.inf) if bound is None else bound.astype(np.float64)
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
@@ -83,7 +85,10 @@ class Nearest:
         if len(rows) >= self.n and np.isinf(self.bound[queries]).any():
             kth = np.partition(distances, self.n - 1, axis=0)[self.n - 1]
             self.bound[queries] = np.minimum(self.bound[queries], kth)
-        line, col = np.nonzero(distances <= self.bound[queries][None, :])
+        near = distances <= self.bound[queries][None, :]
+        if self.last is not None:
+            near &= (distances < self.first[queries][None, :]) | (rows[:, None] < self.last[queries][None, :])
+        line, col = np.nonzero(near)
         self.held.append((queries[col], distances[line, col], rows[line]))
         self.size += len(line)
         if self.size > self.limit:
@@ -178,7 +183,7 @@ def nearest_batches(
     query's bound.
 
     Batches hold claim_id, embedding and, with ``by_cell``, a cell. Queries come block by block from shared
-    storage (query_id, embedding, bound and, with ``by_cell``, their cells), once for ``hold`` bytes of claims;
+    storage (query_id, embedding, bound, bound_id and, with ``by_cell``, their cells), once for ``hold`` bytes of claims;
     one block is held at a time, and of a task with more claims the best hits so far. ``seen`` gathers the
     numbers of scored pairs."""
     held: dict[int, pa.Table] = {}
@@ -192,11 +197,18 @@ def nearest_batches(
                 continue
             table, queries = block
             bound = table.column("bound").to_numpy().copy()
+            nearer = None
             if slot in held:
                 known = held[slot].group_by("query_id").aggregate([("distance", "max"), ("distance", "count")])
                 full = {q: d for q, d, c in zip(*(known.column(c).to_pylist() for c in ("query_id", "distance_max", "distance_count"))) if c == n}
-                bound = np.minimum(bound, [full.get(q, np.inf) for q in table.column(0).to_pylist()])
-            best = Nearest(len(queries), n, bound)
+                nearer = np.array([full.get(q, np.inf) for q in table.column(0).to_pylist()])
+            # of the rows as far as the bound, those up to its id
+            own = table.column("bound_id").fill_null("").to_pylist()
+            names = ids.to_numpy(zero_copy_only=False)
+            last = np.array([np.searchsorted(names, o, "right") if o else len(names) for o in own], np.int64)
+            best = Nearest(len(queries), n, bound, last)
+            if nearer is not None:
+                best.bound = np.minimum(best.bound, nearer)
             askers = _askers(table, "cells") if by_cell else None
             least = balls.least(queries)
             for group in np.argsort(least.min(axis=0), kind="stable").tolist():

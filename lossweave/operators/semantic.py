@@ -15,30 +15,39 @@ from lossweave.schema import SearchFilters
 QUERY_BLOCK = 4096
 # Claims whose distances give each query its first bound.
 SAMPLE = 2048
+# How much larger each further sample is.
+STEP = 16
 # Hits of a query are cut in so many groups first, so that the final cut sees few rows per query.
 MERGE_GROUPS = 32
 
 _HIT_SCHEMA = "query_id string, claim_id string, distance double"
 
 
-def _store_blocks(vectors: DataFrame, block: int) -> tuple[str, int]:
+def _store_blocks(vectors: DataFrame, block: int, rows: int | None = None) -> tuple[str, int]:
     """Write vectors (id, vector, ...) in blocks of about ``block`` rows to shared storage, where the tasks
-    read them one at a time: no vector passes through the driver. Returns the folder and the block count."""
+    read them one at a time: no vector passes through the driver. Returns the folder and the block count.
+    ``rows`` tells the number of ids that are known to be unique."""
     key = vectors.columns[0]
-    vectors = write_once(vectors, "vectors-once")
-    checked = vectors.groupBy(key).count().agg(F.sum("count").alias("rows"), F.max("count").alias("most")).first()
-    if (checked["most"] or 0) > 1:
-        raise ValueError(f"{key} is not unique among the vectors")
-    slots = max(1, -(-(checked["rows"] or 0) // block))
+    if rows is None:
+        rows = unique_rows(vectors, key)
+    slots = max(1, -(-rows // block))
     path = shared_dir(vectors.sparkSession, "vectors")
     slotted = vectors.withColumn("slot", F.pmod(F.xxhash64(key), F.lit(slots)))
     slotted.repartition(slots, "slot").write.partitionBy("slot").parquet(path)
     return path, slots
 
 
-def _task_hits(vectors: DataFrame, asked: DataFrame, n: int, by_cell: bool, block: int) -> DataFrame:
+def unique_rows(vectors: DataFrame, key: str) -> int:
+    """The number of rows, which all have a key of their own."""
+    checked = vectors.groupBy(key).count().agg(F.sum("count").alias("rows"), F.max("count").alias("most")).first()
+    if (checked["most"] or 0) > 1:
+        raise ValueError(f"{key} is not unique among the vectors")
+    return checked["rows"] or 0
+
+
+def _task_hits(vectors: DataFrame, asked: DataFrame, rows: int, n: int, by_cell: bool, block: int) -> DataFrame:
     """(query_id, claim_id, distance): at most n hits per query and task."""
-    path, slots = _store_blocks(asked, block)
+    path, slots = _store_blocks(asked, block, rows)
 
     def score(batches):
         yield from nearest_batches(batches, path, slots, n, by_cell)
@@ -46,16 +55,28 @@ def _task_hits(vectors: DataFrame, asked: DataFrame, n: int, by_cell: bool, bloc
     return vectors.mapInArrow(score, _HIT_SCHEMA)
 
 
-def first_bounds(vectors: DataFrame, asked: DataFrame, n: int, by_cell: bool, block: int, sample: int) -> DataFrame:
-    """``asked`` with ``bound``: the n-th nearest distance among a sample of about ``sample`` claims, which the
-    n-th nearest of all claims cannot exceed. Infinity where the sample has fewer than n."""
+def first_bounds(vectors: DataFrame, asked: DataFrame, rows: int, n: int, by_cell: bool, block: int, sample: int) -> DataFrame:
+    """``asked`` with ``bound`` and ``bound_id``: distance and id of the n-th nearest in a sample of the claims, which
+    the n-th nearest of all claims does not come after. Infinity where the sample has fewer than n.
+
+    The first sample of about ``sample`` claims goes to one task; each further one is STEP times as large and
+    is searched with the bounds of the one before, up to one in STEP of all claims. So a search emits about
+    STEP times n hits per query at most, however many claims there are."""
     total = vectors.count()
-    asked = asked.withColumn("bound", F.lit(float("inf")))
-    some = vectors.sample(fraction=min(1.0, sample / max(1, total)), seed=1)
-    hits = top_per_query(_task_hits(some, asked, n, by_cell, block), n, F.col("distance"), F.col("claim_id"))
-    nth = hits.groupBy("query_id").agg(F.max("distance").alias("nth"), F.count("*").alias("found"))
-    known = nth.where(F.col("found") == n).select("query_id", "nth")
-    return asked.join(known, "query_id", "left").withColumn("bound", F.coalesce("nth", "bound")).drop("nth")
+    known = asked.withColumns({"bound": F.lit(float("inf")), "bound_id": F.lit(None).cast("string")})
+    size = sample
+    while True:
+        some = vectors.sample(fraction=min(1.0, size / max(1, total)), seed=size)
+        some = some.repartition(1) if size == sample else some
+        hits = top_per_query(_task_hits(some, known, rows, n, by_cell, block), n, F.col("distance"), F.col("claim_id"))
+        last = F.max(F.struct("distance", "claim_id")).alias("last")
+        nth = hits.groupBy("query_id").agg(last, F.count("*").alias("found")).where(F.col("found") == n)
+        nth = nth.select("query_id", F.col("last.distance").alias("bound"), F.col("last.claim_id").alias("bound_id"))
+        known = asked.join(nth, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+        if size * STEP >= total:
+            return known
+        known = write_once(known, "bounds")
+        size *= STEP
 
 
 def nearest_claims(
@@ -86,11 +107,12 @@ def nearest_claims(
         wanted = probes.select(F.col("cell").cast("int").alias(cell)).distinct()
         vectors = vectors.join(wanted, cell, "left_semi").select("claim_id", "embedding", F.col(cell).cast("int"))
     asked = write_once(asked, "queries")
+    rows = unique_rows(asked, "query_id")
     if sample:
-        asked = first_bounds(vectors, asked, n, cell is not None, block, sample)
+        asked = first_bounds(vectors, asked, rows, n, cell is not None, block, sample)
     else:
-        asked = asked.withColumn("bound", F.lit(float("inf")))
-    hits = _task_hits(vectors, asked, n, cell is not None, block)
+        asked = asked.withColumns({"bound": F.lit(float("inf")), "bound_id": F.lit(None).cast("string")})
+    hits = _task_hits(vectors, asked, rows, n, cell is not None, block)
     order = (F.col("distance"), F.col("claim_id"))
     grouped = hits.withColumn("_group", F.pmod(F.xxhash64("claim_id"), F.lit(MERGE_GROUPS)))
     return top_per_query(top_per_query(grouped, n, *order, keys=("query_id", "_group")).drop("_group"), n, *order)
@@ -148,6 +170,7 @@ def assign_nearest(claims: DataFrame, centroids: DataFrame, block: int = QUERY_B
     """(claim_id, cluster_id, distance) with the nearest centroid of each claim, lowest id on ties."""
     vectors = claims.select("claim_id", "embedding").where("embedding is not null")
     targets = centroids.select(F.col("cluster_id").cast("int").alias("cluster_id"), "centroid").where("centroid is not null")
+    targets = write_once(targets, "targets")
     path, slots = _store_blocks(targets, block)
     if targets.isEmpty():
         raise ValueError("No centroids.")

@@ -13,9 +13,9 @@ def planted(rows, groups, seed, noise=0.05):
     return unit_rows(centres[np.arange(rows) % groups] + noise * draw.normal(size=(rows, 16)))
 
 
-def store(path, ids, matrix, bound):
+def store(path, ids, matrix, bound, bound_id=None):
     (path / "slot=0").mkdir()
-    table = pa.table({"query_id": ids, "embedding": [v.tolist() for v in matrix], "bound": bound})
+    table = pa.table({"query_id": ids, "embedding": [v.tolist() for v in matrix], "bound": bound, "bound_id": pa.array(bound_id or [None] * len(ids), pa.string())})
     pq.write_table(table, path / "slot=0" / "part.parquet")
     return str(path)
 
@@ -85,3 +85,31 @@ def test_search_with_and_without_first_bounds(spark):
     assert celled == key(sem.nearest_claims(claims, queries, 7, cell="cell", probes=probes, sample=50))
     seen = claims.where("cell in (1, 2)")
     assert celled == key(sem.nearest_claims(seen, queries, 7, sample=0))
+
+
+def test_copies_as_far_as_the_bound_count_by_their_ids(tmp_path):
+    """A third of all claims are one vector: of its copies only those up to the bound's id can be among the best."""
+    matrix = planted(900, 9, 11)
+    matrix[::3] = matrix[0]
+    ids = [f"c{i:04d}" for i in range(900)]
+    queries = np.vstack([matrix[:1]] * 20)
+    path = store(tmp_path, [f"q{k:02d}" for k in range(20)], queries, np.zeros(20), ["c0030"] * 20)
+    late = nearest_batches([batch_of(ids[450:], matrix[450:])], path, 1, 5, False)
+    assert sum(b.num_rows for b in late) == 0  # all copies of this task come later
+    hits = pa.Table.from_batches(nearest_batches([batch_of(ids[:450], matrix[:450])], path, 1, 5, False)).to_pylist()
+    assert {h["claim_id"] for h in hits} == {"c0000", "c0003", "c0006", "c0009", "c0012"} and len(hits) == 100
+
+
+def test_emitted_hits_do_not_grow_with_tasks(spark):
+    matrix = planted(4000, 8, 12, noise=0.4)
+    matrix[::3] = matrix[0]
+    claims = spark.createDataFrame([(f"c{i:04d}", v.tolist()) for i, v in enumerate(matrix)], "claim_id string, embedding array<double>")
+    queries = claims.limit(60).select(F.col("claim_id").alias("query_id"), "embedding")
+    counts = []
+    for tasks in (2, 60):
+        laid = claims.repartition(tasks, "claim_id").cache()
+        asked = sem.first_bounds(laid, queries, 60, 5, False, 4096, 256)
+        counts.append(sem._task_hits(laid, asked, 60, 5, False, 4096).count())
+    assert counts[1] <= 60 * 5 * sem.STEP * 2 and counts[1] < 60 * 5 * 60 / 2
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(sem.nearest_claims(claims, queries, 5, sample=0)) == key(sem.nearest_claims(claims.repartition(30), queries, 5, sample=64))
