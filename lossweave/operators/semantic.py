@@ -16,7 +16,7 @@ QUERY_BLOCK = 4096
 # Claims whose distances give each query its first bound.
 SAMPLE = 2048
 # How much larger each further sample is.
-STEP = 16
+STEP = 4
 # Hits of a query are cut in so many groups first, so that the final cut sees few rows per query.
 MERGE_GROUPS = 32
 
