@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from lossweave.functions.values import similarity
@@ -15,8 +17,8 @@ from lossweave.schema import SearchFilters
 QUERY_BLOCK = 4096
 # Claims whose distances give each query its first bound.
 SAMPLE = 2048
-# How much larger each further sample is.
-STEP = 4
+# How much larger each further sample is at most.
+STEP = 8
 # Hits of a query are cut in so many groups first, so that the final cut sees few rows per query.
 MERGE_GROUPS = 32
 
@@ -59,24 +61,23 @@ def first_bounds(vectors: DataFrame, asked: DataFrame, rows: int, n: int, by_cel
     """``asked`` with ``bound`` and ``bound_id``: distance and id of the n-th nearest in a sample of the claims, which
     the n-th nearest of all claims does not come after. Infinity where the sample has fewer than n.
 
-    The first sample of about ``sample`` claims goes to one task; each further one is STEP times as large and
-    is searched with the bounds of the one before, up to one in STEP of all claims. So a search emits about
-    STEP times n hits per query at most, however many claims there are."""
+    The first sample of about ``sample`` claims goes to one task; each further one is larger by the same factor of
+    STEP at most, and is searched with the bounds of the one before; all claims are the last. So a search emits
+    about STEP times n hits per query at most, however many claims and tasks there are."""
     total = vectors.count()
+    searches = max(1, math.ceil(math.log(max(1.0, total / sample), STEP)))
+    factor = max(1.0, total / sample) ** (1 / searches)
     known = asked.withColumns({"bound": F.lit(float("inf")), "bound_id": F.lit(None).cast("string")})
-    size = sample
-    while True:
-        some = vectors.sample(fraction=min(1.0, size / max(1, total)), seed=size)
-        some = some.repartition(1) if size == sample else some
+    for number in range(searches):
+        some = vectors.sample(fraction=min(1.0, sample * factor**number / max(1, total)), seed=number)
+        some = some if number else some.repartition(1)
         hits = top_per_query(_task_hits(some, known, rows, n, by_cell, block), n, F.col("distance"), F.col("claim_id"))
         last = F.max(F.struct("distance", "claim_id")).alias("last")
         nth = hits.groupBy("query_id").agg(last, F.count("*").alias("found")).where(F.col("found") == n)
         nth = nth.select("query_id", F.col("last.distance").alias("bound"), F.col("last.claim_id").alias("bound_id"))
         known = asked.join(nth, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
-        if size * STEP >= total:
-            return known
-        known = write_once(known, "bounds")
-        size *= STEP
+        known = write_once(known, "bounds") if number + 1 < searches else known
+    return known
 
 
 def nearest_claims(
