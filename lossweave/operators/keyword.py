@@ -36,6 +36,14 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return words.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
+def listed_tokens(claims: DataFrame) -> DataFrame:
+    """(claim_id, dl, tokens): a row per claim with its folded tokens, none of them null."""
+    tokens, size, folded = _token_columns(claims)
+    listed = claims.select("claim_id", size.alias("dl"), tokens.alias("tokens"))
+    word = lambda w: F.coalesce(w if folded else fold(w), F.lit(""))
+    return listed.select("claim_id", "dl", F.transform("tokens", word).alias("tokens"))
+
+
 def claim_tokens(claims: DataFrame) -> DataFrame:
     """(claim_id, dl, term): a row per token, and one with the term "" per claim."""
     tokens, size, folded = _token_columns(claims)

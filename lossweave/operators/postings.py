@@ -18,11 +18,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from lossweave.operators.keyword import K1, SCORE_DECIMALS, B, claim_tokens, query_terms, scaled, top_per_query
+from lossweave.operators.keyword import K1, SCORE_DECIMALS, B, listed_tokens, query_terms, scaled, top_per_query
 from lossweave.runtime import write_once
 
 SLOT_CLAIMS = 256
 BUCKETS = 16
+SLOTS_PER_TASK = 64
 FIRST_SLOTS = 4  # slots per query that give the first bound
 _MARGIN = 1e-6  # bounds and scores are sums in different orders
 
@@ -34,20 +35,20 @@ def _bucket(term: Column, buckets: int) -> Column:
 def write_postings(claims: DataFrame, path: str, slot_claims: int = SLOT_CLAIMS, buckets: int = BUCKETS) -> None:
     """Write the index of claims (claim_id and document, or token columns) below ``path``. Ids are unique.
 
-    One shuffle deals the tokens out by bucket and slot; counting them and gathering a block's postings (of one
-    slot's claims at most) need no other. A claim's length stands in the block of the empty term of its slot."""
+    One shuffle deals the claims out by slot, each with its list of tokens; counting them and gathering a block's
+    postings (of one slot's claims at most) stay inside the task, so a word that stands in every claim is in all
+    tasks. A claim's length stands in the block of the empty term of its slot."""
     spark = claims.sparkSession
     n_slots = max(1, -(-claims.select("claim_id").count() // slot_claims))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    share = F.pmod("slot", F.lit(tasks)).cast("int")  # a word that stands in every claim goes to all tasks
-    tokens = claim_tokens(claims).withColumns({"slot": F.pmod(F.xxhash64("claim_id"), F.lit(n_slots)), "bucket": _bucket(F.col("term"), buckets)})
-    tokens = tokens.withColumn("share", share).repartition(tasks, "bucket", "share")
-    counts = tokens.groupBy("bucket", "share", "term", "slot", "claim_id", "dl").agg(F.count("*").alias("tf"))
-    blocks = counts.groupBy("bucket", "share", "term", "slot").agg(
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_slots // SLOTS_PER_TASK))
+    dealt = listed_tokens(claims).withColumn("slot", F.pmod(F.xxhash64("claim_id"), F.lit(n_slots))).repartition(tasks, "slot")
+    words = dealt.select("slot", "claim_id", "dl", F.explode(F.array_append("tokens", F.lit(""))).alias("term"))
+    counts = words.groupBy("slot", "term", "claim_id", "dl").agg(F.count("*").alias("tf"))
+    blocks = counts.groupBy("slot", "term").agg(
         F.count("*").alias("count"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.sum("dl").alias("tokens"),
         F.array_sort(F.collect_list(F.struct("claim_id", "tf", "dl"))).alias("held"),
-    )
-    blocks.drop("share").sortWithinPartitions("bucket", "term", "slot").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    ).withColumn("bucket", _bucket(F.col("term"), buckets))
+    blocks.sortWithinPartitions("bucket", "term", "slot").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 @dataclass(frozen=True)
