@@ -3,14 +3,19 @@
 Texts are sequences of words ``[^\\x20\\x09-\\x0D]+``. A round of recompression first replaces each run of one
 symbol by a symbol for (symbol, length), then splits the alphabet in two halves by a hash of the symbol and
 replaces each pair (left half, right half) by a new symbol. A new symbol's name is a hash of the round and of
-what it stands for, so every task gives equal substrings equal names without a shared dictionary, and whether
-a border between words survives depends on the few words around it only: equal substrings have the same
-symbols inside, up to their edges.
+what it stands for, so equal substrings get equal names in every task without a shared dictionary.
 
-Borders that survive the rounds, named by the symbols and words around them, are the anchors of windows; the
-stretches of windows that share an anchor are the high-level symbols. Spark counts the anchor names over all
-texts first, then names the shared stretches by their whole content, and verifies what is left window by
-window (``repeats.covered``). Of equal windows the first stays (smallest id, then smallest start).
+What a round does inside a window depends on the window alone, but for the symbols at its two edges: of a run
+at an edge the length is unknown, of a right half at the left edge (a left half at the right edge) whether it
+is paired. Every window therefore has a range of *interior* symbols per level, which all equal windows share.
+A symbol's signature takes in the signatures of its neighbours of the level below, which are interior wherever
+it is: after two rounds some eight words. The interior symbol with the least signature, of the highest level
+that has one, is the window's anchor and its signature the key; windows that follow each other with one anchor
+are a segment.
+
+Spark counts the keys over all texts: only windows in segments with a shared symbol can be repeated. It then
+names the shared stretches by their whole content, and verifies what is left window by window
+(``repeats.covered``). Of equal windows the first stays (smallest id, then smallest start).
 
 Defined results: null text has no words; rows that share an id and a text are one document; null ids come
 first in the order; an empty table gives an empty result; further columns are ignored.
@@ -19,76 +24,119 @@ first in the order; an empty table gives an empty result; further columns are ig
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lossweave.llm import repeats
-from lossweave.llm.arrays import (
-    U64, mix, prefix_sums, sliding_minimum, stretch_hashes, window_hashes, word_bounds, word_hashes,
-)
+from lossweave.llm.arrays import U64, mix, prefix_sums, stretch_hashes, window_hashes, word_bounds, word_hashes
 from lossweave.llm.tables import drop, pin
 
-REACH = 4  # words on either side of a border that its name depends on
-ROUNDS = 2  # after two rounds a border's fate depends on two words on either side
-_PLACE = U64((1 << 24) - 1)
+ROUNDS = 2  # a symbol of the second level is interior to nearly every window of twenty words
 _RUN, _PAIR = U64(0xD6E8FEB86659FD93), U64(0xC2B2AE3D27D4EB4F)
-
-
-def recompress(symbols: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Names and starting words of the symbols after some rounds; ``first`` marks the first word of a text."""
-    starts = np.arange(len(symbols))
-    for number in range(rounds):
-        if not len(symbols):
-            break
-        begin = first.copy()
-        begin[0] = True
-        begin[1:] |= symbols[1:] != symbols[:-1]
-        at = np.flatnonzero(begin)
-        length = np.diff(np.append(at, len(symbols))).astype(np.uint64)
-        names = symbols[at]
-        names = np.where(length > 1, mix(names ^ (length * _RUN) ^ U64(2 * number + 1)), names)
-        first, starts = first[at], starts[at]
-        left = (mix(names ^ U64(number)) & U64(1)).astype(bool)
-        joined = np.flatnonzero(left[:-1] & ~left[1:] & ~first[1:])
-        names[joined] = mix((names[joined] * _PAIR) ^ names[joined + 1] ^ U64(2 * number + 2))
-        keep = np.ones(len(names), bool)
-        keep[joined + 1] = False
-        symbols, first, starts = names[keep], first[keep], starts[keep]
-    return symbols, starts
+_NONE = U64(2**64 - 1)
+
+
+def run_names(symbols: np.ndarray, lengths: np.ndarray, number: int) -> np.ndarray:
+    """Names of runs; a run of one keeps its symbol's name."""
+    return np.where(lengths > 1, mix(symbols ^ (lengths.astype(np.uint64) * _RUN) ^ U64(2 * number + 1)), symbols)
+
+
+def pair_names(left: np.ndarray, right: np.ndarray, number: int) -> np.ndarray:
+    return mix((left * _PAIR) ^ right ^ U64(2 * number + 2))
+
+
+@dataclass
+class Level:
+    """The symbols after a round: names, signatures, first words, and whether a text begins with them; and for
+    each window the range of its interior symbols, empty if ``low >= high``."""
+
+    names: np.ndarray
+    signatures: np.ndarray
+    starts: np.ndarray
+    first: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+
+def next_level(of: Level, number: int) -> Level:
+    """One round: runs, then pairs. ``of`` has a symbol or more."""
+    begin = of.first.copy()
+    begin[0] = True
+    begin[1:] |= of.names[1:] != of.names[:-1]
+    at = np.flatnonzero(begin)
+    names = run_names(of.names[at], np.diff(np.append(at, len(begin))), number)
+    first = of.first[at]
+    # the run that holds the symbol at an edge is not interior
+    group = np.cumsum(begin) - 1
+    some = of.low < of.high
+    low = np.where(some, group[np.minimum(of.low, len(group) - 1)] + 1, 0)
+    high = np.where(some, group[np.maximum(of.high - 1, 0)], 0)
+
+    left = (mix(names ^ U64(number)) & U64(1)).astype(bool)
+    joined = np.flatnonzero(left[:-1] & ~left[1:] & ~first[1:])
+    paired = names.copy()
+    paired[joined] = pair_names(names[joined], names[joined + 1], number)
+    keep = np.ones(len(names), bool)
+    keep[joined + 1] = False
+    # nor is a symbol at an edge that may be paired with one outside
+    some = low < high
+    low = low + np.where(some, ~left[np.minimum(low, len(left) - 1)], False)
+    high = high - np.where(some, left[np.maximum(high - 1, 0)], False)
+    some = low < high
+    place = np.cumsum(keep) - 1
+    low = np.where(some, place[np.minimum(low, len(place) - 1)], 0)
+    high = np.where(some, place[np.maximum(high - 1, 0)] + 1, 0)
+
+    begins = at[keep]
+    ends = np.append(begins[1:], len(begin))
+    before, after = np.zeros(len(begins), np.uint64), np.zeros(len(begins), np.uint64)
+    before[1:] = of.signatures[begins[1:] - 1]
+    after[:-1] = of.signatures[ends[:-1]]
+    names = paired[keep]
+    signatures = mix(mix(mix(before) + names) * _PAIR + after)
+    return Level(names, signatures, of.starts[begins], first[keep], low, high)
+
+
+def anchors(words: np.ndarray, first: np.ndarray, window: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every window: the number of its anchor (equal for successive windows with one anchor), the anchor's
+    first word, and its key. A window without an interior symbol is its own anchor, with its content as key."""
+    n = len(words) - window + 1
+    own = np.arange(n)
+    level = Level(words, words, np.arange(len(words)), first, own, own + window)
+    number, place, key = own.copy(), own.copy(), window_hashes(words, window)
+    for depth in range(1, rounds + 1):
+        level = next_level(level, depth - 1)
+        least, best = np.full(n, _NONE), np.full(n, -1)
+        width = int((level.high - level.low).max())
+        for k in range(width):
+            candidate = level.low + k
+            inside = candidate < level.high
+            value = np.where(inside, level.signatures[np.where(inside, candidate, 0)], _NONE)
+            better = value < least  # of equal ones the leftmost
+            least, best = np.where(better, value, least), np.where(better, candidate, best)
+        found = best >= 0
+        number = np.where(found, depth * len(words) + best, number)
+        place = np.where(found, level.starts[best], place)
+        key = np.where(found, least, key)
+    return number, place, key
 
 
 def cut_segments(window: int, part_words: int = 1 << 22):
     """Cutter for ``repeats.segments`` over words."""
-    seed = 2 * REACH
-    zone = window - seed + 1
 
     def windows(words: np.ndarray, first_word: np.ndarray):
         first = np.zeros(len(words) + 1, bool)
         first[first_word] = True
-        first = first[:-1]
-        names, starts = recompress(words, first)
-        # a border is named by the symbol that ends and the symbol that begins there
-        at_border = np.zeros(len(words), np.uint64)
-        at_border[starts[1:]] = mix((names[:-1] * _PAIR) ^ names[1:])
-        equal = np.append(0, np.cumsum(np.append(False, words[1:] == words[:-1])))
-        seeds = window_hashes(words, seed)
-        border = at_border[REACH : REACH + len(seeds)]
-        # next to a run of one word the parse may depend on words further away: such borders come last
-        calm = (equal[seed:] - equal[1 : len(equal) - seed + 1]) == 0
-        good = calm & (border != 0)
-        names_of = np.where(good, mix(seeds ^ border), seeds)
-        ranked = (names_of >> U64(1)) | (~good).astype(np.uint64) << U64(63)
-        ranked = (ranked & ~_PLACE) | np.arange(len(ranked), dtype=np.uint64)
-        least = sliding_minimum(ranked, zone)
-        row = np.repeat(np.arange(len(first_word) - 1), np.diff(first_word))[: len(least)]
-        usable = np.arange(len(least)) + window <= first_word[row + 1]
-        place = (least & _PLACE).astype(np.int64)
-        starts, counts = repeats.runs_of(least, usable)
+        number, place, key = anchors(words, first[:-1], window)
+        row = np.repeat(np.arange(len(first_word) - 1), np.diff(first_word))[: len(number)]
+        usable = np.arange(len(number)) + window <= first_word[row + 1]
+        starts, counts = repeats.runs_of(number, usable)
         contents = stretch_hashes(prefix_sums(words), starts, counts - 1 + window)
-        begin, anchor = first_word[row[starts]], place[starts]
-        return row[starts], starts - begin, anchor - begin, counts, names_of[anchor], contents
+        begin = first_word[row[starts]]
+        return row[starts], starts - begin, place[starts] - begin, counts, key[starts], contents
 
     def cut(data: np.ndarray, offsets: np.ndarray):
         begins, ends, first_word = word_bounds(data, offsets)

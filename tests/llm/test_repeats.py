@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from lossweave.llm import recompression, suffix_dedup
-from lossweave.llm.arrays import word_bounds, word_hashes
+from lossweave.llm.arrays import mix, word_bounds, word_hashes
 
 
 def texts():
@@ -109,3 +109,43 @@ def test_long_texts_are_cut_in_parts_with_the_same_keys():
         return {int(s) + k: (int(a), int(h)) for s, a, c, h in zip(starts, anchors, counts, key) for k in range(c)}
 
     assert keys(1 << 22) == keys(700) == keys(64)
+
+
+def _keys_of_windows(words, window=20):
+    """Per window: content, anchor's distance from the window's start, key."""
+    first = np.zeros(len(words), bool)
+    first[0] = True
+    number, place, key = recompression.anchors(words, first, window)
+    return [(tuple(words[i : i + window].tolist()), int(place[i]) - i, int(key[i])) for i in range(len(key))]
+
+
+@pytest.mark.parametrize("letters", [1, 2, 3, 12, 400])
+def test_equal_windows_have_equal_symbols(letters):
+    draw = np.random.default_rng(letters)
+    shared = draw.integers(0, letters, 45)
+    parts = []
+    for _ in range(60):
+        parts += [draw.integers(0, letters, draw.integers(0, 30)), shared[draw.integers(0, 20) :], np.repeat(draw.integers(0, letters), draw.integers(0, 30))]
+    words = mix(np.concatenate(parts).astype(np.uint64))
+    seen = {}
+    for content, anchor, key in _keys_of_windows(words):
+        assert seen.setdefault(content, (anchor, key)) == (anchor, key)
+        assert 0 <= anchor < 20
+    if letters == 400:  # keys tell windows apart: hardly any window has a key of other windows' content
+        assert len({k for _, k in seen.values()}) > len(seen) / 10
+
+
+def test_repeats_are_found_by_the_symbols_names(monkeypatch):
+    draw = np.random.default_rng(5)
+    passage = draw.integers(0, 300, 80)
+    words = mix(np.concatenate([passage, draw.integers(0, 300, 200), passage]).astype(np.uint64))
+
+    def shared():
+        keys = {}
+        for content, _, key in _keys_of_windows(words):
+            keys.setdefault(content, []).append(key)
+        return [len(set(k)) == 1 for k in keys.values() if len(k) > 1]
+
+    assert len(shared()) == 61 and all(shared())
+    monkeypatch.setattr(recompression, "pair_names", lambda left, right, number: draw.integers(1, 2**62, len(left)).astype(np.uint64))
+    assert sum(shared()) < 61 // 2  # what is left are stretches without a pair
