@@ -74,7 +74,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept", "content_share")
 
 
-@query("op5_recompression")
+FIRST_WINDOWS = """WITH w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM
+  (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents)),
+g AS (SELECT doc_id, i, w, array_agg(w) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS win FROM w),
+r AS (SELECT doc_id, i, w, CAST(len(win) = 20 AND row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 AS INTEGER) AS again FROM g),
+c AS (SELECT doc_id, i, w, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM r)
+SELECT d.doc_id, count(w) AS n_words, CAST(coalesce(sum(gone), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(string_agg(w, ' ' ORDER BY i) FILTER (WHERE gone = 0), '')) AS kept_sha256
+FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+@query("op5_recompression", FIRST_WINDOWS)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = recompression.remove_repeats(read(spark, sf_dir, "documents"), window=20)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))

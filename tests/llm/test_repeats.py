@@ -2,10 +2,11 @@ import hashlib
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
-from lossweave.llm import recompression, suffix_dedup
+from lossweave.llm import recompression, registry, suffix_dedup
 from lossweave.llm.arrays import mix, word_bounds, word_hashes
 
 
@@ -149,3 +150,13 @@ def test_repeats_are_found_by_the_symbols_names(monkeypatch):
     assert len(shared()) == 61 and all(shared())
     monkeypatch.setattr(recompression, "pair_names", lambda left, right, number: draw.integers(1, 2**62, len(left)).astype(np.uint64))
     assert sum(shared()) < 61 // 2  # what is left are stretches without a pair
+
+
+def test_words_against_sql(spark):
+    folder = "/root/testdata/sf0.001"
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+        columns = "doc_id, n_words, n_removed, kept_sha256"
+        expected = db.sql(f"SELECT {columns} FROM ({registry.ORACLE['op5_recompression']}) ORDER BY doc_id").fetchall()
+    got = registry.QUERIES["op5_recompression"](spark, folder).selectExpr(*columns.split(", ")).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == expected and sum(r.n_removed for r in got) > 0
