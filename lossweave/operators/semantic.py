@@ -110,6 +110,7 @@ def nearest_claims(
     asked = write_once(asked, "queries")
     rows = unique_rows(asked, "query_id")
     if sample:
+        vectors = write_once(vectors, "claim-vectors")  # counted, sampled and searched: whatever makes them runs once
         asked = first_bounds(vectors, asked, rows, n, cell is not None, block, sample)
     else:
         asked = asked.withColumns({"bound": F.lit(float("inf")), "bound_id": F.lit(None).cast("string")})
