@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from lossweave.operators.keyword import K1, SCORE_DECIMALS, B, listed_tokens, query_terms, scaled, top_per_query
+from lossweave.operators.keyword import K1, SCORE_DECIMALS, B, counted_claims, query_terms, scaled, top_per_query
 from lossweave.runtime import write_once
 
 SLOT_CLAIMS = 256
@@ -35,16 +35,22 @@ def _bucket(term: Column, buckets: int) -> Column:
 def write_postings(claims: DataFrame, path: str, slot_claims: int = SLOT_CLAIMS, buckets: int = BUCKETS) -> None:
     """Write the index of claims (claim_id and document, or token columns) below ``path``. Ids are unique.
 
-    One shuffle deals the claims out by slot, each with its list of tokens; counting them and gathering a block's
-    postings (of one slot's claims at most) stay inside the task, so a word that stands in every claim is in all
-    tasks. A claim's length stands in the block of the empty term of its slot."""
+    Claims are counted once, inside the tasks that tokenize them (``counted_claims``). One shuffle deals the counts out by
+    slot; gathering a block's postings (of one slot's claims at most) stays inside the task, so a word that stands in
+    every claim is in all tasks. A claim's length stands in the block of the empty term of its slot."""
     spark = claims.sparkSession
-    n_slots = max(1, -(-claims.select("claim_id").count() // slot_claims))
+    counts = counted_claims(claims)
+    n_slots = max(1, -(-counts.count() // slot_claims))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_slots // SLOTS_PER_TASK))
-    dealt = listed_tokens(claims).withColumn("slot", F.pmod(F.xxhash64("claim_id"), F.lit(n_slots))).repartition(tasks, "slot")
-    words = dealt.select("slot", "claim_id", "dl", F.explode(F.array_append("tokens", F.lit(""))).alias("term"))
-    counts = words.groupBy("slot", "term", "claim_id", "dl").agg(F.count("*").alias("tf"))
-    blocks = counts.groupBy("slot", "term").agg(
+    dealt = counts.withColumn("slot", F.pmod(F.xxhash64("claim_id"), F.lit(n_slots))).repartition(tasks, "slot")
+    held = lambda term, tf, dl: F.struct(term.alias("term"), tf.cast("long").alias("tf"), dl.alias("dl"))
+    plain = F.transform(F.arrays_zip("terms", "tfs"), lambda t: held(t["terms"], t["tfs"], F.col("dl")))
+    whole = F.array(held(F.lit(""), F.col("docs"), F.col("dl")))
+    several = F.transform(F.arrays_zip("terms", "tfs", "dls"), lambda t: held(t["terms"], t["tfs"], t["dls"]))
+    wholes = F.transform(F.array_distinct("dls"), lambda dl: held(F.lit(""), F.lit(1), dl))
+    words = F.when(F.col("dls").isNull() | (F.size("dls") == 0), F.concat(plain, whole)).otherwise(F.concat(several, wholes))
+    rows = dealt.select("slot", "claim_id", F.explode(words).alias("w")).select("slot", "claim_id", "w.*")
+    blocks = rows.groupBy("slot", "term").agg(
         F.count("*").alias("count"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.sum("dl").alias("tokens"),
         F.array_sort(F.collect_list(F.struct("claim_id", "tf", "dl"))).alias("held"),
     ).withColumn("bucket", _bucket(F.col("term"), buckets))
