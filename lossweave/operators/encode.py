@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lossweave.functions.text import PASSAGE_PREFIX, search_tokens, with_prefix
 from lossweave.functions.vectors import unit_rows
@@ -38,9 +38,14 @@ def encode(
     return rows.withColumn("embedding", embed(with_prefix(F.coalesce(F.col(text), F.lit("")), prefix)))
 
 
+def _tokens(rows: DataFrame, text: str) -> Column:
+    """Search tokens of a text; those of the document are taken from the rows that hold them."""
+    return F.col("search_tokens") if text == "document" and "search_tokens" in rows.columns else search_tokens(F.col(text))
+
+
 def fit_lexical_encoder(corpus: DataFrame, text: str = "document", dimensions: int = 384) -> PipelineModel:
     """Hashed term counts, inverse document frequency and unit length. Knows words only, not meaning."""
-    tokens = corpus.select(search_tokens(F.col(text)).alias("encoder_tokens"))
+    tokens = corpus.select(_tokens(corpus, text).alias("encoder_tokens"))
     stages = [
         HashingTF(inputCol="encoder_tokens", outputCol="encoder_counts", numFeatures=dimensions),
         IDF(inputCol="encoder_counts", outputCol="encoder_weights"),
@@ -50,7 +55,7 @@ def fit_lexical_encoder(corpus: DataFrame, text: str = "document", dimensions: i
 
 
 def lexical_encode(rows: DataFrame, model: PipelineModel, text: str = "document") -> DataFrame:
-    out = model.transform(rows.withColumn("encoder_tokens", search_tokens(F.col(text))))
+    out = model.transform(rows.withColumn("encoder_tokens", _tokens(rows, text)))
     vector = vector_to_array(F.col("encoder_vector"), "float32")
     return out.withColumn("embedding", vector).drop(
         "encoder_tokens", "encoder_counts", "encoder_weights", "encoder_vector"

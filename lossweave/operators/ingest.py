@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lossweave.functions import text as tx, values as vl
 from lossweave.runtime import write_once
-from lossweave.schema import AMOUNT_FIELDS, METADATA_FIELDS, ColumnMap
+from lossweave.schema import AMOUNT_FIELDS, METADATA_FIELDS, SHORT_DESCRIPTION_CHARS, ColumnMap
 from lossweave.sources.claims import logical_claims
 
 # Separator and null marker of the row digest. Cleaning turns both characters into spaces,
@@ -95,6 +95,27 @@ def quality_counters(source: DataFrame, columns: ColumnMap = ColumnMap()) -> Dat
     )
 
 
+def kept_counters(source: DataFrame, keys: DataFrame, columns: ColumnMap = ColumnMap()) -> DataFrame:
+    """The row of ``quality_counters`` from the keys of the kept rows (``row_keys``): of the source only the rows
+    without an id or a text are counted, and no text is cleaned again."""
+    claims = logical_claims(source, columns)
+    no_id = ~tx.has_text(F.col("claim_id"))
+    no_text = ~no_id & ~tx.has_text(F.col("description"))
+    size = F.col("description_length")
+    kept = keys.agg(
+        F.count("*").alias("indexed_rows"),
+        F.count_if((size > 0) & (size < SHORT_DESCRIPTION_CHARS)).alias("short_descriptions"),
+        (F.count("*") - F.count_distinct("folded")).alias("duplicate_descriptions"),
+    )
+    all_rows = claims.agg(
+        F.count("*").alias("source_rows"),
+        F.count_if(no_text).alias("missing_descriptions"),
+        F.count_if(no_id).alias("missing_claim_ids"),
+    )
+    names = ("source_rows", "indexed_rows", "missing_descriptions", "short_descriptions", "duplicate_descriptions", "missing_claim_ids")
+    return all_rows.crossJoin(kept).select(*names)
+
+
 def _id_cuts(ids: DataFrame, key: str, parts: int) -> list[str]:
     """At most ``parts - 1`` ids that cut the key range, picked by smallest hash (a bounded driver list)."""
     picked = ids.select(key).orderBy(F.xxhash64(key), key).limit(parts - 1).collect()
@@ -150,10 +171,11 @@ def dataset_hash(records: DataFrame, columns: list[str] | None = None) -> DataFr
 
     Every row is hashed with SHA-256; the 256-bit row digests are added limb by limb (24 bits
     each, so a long holds the sum of 2^39 rows) and the sums are hashed. Sums are combined on
-    the map side: each task sends one row. Amounts enter with all their bits.
+    the map side: each task sends one row. Amounts enter with all their bits. Keys (``row_keys``) hold the digests.
     """
     row, limbs, shown = _row_sums(records, columns)
-    sums = records.select(row.alias("h")).agg(F.count("*").alias("n"), *limbs)
+    digests = records if columns is None and "row_digest" in records.columns else records.select(row.alias("row_digest"))
+    sums = digests.select(F.col("row_digest").alias("h")).agg(F.count("*").alias("n"), *limbs)
     return sums.select(
         F.sha2(F.concat_ws(",", F.col("n").cast("string"), *shown), 256).alias("dataset_hash"),
         F.col("n").alias("record_count"),
@@ -202,12 +224,25 @@ def index_hash(
     return dataset.select("*", F.sha2(payload, 256).alias("index_hash"))
 
 
+def _tie(records: DataFrame) -> Column:
+    return F.bitwise_not(F.xxhash64(*[F.col(c) for c in sorted(records.columns)]))
+
+
+def row_keys(records: DataFrame) -> DataFrame:
+    """The records without their texts: with the digest of the row, that of the folded description and the hash
+    that ``one_per_id`` settles ties by, so that what asks for these reads no text."""
+    row = _row_sums(records, None)[0]
+    folded = F.unhex(F.sha2(tx.fold(F.col("claim_description")), 256))
+    kept = [c for c in records.columns if c not in ("document", "claim_description")]
+    return records.select(*kept, row.alias("row_digest"), folded.alias("folded"), _tie(records).alias("tie"))
+
+
 def one_per_id(records: DataFrame) -> DataFrame:
     """One row per claim id, the one with the greatest text hash; ties fall to a hash of the row. Only ids are
-    shuffled to find the repeated ones, and of the records only those."""
+    shuffled to find the repeated ones, and of the records only those. Also takes keys (``row_keys``)."""
     again = records.groupBy("claim_id").agg(F.count("*").alias("n")).where("n > 1").select("claim_id")
     again = write_once(again, "repeated-ids")
-    best = F.struct(F.col("source_text_hash"), F.bitwise_not(F.xxhash64(*[F.col(c) for c in sorted(records.columns)])))
+    best = F.struct(F.col("source_text_hash"), F.col("tie") if "tie" in records.columns else _tie(records))
     row = F.struct(*[F.col(c) for c in records.columns])
     same = lambda other: records["claim_id"].eqNullSafe(other["claim_id"])
     many = records.join(again, same(again), "left_semi").groupBy("claim_id").agg(F.max_by(row, best).alias("row"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, functions as F
 
-from lossweave.operators.ingest import dataset_hash, index_hash, one_per_id, prepare_records, quality_counters
+from lossweave.functions.text import described
+from lossweave.operators.ingest import dataset_hash, index_hash, kept_counters, one_per_id, prepare_records, row_keys
 from lossweave.operators.keyword import with_search_tokens
-from lossweave.runtime import write_once
+from lossweave.runtime import broadcast_if_small, write_once
 from lossweave.schema import MANIFEST_SCHEMA, ColumnMap
 from lossweave.sources.claims import mapped_scan
 from lossweave.sources.store import ClaimStore, now_utc, version_name
@@ -35,14 +37,43 @@ class IndexResult:
     embedded: int | None = None  # texts that were encoded, if vectors of known texts were reused
 
 
-def _embedded(known: DataFrame | None, records: DataFrame, embed: Embed) -> tuple[DataFrame, int]:
-    """Records with vectors: those of ``known`` (source_text_hash, embedding) where the text is the same, new ones
-    for the other texts, each of which is encoded once. Also tells how many those are."""
-    new = records if known is None else records.join(known, "source_text_hash", "left_anti")
-    fresh = embed(new.dropDuplicates(["source_text_hash"])).select("source_text_hash", "embedding")
-    fresh = write_once(fresh, "new-vectors")
-    vectors = fresh if known is None else known.unionByName(fresh)
-    return records.join(vectors, "source_text_hash").select(*records.columns, "embedding"), fresh.count()
+def _known_texts(store: ClaimStore, name: str) -> DataFrame:
+    """(source_text_hash, text_part) of a stored version; the texts of one with whole rows become a part first."""
+    rows = store.read_rows(name)
+    if "text_part" not in rows.columns:
+        part = _new_part(name)
+        store.write_texts(part, rows.dropDuplicates(["source_text_hash"]))
+        rows = rows.withColumn("text_part", F.lit(part))
+    return rows.groupBy("source_text_hash").agg(F.min("text_part").alias("text_part"))
+
+
+def _new_part(name: str) -> str:
+    return f"{name}-{uuid.uuid4().hex}"
+
+
+def _write_shared(
+    store: ClaimStore, name: str, rows: DataFrame, records: DataFrame, all_kept: bool, known: DataFrame | None, embed: Embed
+) -> int:
+    """Write a version whose texts are shared: ``rows`` are its records without texts, ``known`` the stored texts. Each
+    other text is encoded once; tells how many those are. Texts are shuffled once, and not at all if none is new."""
+    wanted = rows.select("source_text_hash").distinct()
+    new = wanted if known is None else wanted.join(known, "source_text_hash", "left_anti")
+    new = write_once(new, "new-texts")
+    embedded, part = new.count(), _new_part(name)
+    if embedded:
+        # Never null, so that the join adds no null filter that would hash every text again.
+        texts = records.select(F.coalesce("source_text_hash", F.lit("")).alias("source_text_hash"), "document")
+        if known is not None or not all_kept:
+            texts = texts.join(broadcast_if_small(new), "source_text_hash", "left_semi")
+        texts = texts.dropDuplicates(["source_text_hash"]).withColumn("claim_description", described(F.col("document")))
+        store.write_texts(part, with_search_tokens(embed(texts)))
+    if known is None:
+        rows = rows.withColumn("text_part", F.lit(part))
+    else:
+        joined = rows.join(known, "source_text_hash", "left")
+        rows = joined.select(*rows.columns, F.coalesce("text_part", F.lit(part)).alias("text_part"))
+    store.write_table(name, rows)
+    return embedded
 
 
 def build_index(
@@ -60,8 +91,9 @@ def build_index(
     version has it, else embed, write and activate (``rebuilt``).
 
     With ``reuse_vectors`` texts that the active version of the same model and embedding version holds keep their
-    vectors, and ``embed`` sees each other text once; its vector must depend on the text alone. Only the one-row
-    hash and counters reach the driver.
+    vectors, and ``embed`` sees each other text once, as (source_text_hash, document, claim_description); its vector
+    must depend on the text alone. Versions then share the texts they have in common. Only the one-row hash and
+    counters reach the driver.
     """
     scan = mapped_scan(source, columns)
     records = prepare_records(
@@ -71,9 +103,10 @@ def build_index(
         model_path=settings.model_path,
         embedding_version=settings.embedding_version,
     )
-    records = one_per_id(records)  # an id has one row in an index, as after an upsert
+    keys = write_once(row_keys(records), "row-keys", "zstd")
+    kept = one_per_id(keys)  # an id has one row in an index, as after an upsert
     hashed = index_hash(
-        dataset_hash(records),
+        dataset_hash(kept),
         source=source_name,
         source_identity=source_identity,
         selected_columns=columns.selected(),
@@ -100,11 +133,15 @@ def build_index(
         same = active is not None and (active["model_fingerprint"], active["embedding_version"]) == (settings.model_version, settings.embedding_version)
         known = None
         if same and store.count(active["collection_name"]):
-            known = store.read_table(active["collection_name"]).groupBy("source_text_hash").agg(F.first("embedding").alias("embedding"))
-        rows, embedded = _embedded(known, records, embed)
-        store.write_table(name, with_search_tokens(rows))
+            known = _known_texts(store, active["collection_name"])
+        rows = kept.drop("row_digest", "folded", "tie")
+        embedded = _write_shared(store, name, rows, records, keys.count() == n_records, known, embed)
     elif not exists:
-        store.write_table(name, with_search_tokens(embed(records)))
+        rows = records if keys.count() == n_records else one_per_id(records)
+        rows = with_search_tokens(rows)
+        stored = embed(rows)
+        tokens = ("search_tokens", "search_token_count")
+        store.write_table(name, stored.select(*[c for c in stored.columns if c not in tokens], *tokens))
     manifest = store.spark.createDataFrame(
         [
             (
@@ -121,7 +158,7 @@ def build_index(
                 hashed["dataset_hash"],
                 settings.model_version,
                 hashed["index_hash"],
-                quality_counters(scan, columns).first(),
+                kept_counters(scan, keys, columns).first(),
                 n_records if exists else store.count(name),
                 "activated_existing_index" if exists else "full_rebuild_with_hash_check",
             )

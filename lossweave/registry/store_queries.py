@@ -22,7 +22,7 @@ from lossweave.registry.base import (
 )
 from lossweave.registry.cluster_queries import CLUSTERED_SQL, CURRENT_SQL, clustered, measures_sql
 from lossweave.registry.text_queries import _hash_sql
-from lossweave.runtime import shared_dir
+from lossweave.runtime import shared_dir, write_once
 from lossweave.schema import MANIFEST_SCHEMA
 from lossweave.sources import reviews as rv, store as st
 from lossweave.sources.exports import cluster_claims_export, write_csv
@@ -231,7 +231,7 @@ def m18_reused(spark, d):
     twice, with a change in the eighth decimal of the reserves: another version, and nothing is encoded."""
     store = new_store(spark, "index")
     fields = ("country", "reserve_amount")
-    source = source_claims(spark, d, fields)
+    source = write_once(source_claims(spark, d, fields), "source", "zstd")  # joined once, read by every build
     settings = IndexSettings(model_key="digest", model_version="1")
 
     def embed(rows):
@@ -247,7 +247,7 @@ def m18_reused(spark, d):
     moved = source.withColumn("reserve_amount", C("reserve_amount") + 1e-8)
     third = build(moved.unionByName(moved.where("country <> 'de'")))
     stored = store.read_table(third.collection_name).select("claim_id", "source_text_hash", "embedding")
-    direct = embed(records(spark, d, fields)).select("claim_id", C("embedding").alias("direct"))
+    direct = embed(ingest.prepare_records(source, column_map(fields))).select("claim_id", C("embedding").alias("direct"))
     steps = {"status": second.status, "encoded": second.embedded, "last_status": third.status, "last_encoded": third.embedded}
     rows = stored.join(direct, "claim_id").withColumn("same_vector", C("embedding") == C("direct"))
     literals = [F.lit(v).cast("bigint" if isinstance(v, int) else "string").alias(k) for k, v in steps.items()]

@@ -1,6 +1,8 @@
 """Versioned claim tables, manifests and cluster artefacts below one folder.
 
-Tables are immutable Parquet folders named after their content hash. Manifests and artefacts
+Tables are immutable Parquet folders named after their content hash. A table either holds whole rows, or rows
+without texts: these name the part (``text_part``) that holds their text with its tokens and vector, by the text's
+hash, so that versions share the texts they have in common. Parts are never changed either. Manifests and artefacts
 are append-only JSON logs whose newest entry counts, so a job that dies half-way never leaves
 the store without an active version.
 """
@@ -17,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from lossweave.operators.ingest import one_per_id
 from lossweave.schema import CLUSTER_MAP_SCHEMA, CLUSTER_SCHEMA, MANIFEST_SCHEMA
 
+TEXT_COLUMNS = ("document", "claim_description", "embedding", "search_tokens", "search_token_count")
+
 
 def now_utc() -> str:
     return datetime.now(UTC).isoformat()
@@ -84,11 +88,29 @@ class ClaimStore:
         return f"{self.root}/index/{name}"
 
     def write_table(self, name: str, records: DataFrame) -> None:
-        records.write.mode("overwrite").parquet(self.table_dir(name))
+        records.write.mode("overwrite").parquet(self.table_dir(name), compression="zstd")
 
-    def read_table(self, name: str) -> DataFrame:
+    def read_rows(self, name: str) -> DataFrame:
+        """The rows as they are stored, without texts that lie in parts."""
         return self.spark.read.parquet(self.table_dir(name))
 
+    def read_table(self, name: str) -> DataFrame:
+        rows = self.read_rows(name)
+        if "text_part" not in rows.columns:
+            return rows
+        # one name per build that brought texts of this version
+        parts = [row[0] for row in rows.select("text_part").distinct().collect()]
+        root = f"{self.root}/texts"
+        texts = self.spark.read.option("basePath", root).parquet(*[f"{root}/text_part={part}" for part in parts])
+        kept = [c for c in rows.columns if c not in ("claim_id", "text_part")]
+        whole = rows.join(texts, ["text_part", "source_text_hash"])
+        return whole.select("claim_id", *TEXT_COLUMNS[:2], *kept, *TEXT_COLUMNS[2:])
+
+    def write_texts(self, part: str, texts: DataFrame) -> None:
+        """A part: (source_text_hash, the ``TEXT_COLUMNS``), one row per text."""
+        out = texts.select("source_text_hash", *TEXT_COLUMNS)
+        out.write.parquet(f"{self.root}/texts/text_part={part}", compression="zstd")
+
     def scan(self, name: str, vectors: bool = False) -> DataFrame:
         """All records; without vectors the scan does not read them."""
         table = self.read_table(name)
@@ -101,7 +123,7 @@ class ClaimStore:
     def count(self, name: str) -> int | None:
         """Row count of a table, from the file footers; None without the table."""
         try:
-            return self.read_table(name).count()
+            return self.read_rows(name).count()
         except AnalysisException:
             return None
 

@@ -1,7 +1,9 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
-from lossweave.operators import encode
+from lossweave.operators import encode, ingest
 from lossweave.plans.cluster_build import build_clusters
 from lossweave.plans.index_build import IndexSettings, build_index
 from lossweave.runtime import broadcast_if_small, is_small, pin_small, shared_dir
@@ -69,6 +71,74 @@ def test_index_versions_and_clusters(spark, tmp_path):
     assert store.clusters("lex-1").count() == 0  # made for another index version
 
 
+def _folder_bytes(path, below=""):
+    return sum(f.stat().st_size for f in path.rglob("*.parquet") if below in str(f))
+
+
+def test_versions_share_their_texts(spark, tmp_path):
+    store = st.ClaimStore(spark, str(tmp_path / "store"))
+    columns = ColumnMap.of({f: "" for f in ColumnMap().mapped() if f not in ("claim_id", "description", "reserve_amount")})
+    schema = "claim_id string, claim_description string, reserve_amount double"
+    words = [" ".join(hashlib.sha256(f"{i} {k}".encode()).hexdigest() for k in range(30)) for i in range(40)]
+    frame = spark.createDataFrame([(str(i), f" {w}\n x ", float(i)) for i, w in enumerate(words)], schema)
+
+    def embed(rows):
+        assert set(rows.columns) <= {"source_text_hash", "document", "claim_description"}
+        return rows.withColumn("embedding", F.array(F.length("document").cast("float"), F.lit(1.0).cast("float")))
+
+    def build(source, key="m", reuse=True):
+        settings = IndexSettings(model_key=key, model_version="1")
+        return build_index(store, source, embed if reuse else lambda rows: rows.withColumn("embedding", F.array(F.length("document").cast("float"), F.lit(1.0).cast("float"))),
+                           settings, source_name="t", source_identity="t", columns=columns, reuse_vectors=reuse)
+
+    first = build(frame)
+    one = _folder_bytes(tmp_path)
+    moved = frame.withColumn("reserve_amount", F.col("reserve_amount") + 1)
+    second = build(moved.unionByName(moved.limit(5)))
+    assert (first.embedded, second.embedded) == (40, 0)
+    assert _folder_bytes(tmp_path) < 1.3 * one  # another version of the same texts holds none of them again
+    whole = build(moved, "w", reuse=False)
+    shared, plain = store.read_table(second.collection_name), store.read_table(whole.collection_name)
+    names = [c for c in plain.columns if c not in ("embedding_model",)]
+    assert shared.columns == plain.columns
+    assert sorted(shared.select(*names).collect()) == sorted(plain.select(*names).collect())
+    # vectors of a version with whole rows are reused as well
+    third = build(frame, "w")
+    assert third.embedded == 0 and store.read_table(third.collection_name).count() == 40
+
+
+def test_build_reads_texts_once_for_hash_and_counters(spark, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        reads.add(1)
+        return text
+
+    seen = seen.asNondeterministic()
+    columns = ColumnMap.of({f: "" for f in ColumnMap().mapped() if f not in ("claim_id", "description")})
+    rows = [(str(i), f"Water leak number {i % 7} in some hall of the town") for i in range(20)]
+    rows += [("", "no id"), (None, None), ("x", " \n"), ("y", None), ("z", "WATER leak  number 1 in some hall of the town"), ("s", "ß")]
+    source = spark.createDataFrame(rows, "claim_id string, claim_description string")
+    keys = ingest.row_keys(ingest.prepare_records(source, columns))
+    assert ingest.kept_counters(source, keys, columns).first() == ingest.quality_counters(source, columns).first()
+    assert ingest.dataset_hash(keys).first() == ingest.dataset_hash(ingest.prepare_records(source, columns)).first()
+    none = source.where("false")
+    no_keys = ingest.row_keys(ingest.prepare_records(none, columns))
+    assert ingest.kept_counters(none, no_keys, columns).first() == ingest.quality_counters(none, columns).first()
+
+    store = st.ClaimStore(spark, str(tmp_path / "store"))
+    settings = IndexSettings(model_key="m", model_version="1")
+    slow = spark.createDataFrame(rows[:20], source.schema).withColumn("claim_description", seen("claim_description"))
+    build = lambda: build_index(
+        store, slow, lambda r: r.withColumn("embedding", F.array(F.lit(1.0))), settings, source_name="t", source_identity="t", columns=columns
+    )
+    assert build().status == "rebuilt"
+    before = reads.value
+    assert build().status == "current"
+    assert reads.value - before <= 20  # a build that finds its version reads every text once
+
+
 def test_reviews(spark, tmp_path):
     path = str(tmp_path / "reviews")
     assert rv.load_review_log(spark, path).collect() == []
