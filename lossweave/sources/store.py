@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from lossweave.operators.ingest import one_per_id
 from lossweave.schema import CLUSTER_MAP_SCHEMA, CLUSTER_SCHEMA, MANIFEST_SCHEMA
 
+# Texts and vectors hardly repeat: looking for values to name in a dictionary costs more than it saves.
+PLAIN = {f"parquet.enable.dictionary#{c}": "false" for c in ("document", "claim_description", "embedding.list.element")}
 TEXT_COLUMNS = ("document", "claim_description", "embedding", "search_tokens", "search_token_count")
 
 
@@ -88,7 +90,7 @@ class ClaimStore:
         return f"{self.root}/index/{name}"
 
     def write_table(self, name: str, records: DataFrame) -> None:
-        records.write.mode("overwrite").parquet(self.table_dir(name), compression="zstd")
+        records.write.mode("overwrite").options(**PLAIN).parquet(self.table_dir(name), compression="zstd")
 
     def read_rows(self, name: str) -> DataFrame:
         """The rows as they are stored, without texts that lie in parts."""
@@ -109,7 +111,7 @@ class ClaimStore:
     def write_texts(self, part: str, texts: DataFrame) -> None:
         """A part: (source_text_hash, the ``TEXT_COLUMNS``), one row per text."""
         out = texts.select("source_text_hash", *TEXT_COLUMNS)
-        out.write.parquet(f"{self.root}/texts/text_part={part}", compression="zstd")
+        out.write.options(**PLAIN).parquet(f"{self.root}/texts/text_part={part}", compression="zstd")
 
     def scan(self, name: str, vectors: bool = False) -> DataFrame:
         """All records; without vectors the scan does not read them."""
