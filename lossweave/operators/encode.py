@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lossweave.functions.keywords import hashed_counts
-from lossweave.functions.text import PASSAGE_PREFIX, search_tokens, with_prefix
+from lossweave.functions.text import PASSAGE_PREFIX, with_prefix
 from lossweave.functions.vectors import unit_rows
 
 Encoder = Callable[[], Callable[[list[str]], np.ndarray]]
@@ -39,8 +39,8 @@ def encode(
 
 
 def _tokens(rows: DataFrame, text: str) -> Column:
-    """Search tokens of a text; those of the document are taken from the rows that hold them."""
-    return F.col("search_tokens") if text == "document" and "search_tokens" in rows.columns else search_tokens(F.col(text))
+    """What tokens are counted in: a text, or the search tokens of the document in rows that hold them."""
+    return F.col("search_tokens") if text == "document" and "search_tokens" in rows.columns else F.col(text).cast("string")
 
 
 @dataclass(frozen=True)

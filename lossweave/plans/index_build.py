@@ -138,10 +138,7 @@ def build_index(
         embedded = _write_shared(store, name, rows, records, keys.count() == n_records, known, embed)
     elif not exists:
         rows = records if keys.count() == n_records else one_per_id(records)
-        rows = with_search_tokens(rows)
-        stored = embed(rows)
-        tokens = ("search_tokens", "search_token_count")
-        store.write_table(name, stored.select(*[c for c in stored.columns if c not in tokens], *tokens))
+        store.write_table(name, with_search_tokens(embed(rows)))
     manifest = store.spark.createDataFrame(
         [
             (

@@ -33,6 +33,13 @@ def test_tokens_of_every_character(spark):
     each = F.transform(F.regexp_extract_all(F.col("t"), F.lit(tx.SEARCH_TOKEN), 1), tx.fold)
     assert texts.where(~tx.search_tokens(F.col("t")).eqNullSafe(each)).count() == 0
     assert spark.createDataFrame([(None,)], "t string").select(tx.search_tokens(F.col("t"))).first()[0] == []
+
+    def differs(batches):
+        for batch in batches:
+            same = keywords.token_lists(batch.column(0)).equals(batch.column(1).cast(pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays([pa.array([not same])], names=["d"])
+
+    assert {r.d for r in texts.select("t", tx.search_tokens(F.col("t"))).mapInArrow(differs, "d boolean").collect()} == {False}
     assert "lambda" not in plan_of(spark, tx.search_tokens(F.col("t")))  # folded once, not token by token
 
 
@@ -68,6 +75,13 @@ def test_hashed_counts_in_parts(monkeypatch):
     assert np.concatenate(parts).sum(axis=1).tolist() == [3, 0, 0, 40, 2, 5]
 
 
+def test_token_lists_of_parts():
+    texts = pa.array(["skipped", "", None, "Ab-\xe4", "\xc4b", "c", "", " \xdf ", "\xc3\xe9x"])
+    want = [[], [], ["ab", "\xe4"], ["\xe4b"], ["c"], [], ["ss"], ["x"]]
+    assert keywords.token_lists(texts.slice(1)).to_pylist() == want
+    assert keywords.token_lists(texts.slice(1, 0)).to_pylist() == [] and keywords.token_lists(texts.slice(1, 2)).to_pylist() == [[], []]
+
+
 def test_texts_and_vectors_are_stored_without_dictionaries(spark, tmp_path):
     store = ClaimStore(spark, str(tmp_path))
     row = ("1", "h", "text " * 9, "text " * 9, [1.0, 0.0], ["text"] * 9, 9)
