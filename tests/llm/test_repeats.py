@@ -52,6 +52,22 @@ def test_bytes_against_brute_force(spark, match):
     assert any(0 < g[1] < g[0] for g in got.values())
 
 
+def test_planted_passages_go_by_their_bytes(spark, tmp_path):
+    """Passages of 51 to 80 words in two documents each: 400 bytes decide, not the number of words."""
+    draw = random.Random(17)
+    words = lambda n: " ".join("".join(draw.choice("abcdefgé") for _ in range(draw.randint(2, 8))) for _ in range(n))
+    passages = [words(draw.randint(51, 80)) for _ in range(20)]
+    # other bytes next to each copy: no repeated string is longer than the passage
+    cases = [f"{words(90)} {mark}{p}{mark} {words(90)}" for p in passages for mark in "XY"]
+    folder = f"{tmp_path}/sf"
+    spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    got = registry.QUERIES["op3_suffix_dedup"](spark, folder).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == brute_bytes(cases, 400)
+    sizes = [len(p.encode()) for p in passages for _ in "XY"]
+    assert [r.n_removed for r in got] == [size if size >= 400 else 0 for size in sizes]
+    assert 0 < sum(size >= 400 for size in sizes) < len(sizes)
+
+
 def brute_words(all_texts, window):
     docs = [(t or "").encode().split() for t in all_texts]
     first, rows = {}, []
