@@ -1,60 +1,56 @@
-"""A stored keyword index: posting lists in blocks, searched by block-max pruning.
+"""A stored keyword index: posting lists in slots of claims, searched by block-max pruning.
 
-Claims are dealt into slots of about ``slot_claims`` by a hash of their id. A block holds the postings of one
-term in one slot (claim ids, frequencies, lengths) beside its header: their number, the greatest frequency
-and the least length, from which follows a bound on the term's part of any score in the slot, whatever the
-mean length of the corpus. The sum of the bounds of a query's terms bounds the score of every claim of a slot.
+Claims are dealt into slots of ``slot_claims`` inside the tasks that read their counts; nothing is shuffled for it. A row
+of the index is a slot: ids and lengths of its claims, and per bucket of terms the terms' postings (place of the claim in the slot,
+frequency) and headers: number of postings, greatest frequency and least length, from which follows a bound
+on the term's part of any score in the slot, whatever the mean length of the corpus. The sum of the bounds of a query's terms
+bounds the score of every claim of a slot.
 
 A search reads headers first. The best-bounded slots of each query are scored in full; their k-th best
-score is a lower bound for the k-th best of all, so slots whose bound lies below it cannot matter, and only
-the others' postings are read. No text and no token list is read, each block is scored once, and what is
-shuffled for a query are its slots, not its claims. Results equal those of ``keyword.bm25_candidates``
-without filters (filters change the statistics of the corpus, so they need the claims themselves).
+score is a lower bound for the k-th best of all, so slots whose bound lies below it cannot matter, and only the
+others are scored. Tasks hold a chunk of slots and a stored block of queries at a time and send their best hits per query;
+neither headers, postings nor pairs of queries and slots are shuffled. No text and no token list is read.
+Results equal those of ``keyword.bm25_candidates`` without filters (filters change the statistics of
+the corpus, so they need the claims themselves).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lossweave.operators.keyword import K1, SCORE_DECIMALS, B, counted_claims, query_terms, scaled, top_per_query
-from lossweave.runtime import write_once
+from lossweave.functions.slots import FIELDS, HEADER, block_batches, buckets_of, deal_batches, first_batches, own_batches, score_first, score_slots
+from lossweave.operators.keyword import K1, B, counted_claims, query_sizes, query_slot, query_terms, scaled, store_query_blocks, top_per_query
+from lossweave.runtime import shared_dir, write_once
 
 SLOT_CLAIMS = 256
 BUCKETS = 16
-SLOTS_PER_TASK = 64
 FIRST_SLOTS = 4  # slots per query that give the first bound
-_MARGIN = 1e-6  # bounds and scores are sums in different orders
+_OWN_IDS = 65_536  # ids that a task looks for at a time
+# A reader holds a row group at a time, whose lists are some times as large in memory.
+_ROW_GROUP = 8 << 20
+_KINDS = {"terms": "array<string>"}
 
 
-def _bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+def _schema(buckets: int, fields: tuple[str, ...] = FIELDS) -> str:
+    of = ", ".join(f"{f}: {_KINDS.get(f, 'array<int>')}" for f in fields)
+    return "slot long, ids array<string>, dls array<int>, " + ", ".join(f"b{k} struct<{of}>" for k in range(buckets))
 
 
 def write_postings(claims: DataFrame, path: str, slot_claims: int = SLOT_CLAIMS, buckets: int = BUCKETS) -> None:
     """Write the index of claims (claim_id and document, or token columns) below ``path``. Ids are unique.
 
-    Claims are counted once, inside the tasks that tokenize them (``counted_claims``). One shuffle deals the counts out by
-    slot; gathering a block's postings (of one slot's claims at most) stays inside the task, so a word that stands in
-    every claim is in all tasks. A claim's length stands in the block of the empty term of its slot."""
-    spark = claims.sparkSession
-    counts = counted_claims(claims)
-    n_slots = max(1, -(-counts.count() // slot_claims))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_slots // SLOTS_PER_TASK))
-    dealt = counts.withColumn("slot", F.pmod(F.xxhash64("claim_id"), F.lit(n_slots))).repartition(tasks, "slot")
-    held = lambda term, tf, dl: F.struct(term.alias("term"), tf.cast("long").alias("tf"), dl.alias("dl"))
-    plain = F.transform(F.arrays_zip("terms", "tfs"), lambda t: held(t["terms"], t["tfs"], F.col("dl")))
-    whole = F.array(held(F.lit(""), F.col("docs"), F.col("dl")))
-    several = F.transform(F.arrays_zip("terms", "tfs", "dls"), lambda t: held(t["terms"], t["tfs"], t["dls"]))
-    wholes = F.transform(F.array_distinct("dls"), lambda dl: held(F.lit(""), F.lit(1), dl))
-    words = F.when(F.col("dls").isNull() | (F.size("dls") == 0), F.concat(plain, whole)).otherwise(F.concat(several, wholes))
-    rows = dealt.select("slot", "claim_id", F.explode(words).alias("w")).select("slot", "claim_id", "w.*")
-    blocks = rows.groupBy("slot", "term").agg(
-        F.count("*").alias("count"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.sum("dl").alias("tokens"),
-        F.array_sort(F.collect_list(F.struct("claim_id", "tf", "dl"))).alias("held"),
-    ).withColumn("bucket", _bucket(F.col("term"), buckets))
-    blocks.sortWithinPartitions("bucket", "term", "slot").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    Claims are counted once, inside the tasks that tokenize them (``counted_claims``). Tasks deal the stored counts out into slots;
+    a word that stands in every claim is in all tasks, and in each as many times as it has slots."""
+
+    def deal(batches):
+        yield from deal_batches(batches, slot_claims, buckets, TaskContext.get().partitionId())
+
+    counts = counted_claims(claims).select("claim_id", "dl", "terms", "tfs", "dls")
+    dealt = counts.mapInArrow(deal, _schema(buckets))
+    dealt.write.mode("overwrite").option("parquet.block.size", _ROW_GROUP).parquet(path, compression="zstd")
 
 
 @dataclass(frozen=True)
@@ -63,81 +59,95 @@ class KeywordIndex:
     path: str
     buckets: int = BUCKETS
 
-    def blocks(self) -> DataFrame:
-        schema = "term string, slot long, count long, max_tf long, min_dl int, tokens long, held array<struct<claim_id: string, tf: long, dl: int>>, bucket int"
-        return self.spark.read.schema(schema).parquet(self.path)
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(_schema(self.buckets)).parquet(self.path)
+
+    def headers_by_slot(self) -> DataFrame:
+        """The index without postings and claims, which are then not read."""
+        parts = [F.struct(*[F.col(f"b{k}.{f}").alias(f) for f in HEADER]).alias(f"b{k}") for k in range(self.buckets)]
+        return self.rows().select("slot", *parts)
+
+    def _blocks(self, held: bool, terms: DataFrame | None) -> DataFrame:
+        wanted, buckets = list(range(self.buckets)), self.buckets
+        if terms is not None:
+
+            def numbers(batches):
+                for batch in batches:
+                    yield batch.from_arrays([buckets_of(batch.column(0), buckets)], names=["b"])
+
+            wanted = sorted(r.b for r in terms.select("term").where("term is not null").mapInArrow(numbers, "b long").distinct().collect())
+
+        def blocks(batches):
+            yield from block_batches(batches, wanted, held)
+
+        fields = FIELDS if held else HEADER
+        parts = [F.struct(*[F.col(f"b{k}.{f}").alias(f) for f in fields]).alias(f"b{k}") for k in wanted]
+        rows = self.rows().select("slot", *(["ids", "dls"] if held else []), *parts)
+        kept = "held array<struct<claim_id: string, tf: long, dl: int>>, " if held else ""
+        return rows.mapInArrow(blocks, f"term string, slot long, count long, max_tf long, min_dl int, {kept}bucket int")
 
     def postings(self, terms: DataFrame | None = None) -> DataFrame:
-        """Blocks of all terms, or those in the folders of the wanted terms (at most ``buckets`` numbers are collected)."""
-        blocks = self.blocks().where("term <> ''")
-        if terms is None:
-            return blocks
-        wanted = terms.select(_bucket(F.col("term"), self.buckets).alias("b")).distinct().collect()
-        return blocks.where(F.col("bucket").isin([r.b for r in wanted]))
+        """Blocks of all terms, or those in the buckets of the wanted terms (at most ``buckets`` numbers are collected)."""
+        return self._blocks(True, terms)
 
-    def _whole(self) -> DataFrame:
-        """The blocks of the empty term: all claims of each slot."""
-        return self.blocks().where((F.col("bucket") == _bucket(F.lit(""), self.buckets)) & (F.col("term") == ""))
+    def headers(self, terms: DataFrame | None = None) -> DataFrame:
+        """``postings`` without the postings."""
+        return self._blocks(False, terms)
 
     def slots(self) -> DataFrame:
-        return self._whole().select("slot", F.col("count").alias("size"), "tokens")
+        tokens = F.aggregate("dls", F.lit(0).cast("long"), lambda total, dl: total + dl)
+        return self.rows().select("slot", F.size("dls").cast("long").alias("size"), tokens.alias("tokens"))
 
     def lengths(self) -> DataFrame:
-        return self._whole().select("slot", F.explode("held").alias("h")).select("h.claim_id", "slot", "h.dl")
+        return self.rows().select("slot", F.explode(F.arrays_zip("ids", "dls")).alias("h")).select(F.col("h.ids").alias("claim_id"), "slot", F.col("h.dls").alias("dl"))
 
     def corpus_size(self) -> DataFrame:
         total = lambda c: F.coalesce(F.sum(c), F.lit(0))
         return self.slots().agg(total("size").alias("n_docs"), total("tokens").alias("n_tokens"), F.count("*").alias("n_slots"))
 
-    def document_frequencies(self) -> DataFrame:
-        """(term, df) from the headers."""
-        return self.postings().groupBy("term").agg(F.sum("count").alias("df"))
+    def document_frequencies(self, terms: DataFrame | None = None) -> DataFrame:
+        """(term, df) from the headers; ``terms`` tell the buckets to read."""
+        return self.headers(terms).groupBy("term").agg(F.sum("count").alias("df"))
+
+
+def _own_claims(index: KeywordIndex, asked: DataFrame) -> DataFrame:
+    """(query_id, dl, docs, terms) of the stored claims that queries exclude."""
+    sources = asked.where("exclude_claim_id is not null").select("query_id", F.col("exclude_claim_id").alias("claim_id")).distinct()
+    ids = write_once(sources.select("claim_id").distinct(), "own-ids")
+    parts, buckets = max(1, -(-ids.count() // _OWN_IDS)), index.buckets
+    path = shared_dir(index.spark, "own-id-blocks")
+    ids.withColumn("slot", F.pmod(F.xxhash64("claim_id"), F.lit(parts))).repartition(parts, "slot").write.partitionBy("slot").parquet(path)
+
+    def own(batches):
+        yield from own_batches(batches, path, parts, buckets)
 
+    found = write_once(index.rows().mapInArrow(own, "claim_id string, dl int, terms array<string>"), "own-terms")
+    return sources.join(found, "claim_id").select("query_id", "dl", F.lit(1).cast("long").alias("docs"), "terms")
 
-def _weights(index: KeywordIndex, queries: DataFrame) -> DataFrame:
-    """(query_id, term, exclude_claim_id, n_docs, n_slots, avgdl, weight) of query terms that occur."""
-    terms = write_once(query_terms(queries), "query-terms")
-    blocks = index.postings(terms)
-    df = blocks.join(terms.select("term").distinct(), "term").groupBy("term").agg(F.sum("count").alias("df"))
-    corpus = index.corpus_size().select(F.struct("n_docs", "n_tokens", "n_slots").alias("c")).scalar()
-    known = terms.join(df, "term")
-    if "exclude_claim_id" in queries.columns:
+
+def _weights(index: KeywordIndex, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query_id, term, exclude_claim_id, avgdl, weight) of query terms that occur, and the queries' corpus sizes."""
+    terms = write_once(query_terms(asked), "query-terms")
+    known = terms.join(index.document_frequencies(terms), "term")
+    corpus = index.slots().select(F.col("size").alias("docs"), "tokens")
+    own = write_once(_own_claims(index, asked), "own-claims") if "exclude_claim_id" in asked.columns else None
+    sizes = write_once(query_sizes(asked.drop("query_text").distinct(), corpus, own), "query-sizes")
+    df = F.col("df")
+    if own is not None:
         # a stored claim is not part of the corpus that its own query searches
-        own = queries.select("query_id", "exclude_claim_id").join(
-            index.lengths().select(F.col("claim_id").alias("exclude_claim_id"), F.col("slot").alias("own_slot"), F.col("dl").alias("own_dl")),
-            "exclude_claim_id",
-            "left",
-        )
-        known = known.join(own, "query_id")
-        held = known.where("own_slot is not null").select("query_id", "term", "exclude_claim_id", F.col("own_slot").alias("slot"))
-        held = blocks.join(held, ["term", "slot"]).where(F.exists("held", lambda h: h["claim_id"] == F.col("exclude_claim_id")))
-        known = known.join(held.select("query_id", "term", F.lit(1).alias("own_df")), ["query_id", "term"], "left")
-    else:
-        none = {"exclude_claim_id": F.lit(None).cast("string"), "own_dl": F.lit(None).cast("int"), "own_df": F.lit(None).cast("int")}
-        known = known.withColumns(none)
-    known = known.withColumn("c", corpus)
-    n = F.col("c.n_docs") - F.when(F.col("own_dl").isNotNull(), 1).otherwise(0)
-    known = known.withColumns({"n_docs": n, "df": F.col("df") - F.coalesce("own_df", F.lit(0))})
-    avgdl = (F.col("c.n_tokens") - F.coalesce("own_dl", F.lit(0))) / F.nullif(F.col("n_docs"), F.lit(0))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    known = known.select("query_id", "term", "exclude_claim_id", "n_docs", F.col("c.n_slots").alias("n_slots"), avgdl.alias("avgdl"), (idf * F.col("qtf")).alias("weight"))
-    return write_once(known, "query-weights")
-
-
-def _part(tf: Column, dl: Column, k1: float, b: float) -> Column:
-    """A term's part of a score; it grows with tf and falls with dl."""
-    return F.col("weight") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
-
-
-def _scored(blocks: DataFrame, weights: DataFrame, wanted: DataFrame, k1: float, b: float) -> DataFrame:
-    """(query_id, slot, claim_id, raw_score) of all matching claims in the wanted (query_id, slot) pairs."""
-    need = weights.join(wanted, "query_id")
-    held = blocks.select("term", "slot", "held").join(need, ["term", "slot"])
-    rows = held.select("query_id", "slot", "exclude_claim_id", "weight", "avgdl", F.explode("held").alias("h"))
-    rows = rows.where(F.col("exclude_claim_id").isNull() | (F.col("exclude_claim_id") != F.col("h.claim_id")))
-    part = _part(F.col("h.tf"), F.col("h.dl"), k1, b)
-    summed = rows.groupBy("query_id", "slot", F.col("h.claim_id").alias("claim_id")).agg(F.round(F.sum(part), SCORE_DECIMALS).alias("raw_score"))
-    return write_once(summed, "slot-scores")
+        held = own.select("query_id", F.explode("terms").alias("term"), F.lit(1).alias("own_df")).distinct()
+        known = known.join(held, ["query_id", "term"], "left")
+        df = df - F.coalesce("own_df", F.lit(0))
+    idf = F.log(1 + (F.col("n_docs") - df + 0.5) / (df + 0.5))
+    known = known.join(sizes, "query_id").select("query_id", "term", "exclude_claim_id", "avgdl", (idf * F.col("qtf")).alias("weight"))
+    return known, sizes
+
+
+def _beside(frame: DataFrame, parts: int, label: str) -> str:
+    """Store rows of queries in the blocks of their queries (``store_query_blocks``)."""
+    path = shared_dir(frame.sparkSession, label)
+    frame.withColumn("slot", query_slot(parts)).repartition(parts, "slot").write.partitionBy("slot").parquet(path)
+    return path
 
 
 def stored_candidates(
@@ -148,36 +158,48 @@ def stored_candidates(
 
     The scale's lower end is 0 as soon as one claim does not match. One slot with a claim that does not match
     proves that; a query for which none is found (its terms may occur in every claim) is scored in all slots."""
-    weights = _weights(index, queries)
-    blocks = index.postings(weights)
-    bound = _part(F.col("max_tf"), F.col("min_dl"), k1, b)
-    slots = blocks.drop("held").join(weights, "term").groupBy("query_id", "slot", "n_slots", "exclude_claim_id", "n_docs")
-    slots = slots.agg(F.sum(bound).alias("bound"), F.sum("count").alias("postings")).join(index.slots().select("slot", "size"), "slot")
-    slots = write_once(slots, "query-slots")
-
-    best = top_per_query(slots, first_slots, F.col("bound").desc(), F.col("slot")).select("query_id", "slot")
-    best = write_once(best, "first-slots")
-    first = _scored(blocks, weights, best, k1, b)
-    order = Window.partitionBy("query_id").orderBy(F.col("raw_score").desc(), F.col("claim_id"))
-    kth = top_per_query(first, candidate_pool, F.col("raw_score").desc(), F.col("claim_id")).withColumn("place", F.row_number().over(order))
-    kth = kth.where(F.col("place") == candidate_pool).select("query_id", F.col("raw_score").alias("least"))
-    matched = first.groupBy("query_id", "slot").agg(F.count("*").alias("matched"))
-    spare = F.when(F.col("exclude_claim_id").isNotNull(), 1).otherwise(0)
-    proof = slots.join(matched, ["query_id", "slot"], "left").groupBy("query_id", "n_slots").agg(
-        F.count("*").alias("seen"), F.max((F.least("postings", F.coalesce("matched", F.col("postings"))) < F.col("size") - spare).cast("int")).alias("open")
+    kind, buckets = dict(queries.dtypes)["query_id"], index.buckets
+    asked = queries.select(F.col("query_id").cast("string"), "query_text", *[c for c in ("exclude_claim_id",) if c in queries.columns])
+    asked = write_once(asked, "asked")
+    weights, sizes = _weights(index, asked)
+    path, parts = store_query_blocks(weights, asked.select("query_id").distinct().count())
+    # a task sends some rows per query: slots go to so many tasks only as keep the cores busy
+    tasks = 2 * index.spark.sparkContext.defaultParallelism
+
+    def first(batches):
+        yield from first_batches(batches, path, parts, first_slots, buckets, k1, b)
+
+    seen = index.headers_by_slot().coalesce(tasks).mapInArrow(first, "query_id string, slot long, bound double, seen long, all boolean")
+    seen = write_once(seen, "query-slots")
+    best = top_per_query(seen.where("slot is not null"), first_slots, F.col("bound").desc(), F.col("slot")).select("query_id", F.col("slot").alias("in_slot"))
+    firsts = _beside(best, parts, "first-slots")
+
+    def scores(batches):
+        yield from score_first(batches, path, firsts, parts, candidate_pool, buckets, k1, b)
+
+    held = F.broadcast(index.spark.read.schema("query_id string, in_slot long").parquet(firsts).select(F.col("in_slot").alias("slot")).distinct())
+    found = index.rows().join(held, "slot", "left_semi").coalesce(tasks).mapInArrow(scores, "query_id string, raw_score double, open boolean")
+    found = write_once(found, "first-scores")
+    pool = top_per_query(found.where("raw_score is not null"), candidate_pool, F.col("raw_score").desc())
+    kth = pool.groupBy("query_id").agg(F.min("raw_score").alias("least"), F.count("*").alias("n")).where(F.col("n") == candidate_pool)
+    opened = found.groupBy("query_id").agg(F.coalesce(F.bool_or("open"), F.lit(False)).alias("open"))
+    slots = seen.where("slot is null").groupBy("query_id").agg(F.sum("seen").alias("slots"), F.bool_and("all").alias("all"))
+    proven = slots.join(opened, "query_id").select("query_id", "slots", (F.col("open") | ~F.col("all")).alias("proven"))
+    limits = write_once(proven.join(kth.select("query_id", "least"), "query_id", "left"), "query-limits")
+    stored = _beside(limits.where("proven and least is not null").select("query_id", "least"), parts, "limits")
+
+    def score(batches):
+        yield from score_slots(batches, path, firsts, stored, parts, candidate_pool, buckets, k1, b)
+
+    schema = "query_id string, claim_id string, raw_score double, matched long, lowest double, slots_read long"
+    scored = write_once(index.rows().coalesce(tasks).mapInArrow(score, schema), "slot-scores")
+    spread = scored.groupBy("query_id").agg(
+        F.sum("matched").alias("matched"), F.min("lowest").alias("lowest"), F.max("raw_score").alias("high"), F.sum("slots_read").alias("slots_read")
     )
-    proven = proof.select("query_id", ((F.col("seen") < F.col("n_slots")) | (F.col("open") == 1)).alias("proven"))
-    limits = proven.join(kth, "query_id", "left").select("query_id", "proven", F.when(F.col("proven"), F.col("least")).alias("least"))
-    limits = write_once(limits, "query-limits")
-
-    rest = slots.join(limits, "query_id").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - _MARGIN))
-    rest = write_once(rest.select("query_id", "slot").join(best, ["query_id", "slot"], "left_anti"), "other-slots")
-    scores = first.unionByName(_scored(blocks, weights, rest, k1, b))
-    spread = scores.groupBy("query_id").agg(F.count("*").alias("matched"), F.min("raw_score").alias("lowest"), F.max("raw_score").alias("high"))
-    spread = spread.join(limits, "query_id").join(slots.groupBy("query_id").agg(F.max("n_docs").alias("n_docs")), "query_id")
+    spread = spread.join(limits.select("query_id", "slots", "proven"), "query_id")
+    spread = spread.join(sizes.groupBy("query_id").agg(F.max("n_docs").alias("n_docs")), "query_id")
     low = F.when(F.col("proven") | (F.col("matched") < F.col("n_docs")), 0.0).otherwise(F.col("lowest"))
-    top = top_per_query(scores.drop("slot"), candidate_pool, F.col("raw_score").desc(), F.col("claim_id"))
-    hits = top.join(spread, "query_id").select("query_id", "claim_id", scaled(F.col("raw_score"), low, F.col("high")).alias("bm25_score"))
-    read = best.unionByName(rest).groupBy("query_id").agg(F.count("*").alias("slots_read"))
-    report = slots.groupBy("query_id").agg(F.count("*").alias("slots")).join(read, "query_id")
-    return hits.where("bm25_score > 0"), report
+    top = top_per_query(scored.where("raw_score is not null").select("query_id", "claim_id", "raw_score"), candidate_pool, F.col("raw_score").desc(), F.col("claim_id"))
+    own_id: Column = F.col("query_id").cast(kind).alias("query_id")
+    hits = top.join(spread, "query_id").select(own_id, "claim_id", scaled(F.col("raw_score"), low, F.col("high")).alias("bm25_score"))
+    return hits.where("bm25_score > 0"), spread.select(own_id, "slots", F.least("slots", "slots_read").alias("slots_read"))

@@ -4,7 +4,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from lossweave.functions.keywords import score_batches
+from lossweave.functions import keywords
+from lossweave.functions.keywords import count_texts, score_batches
 from lossweave.operators import keyword as kw
 from tests.test_search import QUERIES
 
@@ -62,3 +63,41 @@ def test_pairs_are_not_shuffled(spark):
     claims = spark.createDataFrame([(str(i), "water leak") for i in range(50)], "claim_id string, document string")
     scores, _ = kw.bm25_matches(claims, spark.createDataFrame([("q", "water", None)], QUERIES))
     assert "Exchange" not in scores._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_split_into_tokens_inside_the_tasks(spark, monkeypatch):
+    texts = ["Straße STRASSE straße 7", "Äpfel-Öl äpfel", "", None, "leak " * 50, "x\ny"]
+    claims = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "claim_id string, document string")
+    plan = kw.listed_tokens(claims).where("tokens is not null")
+    want = {r.claim_id: (r.dl, {t: r.tokens.count(t) for t in r.tokens}) for r in plan.collect()}
+    monkeypatch.setattr(kw, "listed_tokens", None)  # the tokens are not made in rows of their own
+    for wanted in (None, spark.createDataFrame([("strasse",), ("leak",)], "term string")):
+        got = {r.claim_id: (r.dl, dict(zip(r.terms, r.tfs))) for r in kw.counted_claims(claims, wanted).collect()}
+        terms = None if wanted is None else {"strasse", "leak"}
+        assert got == {i: (dl, {t: n for t, n in tf.items() if terms is None or t in terms}) for i, (dl, tf) in want.items()}
+
+
+def test_texts_are_split_some_at_a_time(monkeypatch):
+    monkeypatch.setattr(keywords, "_COUNTS_AT_ONCE", 2)
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b", "c"]), pa.array(["one two two", "", "drei"])], names=["claim_id", "document"])
+    parts = list(count_texts([batch]))
+    assert len(parts) > 1 and [r for p in parts for r in p.column("dl").to_pylist()] == [3, 0, 1]
+    assert [sorted(zip(r["terms"], r["tfs"])) for p in parts for r in p.to_pylist()] == [[("one", 1), ("two", 2)], [], [("drei", 1)]]
+
+
+def test_many_queries_are_made_once(spark, monkeypatch):
+    """Queries too many to pin are stored before terms, corpus sizes and their number are taken from them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def asked(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            ids = [str(i) for i in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([f"leak w{i}" for i in ids]), pa.array(ids)], names=["query_id", "query_text", "exclude_claim_id"])
+
+    queries = spark.range(40).mapInArrow(asked, "query_id string, query_text string, exclude_claim_id string")
+    claims = spark.createDataFrame([(str(i), f"leak w{i} w{i + 1}") for i in range(60)], "claim_id string, document string")
+    want = kw.bm25_candidates(claims, spark.createDataFrame([(str(i), f"leak w{i}", str(i)) for i in range(40)], QUERIES), candidate_pool=3).collect()
+    monkeypatch.setattr(kw, "pin_small", lambda frame: (frame, False))
+    assert sorted(kw.bm25_candidates(claims, queries, candidate_pool=3).collect()) == sorted(want)
+    assert made.value == 40

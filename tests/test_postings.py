@@ -3,8 +3,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lossweave.functions import slots
+from lossweave.operators import postings
 from lossweave.operators.keyword import bm25_candidates
 from lossweave.operators.postings import KeywordIndex, stored_candidates, write_postings
+from tests.test_keyword_kernel import batch_of
 from tests.test_search import QUERIES, brute_candidates
 
 
@@ -26,6 +29,11 @@ def index(spark, corpus, tmp_path_factory):
     return KeywordIndex(spark, path, buckets=5)
 
 
+def counts_of(rows):
+    batch = batch_of(rows)
+    return [batch.select(["claim_id", "dl", "terms", "tfs", "dls"])]
+
+
 def hits_of(spark, index, rows, pool=100):
     hits, report = stored_candidates(index, spark.createDataFrame(rows, QUERIES), pool, first_slots=2)
     found = {}
@@ -84,3 +92,59 @@ def test_without_claims_or_queries(spark, index, tmp_path):
     empty = KeywordIndex(spark, f"{tmp_path}/none")
     assert stored_candidates(empty, spark.createDataFrame([("a", "leak", None)], QUERIES))[0].count() == 0
     assert stored_candidates(index, spark.createDataFrame([], QUERIES))[0].count() == 0
+
+
+def test_a_search_stores_rows_per_task_not_per_slot_or_claim(spark, tmp_path, monkeypatch):
+    """Neither the headers of every slot nor the scores of every matching claim leave the tasks."""
+    documents = [(f"c{i:04d}", f"der leak wort{i % 50} " + "und " * (i % 9)) for i in range(1600)]
+    claims = spark.createDataFrame(documents, "claim_id string, document string")
+    write_postings(claims.repartition(2), f"{tmp_path}/index", slot_claims=8, buckets=3)
+    index, stored, write_once = KeywordIndex(spark, f"{tmp_path}/index", buckets=3), {}, postings.write_once
+
+    def counted(frame, label, *rest):
+        held = write_once(frame, label, *rest)
+        stored[label] = held.count()
+        return held
+
+    monkeypatch.setattr(postings, "write_once", counted)
+    for own in (None, "c0007"):
+        found, _ = hits_of(spark, index, [("a", "der leak wort7", own), ("b", "der und", None)], 5)
+        corpus = dict(documents)
+        assert found["b"] == pytest.approx(brute_candidates("der und", corpus, 5))
+        assert found["a"] == pytest.approx(brute_candidates("der leak wort7", {k: v for k, v in corpus.items() if k != own}, 5))
+        tasks = 2 * spark.sparkContext.defaultParallelism
+        assert index.slots().count() >= 200
+        assert stored["query-slots"] <= tasks * 2 * 3 and stored["slot-scores"] <= tasks * 2 * (5 + 2), stored
+
+
+def test_texts_of_one_id_and_slots_of_long_texts(spark, tmp_path, monkeypatch):
+    claims = spark.createDataFrame([("1", "water leak"), ("2", "water"), ("2", "roof roof water"), ("3", "fire"), ("4", "")], "claim_id string, document string")
+    write_postings(claims, f"{tmp_path}/index", buckets=2)
+    index = KeywordIndex(spark, f"{tmp_path}/index", buckets=2)
+    size = index.corpus_size().first()
+    assert (size.n_docs, size.n_tokens) == (5, 7) and sorted((r.claim_id, r.dl) for r in index.lengths().collect()) == [("1", 2), ("2", 1), ("2", 3), ("3", 1), ("4", 0)]
+    found, _ = hits_of(spark, index, [("a", "water roof", "2"), ("b", "water roof", None)])
+    assert list(found["a"]) == ["1"] and found["b"]["2"] == 1.0 and set(found["b"]) <= {"1", "2"}
+    batches = [b for n in (3, 40) for b in counts_of([(f"k{i}", {"a": 1, f"w{i}": 2}, 3) for i in range(n)])]
+    for most in (1, 1 << 20):  # bytes at which a slot ends early
+        monkeypatch.setattr(slots, "_SLOT_BYTES", most)
+        rows = list(slots.deal_batches(batches, 8, 2, 1))
+        dealt = [s for b in rows for s in b.column("ids").to_pylist()]
+        assert sorted(sum(dealt, [])) == sorted(i for b in batches for i in b.column(0).to_pylist()) and max(map(len, dealt)) <= 8
+        assert len({s for b in rows for s in b.column("slot").to_pylist()}) == len(dealt)
+
+
+def test_pairs_of_slots_and_queries_as_whole_blocks(spark, corpus, index, monkeypatch):
+    """Slots scored pair by pair give what slots scored for all queries give."""
+    rows = [("a", "leak wort1", None), ("b", "der wort5 wort6", "c5"), ("c", "claim der", None)]
+    found = {}
+    for few in (0.0, 2.0):
+        few_of = slots._FEW
+        slots._FEW = few
+        try:
+            found[few] = hits_of(spark, index, rows, 4)[0]
+        finally:
+            slots._FEW = few_of
+    assert found[0.0].keys() == found[2.0].keys()
+    for query_id in found[0.0]:
+        assert found[0.0][query_id] == pytest.approx(found[2.0][query_id])
