@@ -29,8 +29,9 @@ SLOT_CLAIMS = 256
 BUCKETS = 16
 FIRST_SLOTS = 4  # slots per query that give the first bound
 _OWN_IDS = 65_536  # ids that a task looks for at a time
-# A reader holds a row group at a time, whose lists are some times as large in memory.
-_ROW_GROUP = 8 << 20
+# A reader holds a row group at a time, whose lists are some times as large in memory. A writer must look at its size after
+# few rows, as they are long.
+_WRITER = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 2, "parquet.page.size.row.check.max": 2, "compression": "zstd"}
 _KINDS = {"terms": "array<string>"}
 
 
@@ -50,7 +51,7 @@ def write_postings(claims: DataFrame, path: str, slot_claims: int = SLOT_CLAIMS,
 
     counts = counted_claims(claims).select("claim_id", "dl", "terms", "tfs", "dls")
     dealt = counts.mapInArrow(deal, _schema(buckets))
-    dealt.write.mode("overwrite").option("parquet.block.size", _ROW_GROUP).parquet(path, compression="zstd")
+    dealt.write.mode("overwrite").options(**_WRITER).parquet(path)
 
 
 @dataclass(frozen=True)
