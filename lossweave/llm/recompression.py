@@ -100,27 +100,45 @@ def next_level(of: Level, number: int) -> Level:
     return Level(names, signatures, of.starts[begins], first[keep], low, high)
 
 
+def least_in(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The place of the least value in each range ``low <= place < high``, the leftmost of equal ones. No range is empty."""
+    width = high - low
+    best, out, size = np.arange(len(values)), np.empty(len(low), np.int64), 1
+    while True:
+        # ``best``: the place of the least of ``size`` values from each place on; two of them cover a range of up to twice as many
+        now = np.flatnonzero((width >= size) & (width < 2 * size))
+        left, right = best[low[now]], best[high[now] - size]
+        out[now] = np.where(values[left] <= values[right], left, right)
+        if not len(width) or 2 * size > width.max():
+            return out
+        left, right = best[:-size], best[size:]
+        best, size = np.where(values[left] <= values[right], left, right), 2 * size
+
+
 def anchors(words: np.ndarray, first: np.ndarray, window: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every window: the number of its anchor (equal for successive windows with one anchor), the anchor's
     first word, and its key. A window without an interior symbol is its own anchor, with its content as key."""
     n = len(words) - window + 1
     own = np.arange(n)
-    level = Level(words, words, np.arange(len(words)), first, own, own + window)
-    number, place, key = own.copy(), own.copy(), window_hashes(words, window)
-    for depth in range(1, rounds + 1):
-        level = next_level(level, depth - 1)
-        least, best = np.full(n, _NONE), np.full(n, -1)
-        width = int((level.high - level.low).max())
-        for k in range(width):
-            candidate = level.low + k
-            inside = candidate < level.high
-            value = np.where(inside, level.signatures[np.where(inside, candidate, 0)], _NONE)
-            better = value < least  # of equal ones the leftmost
-            least, best = np.where(better, value, least), np.where(better, candidate, best)
-        found = best >= 0
-        number = np.where(found, depth * len(words) + best, number)
-        place = np.where(found, level.starts[best], place)
-        key = np.where(found, least, key)
+    levels = [Level(words, words, np.arange(len(words)), first, own, own + window)]
+    for depth in range(rounds):
+        levels.append(next_level(levels[-1], depth))
+    number, place, key = own.copy(), own.copy(), np.empty(n, np.uint64)
+    left = own  # windows whose anchor is not found in a higher level
+    for depth in range(rounds, 0, -1):
+        level = levels[depth]
+        some = left[level.low[left] < level.high[left]]
+        best = least_in(level.signatures, level.low[some], level.high[some])
+        least = level.signatures[best]
+        found = least < _NONE
+        some, best = some[found], best[found]
+        number[some], place[some], key[some] = depth * len(words) + best, level.starts[best], least[found]
+        rest = np.zeros(n, bool)
+        rest[left] = True
+        rest[some] = False
+        left = np.flatnonzero(rest)
+    if len(left):
+        key[left] = window_hashes(words, window)[left]
     return number, place, key
 
 
@@ -158,9 +176,10 @@ def cut_segments(window: int, part_words: int = 1 << 22):
     return cut
 
 
-def _word_stretches(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    begins, ends, _ = word_bounds(data, np.array([0, len(data)]))
-    return stretch_hashes(prefix_sums(word_hashes(data, begins, ends)), starts, lengths)
+def _word_stretches(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, stretches: list) -> list[np.ndarray]:
+    begins, ends, first_word = word_bounds(data, offsets)
+    sums, first = prefix_sums(word_hashes(data, begins, ends)), first_word[row]
+    return [stretch_hashes(sums, first + starts, lengths) for starts, lengths in stretches]
 
 
 def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:

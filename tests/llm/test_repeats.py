@@ -4,10 +4,11 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lossweave.llm import recompression, registry, suffix_dedup
-from lossweave.llm.arrays import mix, word_bounds, word_hashes
+from lossweave.llm.arrays import mix, text_bytes, word_bounds, word_hashes
 
 
 def texts():
@@ -176,3 +177,34 @@ def test_words_against_sql(spark):
         expected = db.sql(f"SELECT {columns} FROM ({registry.ORACLE['op5_recompression']}) ORDER BY doc_id").fetchall()
     got = registry.QUERIES["op5_recompression"](spark, folder).selectExpr(*columns.split(", ")).orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == expected and sum(r.n_removed for r in got) > 0
+
+
+def test_least_in_ranges_is_the_leftmost():
+    draw = np.random.default_rng(4)
+    values = draw.integers(0, 9, 300).astype(np.uint64)
+    low = draw.integers(0, 280, 500)
+    high = np.minimum(low + draw.integers(1, 30, 500), len(values))
+    assert recompression.least_in(values, low, high).tolist() == [a + int(np.argmin(values[a:b])) for a, b in zip(low, high)]
+    assert len(recompression.least_in(values, low[:0], high[:0])) == 0
+
+
+@pytest.mark.parametrize("stretches", [recompression._word_stretches, suffix_dedup._byte_stretches])
+def test_stretches_of_many_texts_at_once(stretches):
+    texts = ["one two  three four", "", "two three four five", " one two"]
+    joined = text_bytes(pa.array(texts))
+    spans = [(0, 0, 3), (2, 1, 2), (3, 0, 2), (0, 1, 2), (2, 0, 1)]
+    row, starts, lengths = (np.array(x) for x in zip(*spans))
+    together = stretches(*joined, row, [(starts, lengths), (starts, lengths - 1)])
+    for k, less in enumerate((0, 1)):
+        alone = [stretches(*text_bytes(pa.array([texts[r]])), np.array([0]), [(np.array([s]), np.array([n - less]))])[0][0] for r, s, n in spans]
+        assert together[k].tolist() == alone
+
+
+def test_anchors_look_once_at_each_symbol(monkeypatch):
+    """Windows whose anchor stands in the highest level are not searched in the levels below, nor hashed."""
+    asked = []
+    least_in = recompression.least_in
+    monkeypatch.setattr(recompression, "least_in", lambda values, low, high: asked.append(len(low)) or least_in(values, low, high))
+    words = np.random.default_rng(5).integers(1, 2**60, 4000).astype(np.uint64)
+    recompression.anchors(words, np.arange(4000) == 0, 20)
+    assert asked[0] > 3900 and sum(asked[1:]) < 100
