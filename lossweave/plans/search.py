@@ -8,7 +8,7 @@ from lossweave.functions.text import clean_text
 from lossweave.operators.fusion import Scorer, fuse, rescore
 from lossweave.operators.keyword import bm25_candidates, top_per_query
 from lossweave.operators.semantic import similar_claims
-from lossweave.runtime import BROADCAST_ROWS, pin_small
+from lossweave.runtime import BROADCAST_ROWS, pin_small, write_once
 from lossweave.schema import SearchSpec
 
 
@@ -31,6 +31,7 @@ def search(claims: DataFrame, queries: DataFrame, spec: SearchSpec = SearchSpec(
     """
     asked = queries.where(clean_text(F.col("query_text")) != "").withColumn("query_id", F.col("query_id").cast("string"))
     asked, small = pin_small(asked)
+    asked = asked if small else write_once(asked, "asked")  # both searches, their number and the pairs read them
     semantic = keyword = None
     if spec.mode in ("Semantic", "Hybrid"):
         semantic = similar_claims(claims, asked, spec.filters, spec.candidate_pool)

@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 
 from lossweave.functions.text import document_entries
 from lossweave.operators import semantic as sem
+from lossweave.plans import search as plan
+from lossweave.registry import search_queries
 from lossweave.registry.base import index_claims
+from lossweave.schema import SearchSpec
 
 
 def test_entries_clean_a_document_once(spark):
@@ -57,3 +60,34 @@ def test_claims_view_shuffles_texts_once(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     assert got == [("1", 4, "USD", 3.5, "t"), ("2", 5, "GBP", None, None), ("2", 5, "GBP", None, None), ("2", 6, "GBP", None, None), ("2", 6, "GBP", None, None)]
     assert shuffles.count("Exchange hashpartitioning(doc_id") + shuffles.count("Exchange hashpartitioning(claim_id") == 1
+
+
+def counted_queries(spark):
+    """Queries by example, and how many rows of them were made so far."""
+    made = spark.sparkContext.accumulator(0)
+
+    def queries(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            ids = batch.column(0).to_pylist()
+            columns = [[str(i) for i in ids], [f"leak w{i}" for i in ids], [str(i) for i in ids], [[1.0 + i, 2.0] for i in ids]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "query_text", "exclude_claim_id", "embedding"])
+
+    schema = "query_id string, query_text string, exclude_claim_id string, embedding array<double>"
+    claims = spark.createDataFrame([(str(i), f"leak w{i} w{i % 7}", [2.0, 1.0 + i]) for i in range(30)], "claim_id string, document string, embedding array<double>")
+    return claims, spark.range(12).mapInArrow(queries, schema), made
+
+
+def test_queries_of_a_search_are_made_once(spark, monkeypatch):
+    claims, queries, made = counted_queries(spark)
+    monkeypatch.setattr(plan, "pin_small", lambda frame: (frame, False))  # as with many queries
+    assert plan.search(claims, queries, SearchSpec(mode="Hybrid", top_n=2)).count() == 24
+    assert made.value == 12
+
+
+def test_queries_of_a_fusion_are_made_once(spark, monkeypatch):
+    claims, queries, made = counted_queries(spark)
+    monkeypatch.setattr(search_queries, "index_claims", lambda *_: claims)
+    monkeypatch.setattr(search_queries, "example_queries", lambda *_: queries)
+    assert search_queries._fused(spark, "").groupBy("query_id").count().count() == 12
+    assert made.value == 12
